@@ -36,7 +36,14 @@ def byte_table(charset: str) -> dict[str, int]:
 
 
 def _char_class(chars) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(chars))) + "]"
+    """A regular-expression class of the characters, as few ranges as possible."""
+    codes, ranges = sorted({ord(c) for c in chars}), []
+    for code in codes:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in ranges) + "]"
 
 
 def _utf8_sequences(charset: str, two: range, three: range, four: range = range(0xF0, 0xF5)) -> str:
@@ -59,12 +66,15 @@ _MISREAD = "|".join(
 )
 #: What no charset gives for sound text: replacement and C1 control characters, a misread letter whose
 #: second byte was lost, and entities of such letters.
-_BROKEN = r"[\x{fffd}\x{80}-\x{9f}]|[a-z][\x{c3}\x{c2}](?=[ ,.;:]|$)|\x{e2}[\x{20ac}\x{201a}\x{bb}]|&(?:ETH|Ntilde|Atilde|Acirc|acirc|Aring|aring|ccedil|euro|Icirc|eth|AElig|aelig|egrave|eacute);(?:&[A-Za-z0-9]+;|[\x{80}-\x{bf}])"
+_BROKEN = r"[\x{fffd}\x{80}-\x{9f}]|(?<=[a-z])[\x{c3}\x{c2}](?=[ ,.;:]|$)|\x{e2}[\x{20ac}\x{201a}\x{bb}]"
+_BROKEN_ENTITIES = r"&(?:ETH|Ntilde|Atilde|Acirc|acirc|Aring|aring|ccedil|euro|Icirc|eth|AElig|aelig|egrave|eacute);(?:&[A-Za-z0-9]+;|[\x{80}-\x{bf}])"
+#: ASCII characters fail the first test, so the alternatives are tried at foreign characters only.
+_SUSPECT = rf"(?=[^\x{{0}}-\x{{7f}}])(?:{_BROKEN}|{_MISREAD})"
 
 
 def charset_suspect(c: Column) -> Column:
     """True where the text may hold characters of a wrong charset; a superset of what repair confirms. NULL gives false."""
-    return F.coalesce(c.rlike(f"{_MISREAD}|{_BROKEN}"), F.lit(False))
+    return F.coalesce(c.rlike(_SUSPECT) | (c.contains(";") & c.rlike(_BROKEN_ENTITIES)), F.lit(False))
 
 
 # ---------------------------------------------------------------- endings
@@ -83,25 +93,37 @@ _ENTITY_STOPS = "|".join([re.escape("&atilde;&euro;&sbquo;"), re.escape("&atilde
 WHOLE, NOTE, OMITTED, OPEN = "whole", "note", "omitted", "open"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` needs it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ending_text(c: Column) -> Column:
     """The last 600 characters of a text without closing markup and white space: all that an ending is judged by."""
-    return F.regexp_replace(F.regexp_replace(F.substring(c, -600, 600), r"(?:\s|\x{a0}|</[A-Za-z][A-Za-z0-9:]*>|<br ?/?>)+$", ""), r"\s+", " ")
+    return F.regexp_replace(F.substring(c, -600, 600), r"(?:\s|\x{a0}|</[A-Za-z][A-Za-z0-9:]*>|<br ?/?>)+$", "")
 
 
-def ending_class(c: Column) -> Column:
-    """``whole``, ``note``, ``omitted`` or ``open``; NULL for absent and blank text."""
-    t = ending_text(c)
+def _class_of(t: Column) -> Column:
     misread = "|".join(re.escape(s) for s in _MISREAD_STOPS)
-    open_note = rf"{_STOP}{_CLOSERS}\s*{_NOTES}(?:(?!{_STOP}\s).)*$"
+    open_note = rf"(?s){_STOP}{_CLOSERS}\s*{_NOTES}(?:(?!{_STOP}\s).)*$"
+    last = lambda n: F.substring(t, -n, n)
+    omitted = last(60).rlike(rf"{_OMISSION}$")
+    before = F.regexp_replace(last(80), rf"\s*{_OMISSION}$", "")
     return (
-        F.when(c.isNull() | (t == ""), F.lit(None).cast("string"))
-        .when(t.rlike(rf"{_OMISSION}$"), F.when(F.regexp_replace(t, rf"\s*{_OMISSION}$", "").rlike(rf"{_STOP}{_CLOSERS}$"), F.lit(WHOLE)).otherwise(F.lit(OMITTED)))
-        .when(t.rlike(rf"(?:{_STOP}{_CLOSERS}|{misread}|{_ENTITY_STOPS})$"), F.lit(WHOLE))
+        F.when(t == "", F.lit(None).cast("string"))
+        .when(last(6).rlike(rf"(?:^|[^.]){_STOP}{_CLOSERS}$"), F.lit(WHOLE))
+        .when(omitted, F.when(before.rlike(rf"{_STOP}{_CLOSERS}$"), F.lit(WHOLE)).otherwise(F.lit(OMITTED)))
+        .when(last(40).rlike(rf"(?:{_STOP}{_CLOSERS}|{misread}|{_ENTITY_STOPS})$"), F.lit(WHOLE))
         .when(t.rlike(open_note), F.lit(NOTE))
         .otherwise(F.lit(OPEN))
     )
 
 
+def ending_class(c: Column) -> Column:
+    """``whole``, ``note``, ``omitted`` or ``open``; NULL for absent and blank text."""
+    return F.when(c.isNotNull(), _let(ending_text(c), _class_of))
+
+
 def looks_cut(c: Column) -> Column:
     """True where the ending alone shows a cut in mid-word or mid-sentence; NULL and blank give false."""
     return F.coalesce(ending_class(c).isin(OMITTED, OPEN), F.lit(False))
@@ -109,4 +131,5 @@ def looks_cut(c: Column) -> Column:
 
 def visible_length(c: Column) -> Column:
     """Characters of a text as displayed: markup does not count, entities count as one. NULL gives 0."""
-    return F.coalesce(F.length(F.trim(F.regexp_replace(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", ""), r"&[A-Za-z]+;", "x"))), F.lit(0))
+    shown = F.regexp_replace(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", ""), r"&[A-Za-z]+;", "x")
+    return F.coalesce(F.length(F.trim(F.when(c.contains("<") | c.contains("&"), shown).otherwise(c))), F.lit(0))
