@@ -24,7 +24,7 @@ def test_truncation(spark):
         whole = text(rng.randrange(80, 600))
         if i % 2 and len(whole) > 250:
             rows.append((i, "limited", whole[:250]))
-            if whole[249] not in ".":
+            if not whole[:250].rstrip().endswith("."):
                 cut.add(i)
         else:
             rows.append((i, "limited" if i % 2 else None, whole))
