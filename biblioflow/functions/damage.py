@@ -67,7 +67,7 @@ _MISREAD = "|".join(
 #: What no charset gives for sound text: replacement and C1 control characters, a misread letter whose
 #: second byte was lost, and entities of such letters.
 _BROKEN = r"[\x{fffd}\x{80}-\x{9f}]|(?<=[a-z])[\x{c3}\x{c2}](?=[ ,.;:]|$)|\x{e2}[\x{20ac}\x{201a}\x{bb}]"
-_BROKEN_ENTITIES = r"&(?:ETH|Ntilde|Atilde|Acirc|acirc|Aring|aring|ccedil|euro|Icirc|eth|AElig|aelig|egrave|eacute);(?:&[A-Za-z0-9]+;|[\x{80}-\x{bf}])"
+_BROKEN_ENTITIES = r"&(?:ETH|Ntilde|Atilde|Acirc|acirc|Aring|aring|ccedil|euro|Icirc|eth|AElig|aelig|egrave|eacute|#(?:19[4-9]|2[0-4][0-9]|[38][0-9]{2,3}));(?:&#?[A-Za-z0-9]+;|[\x{80}-\x{bf}])"
 #: ASCII characters fail the first test, so the alternatives are tried at foreign characters only.
 _SUSPECT = rf"(?=[^\x{{0}}-\x{{7f}}])(?:{_BROKEN}|{_MISREAD})"
 
@@ -80,13 +80,22 @@ def charset_suspect(c: Column) -> Column:
 # ---------------------------------------------------------------- endings
 
 #: Marks of omission (fixed values).
-_OMISSION = r"(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\])(?:\s*\(?(?:[Rr]ead|[Ss]ee|[Ss]how|[Ll]earn) [Mm]ore\)?|\s*\(?more\)?)?"
+_OMISSION = r"(?:…|\.\.\.|&#8230;|&hellip;|\[\s*(?:…|\.\.\.|&#8230;|&hellip;)\s*\])(?:\s*\(?(?:[Rr]ead|[Ss]ee|[Ss]how|[Ll]earn) [Mm]ore\)?|\s*\(?more\)?)?"
 #: Notes that follow the last sentence (fixed values).
-_NOTES = r"(?:©|\(c\)|&copy;|[Cc]opyright|[Kk]ey ?words?\b|[Gg]raphical [Aa]bstract|[Tt]his (?:article|work) is|[Pp]ublished (?:by|under|online)|[Ss]upplementary|[Ss]upporting [Ii]nformation|\((?:[Pp]art of|[Ii]n |[Ff]rom |[Tt]ranslat))"
+_NOTES = r"(?:©|\x{fffd} ?(?:19|20)[0-9]{2}\b|\(c\)|&copy;|[Cc]opyright|[Kk]ey ?words?\b|[Gg]raphical [Aa]bstract|[Tt]his (?:article|work) is|[Pp]ublished (?:by|under|online)|[Ss]upplementary|[Ss]upporting [Ii]nformation|\((?:[Pp]art of|[Ii]n |[Ff]rom |[Tt]ranslat))"
 _STOP = r"[.!?。！？｡]"
 _CLOSERS = r"[)\]\x{201d}\x{2019}\x{bb}\"'*]*"
-#: The full stop of Chinese and Japanese as a wrong charset shows it, once or twice over.
-_MISREAD_STOPS = sorted({s for e in LEGACY_CHARSETS + ("latin-1",) for s in [b"\xe3\x80\x82".decode(e, "replace"), b"\xe3\x80\x82".decode(e, "replace").encode("utf-8").decode(e, "replace")]} | {"ã€‚", "Ã£â‚¬â€š"})
+
+
+def _misread(sign: str) -> list[str]:
+    """How wrong charsets show a sign, once or twice over."""
+    once = [sign.encode("utf-8").decode(e, "replace") for e in (*LEGACY_CHARSETS, "latin-1")]
+    return sorted({*once, *(shown.encode("utf-8").decode(e, "replace") for shown, e in zip(once, (*LEGACY_CHARSETS, "latin-1")))})
+
+
+#: The full stop of Chinese and Japanese, and the copyright sign that begins a note, as wrong charsets show them.
+_MISREAD_STOPS = _misread("。")
+_MISREAD_NOTE = "|".join(re.escape(s) for s in _misread("©"))
 _ENTITY_STOPS = "|".join([re.escape("&atilde;&euro;&sbquo;"), re.escape("&atilde;\x80\x82")])
 
 #: Ending classes; ``whole`` and ``note`` speak for a complete text, the others for a cut.
@@ -105,7 +114,7 @@ def ending_text(c: Column) -> Column:
 
 def _class_of(t: Column) -> Column:
     misread = "|".join(re.escape(s) for s in _MISREAD_STOPS)
-    open_note = rf"(?s){_STOP}{_CLOSERS}\s*{_NOTES}(?:(?!{_STOP}\s).)*$"
+    open_note = rf"(?s)(?:{_STOP}{_CLOSERS}|{misread}|{_ENTITY_STOPS})\s*(?:{_NOTES}|{_MISREAD_NOTE}|&Acirc;&copy;)(?:(?!{_STOP}\s).)*$"
     last = lambda n: F.substring(t, -n, n)
     omitted = last(60).rlike(rf"{_OMISSION}$")
     before = F.regexp_replace(last(80), rf"\s*{_OMISSION}$", "")
