@@ -7,9 +7,9 @@ import numpy as np
 #: Nodes of a graph, links a node keeps, candidates they are chosen from, and the size under which a scan is the search.
 GRAPH_NODES, LINKS, CANDIDATES, SCAN_NODES = 3000, 10, 24, 192
 #: Beam widths tried in turn, and the share of exhaustively found neighbours that is enough.
-BEAMS, ENOUGH = (8, 16, 32, 64), 0.97
-#: Nodes a walk starts from, and nodes it opens at a time.
-ENTRIES, STEP = 64, 4
+BEAMS, ENOUGH = (8, 16, 32, 64), 0.99
+#: Nodes a walk starts from, nodes it opens at a time, and queries that tune a beam.
+ENTRIES, STEP, PROBES = 64, 4, 128
 
 
 class Graph:
@@ -50,15 +50,31 @@ class Graph:
         self.links = np.concatenate([links, back], axis=1)
         self.entries = np.linspace(0, n - 1, ENTRIES).astype(np.int64)
         probes = tune if tune is not None and len(tune) else vectors
-        probes = probes[np.linspace(0, len(probes) - 1, min(len(probes), 64)).astype(int)]
-        exact = probes @ vectors.T >= least
+        probes = probes[np.linspace(0, len(probes) - 1, min(len(probes), PROBES)).astype(int)]
+        near = probes @ vectors.T
+        exact, best = near >= least, near.argmax(1)
+        has_best = np.flatnonzero(exact.any(1))
         for self.beam in BEAMS:
             found, _ = self._walk(probes, self.beam)
             met = np.zeros_like(exact)
             met[np.arange(len(probes))[:, None], np.where(found < 0, self.entries[0], found)] = True
             enough = np.minimum(exact.sum(1), self.beam)  # a full beam is followed by a scan
-            if (np.minimum((met & exact).sum(1), enough)).sum() >= ENOUGH * enough.sum():
-                break
+            if (np.minimum((met & exact).sum(1), enough)).sum() >= ENOUGH * enough.sum() and met[has_best, best[has_best]].sum() >= ENOUGH * len(has_best):
+                return
+        self.beam = 0  # no beam finds enough here: the shard is scanned
+
+    def pack(self) -> tuple[bytes, bytes, int]:
+        """What ``restore`` needs besides the threshold: vectors, links and the tuned beam."""
+        return self.vectors.tobytes(), self.links.tobytes() if self.beam else b"", self.beam
+
+    @classmethod
+    def restore(cls, packed: tuple[bytes, bytes, int], dimensions: int, least: float) -> Graph:
+        graph = cls.__new__(cls)
+        graph.vectors, graph.least, graph.beam = np.frombuffer(packed[0], np.float32).reshape(-1, dimensions), least, packed[2]
+        if graph.beam:
+            graph.links = np.frombuffer(packed[1], np.int32).reshape(len(graph.vectors), -1)
+            graph.entries = np.linspace(0, len(graph.vectors) - 1, ENTRIES).astype(np.int64)
+        return graph
 
     def _walk(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, similarities)`` of the ``beam`` best nodes that each query's walk meets; -1 pads.

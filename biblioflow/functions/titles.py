@@ -72,7 +72,7 @@ def trigram_weights(forms: list[str]) -> np.ndarray:
     rows, buckets = trigram_buckets(forms)
     pairs = np.unique(rows * BUCKETS + buckets)
     df = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    return np.log((len(forms) + 1) / (df + 0.5)).clip(0.1).astype(np.float32)
+    return np.log((len(forms) + 5) / (df + 5)).clip(0.1).astype(np.float32)  # unseen ones, slips mostly, weigh as rare ones
 
 
 _PLACE = ((np.arange(BUCKETS, dtype=np.uint64) * np.uint64(2654435761)) >> np.uint64(7)) & np.uint64(2 * DIMENSIONS - 1)

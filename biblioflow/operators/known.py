@@ -19,7 +19,7 @@ from biblioflow.session import cut_lineage
 #: Titles that weights and cell centres are fitted on at most, titles a cell should hold, and cells at most.
 SAMPLE_TITLES, CELL_TITLES, MOST_CELLS = 20_000, 1500, 2000
 #: Nearest cells that a title is stored in and that a query looks into, and the least similarity of a candidate.
-STORE_CELLS, PROBE_CELLS, LEAST_SIMILARITY = 1, 3, 0.6
+STORE_CELLS, PROBE_CELLS, LEAST_SIMILARITY = 1, 3, 0.55
 #: Batch shards of a cell that are merged into one when there are more.
 COMPACT_OVER = 4
 #: Days between publication dates of one work, at most.
@@ -171,9 +171,13 @@ def _search(model) -> object:
 
 
 def fit_title_model(nodes: DataFrame, total: int) -> TitleModel:
-    """The model fitted on the ``SAMPLE_TITLES`` forms of smallest hash; every form is indexed with it."""
-    sample = nodes.select("form").orderBy(F.xxhash64("form"), "form").limit(SAMPLE_TITLES).toPandas()["form"].tolist()
-    return TitleModel.fit(sample, total)
+    """The model fitted on about ``SAMPLE_TITLES`` forms of smallest hash; every form is indexed with it.
+
+    The hash bound is set from ``total``, so what reaches the driver stays the same size at every scale.
+    """
+    share = min(1.0, SAMPLE_TITLES / max(total, 1))
+    sample = nodes.where(F.xxhash64("form") / F.lit(2.0**64) + 0.5 <= share).select("form").toPandas()["form"]
+    return TitleModel.fit(sorted(sample), total)
 
 
 def same_title_pairs(nodes: DataFrame, total: int | None = None) -> DataFrame:
