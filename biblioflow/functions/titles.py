@@ -119,7 +119,7 @@ def title_changes(a: tuple[str, ...], b: tuple[str, ...], rare) -> tuple[int, in
     """``(slips, rewordings, omissions)`` between two token lists; None where they tell different works.
 
     A replaced word is a slip if its letters are near, else a rewording; a rewording of one rare word by
-    another, or of one number by another, means different works.
+    another, or of anything by a number or formula, means different works.
     """
     slips = reworded = omitted = 0
     for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
@@ -145,7 +145,7 @@ def title_changes(a: tuple[str, ...], b: tuple[str, ...], rare) -> tuple[int, in
         rest_left = [x for x in left if not any(_near(x, y) for y in right)]
         rest_right = [y for y in right if not any(_near(x, y) for x in left)]
         slips += min(len(left) - len(rest_left), len(right) - len(rest_right))
-        if any(map(rare, rest_left)) and any(map(rare, rest_right)):
+        if rest_left and rest_right and (any(map(rare, rest_left)) and any(map(rare, rest_right)) or any(c.isdigit() for c in "".join(rest_left + rest_right))):
             return None
         reworded += min(len(rest_left), len(rest_right))
         omitted += abs(len(rest_left) - len(rest_right))
@@ -164,8 +164,8 @@ def _may_match(a: tuple[str, ...], b: tuple[str, ...], rare) -> bool:
 def same_title(a: str, b: str, rare) -> int:
     """0: different works. 1: the same title. 2: the same title only if the dates agree as well.
 
-    Both are match forms. Slips, one rewording and one omission leave a title the same; one more of these
-    changes, or a lost subtitle, needs the dates.
+    Both are match forms. Slips and one rewording or omission leave a title the same, and so does a lost
+    subtitle; up to two more such changes need the dates.
     """
     if a == b:
         return 1
@@ -189,7 +189,7 @@ def same_title(a: str, b: str, rare) -> int:
         size = min(len(tx), len(ty))
         if slips > max(2, size // 4) or slips + reworded + omitted > size // 2:
             continue
-        if not lost and reworded == 0 and omitted <= 1 or reworded + omitted == 0:
+        if reworded + omitted <= (0 if lost else 1):
             best = 1
         elif reworded <= 2 and omitted <= 2 and reworded + omitted <= 3:
             best = best or 2

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblioflow.session import cut_lineage
+
 #: Letters that are displayed alike (fixed values): Cyrillic, Greek and Armenian letters and their Latin looks.
 LOOKALIKES = (
     ("асԁеһіјӏоԛрѕԝхуүёїѐѝ", "acdehijloqpswxyyëïèì"),
@@ -93,7 +95,7 @@ def consistent_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def text_hashes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(_key, _text_hash, _form_hash)`` of each non-NULL text; only these 128-bit digests are shuffled later on."""
+    """``(_key, _text_hash, _form_hash)`` of each non-NULL text; only these 128-bit digests are kept and shuffled later on."""
     sql = f"SELECT _key, md5(_text) AS _text_hash, md5({form_sql('_text')}) AS _form_hash FROM batch"
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
@@ -114,7 +116,7 @@ def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     text, ``copies`` the documents and ``variants`` the stored texts of the class. Hot classes are combined
     before the shuffle.
     """
-    hashes = text_hashes(df, key, text)
+    hashes = cut_lineage(text_hashes(df, key, text))
     texts, forms = _variants(hashes)
     known = texts.join(forms, "_form_hash").select("_text_hash", F.col("_class").alias("class_id"), F.col("_rep").alias("variant_id"), F.col("_docs").alias("copies"), F.col("_ways").alias("variants"))
     return hashes.select("_key", "_text_hash").join(known, "_text_hash").select(F.col("_key").alias(key), "class_id", "variant_id", "copies", "variants")
@@ -127,7 +129,7 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     add rows in proportion to their number, not to its square. Documents whose form is stored one way only
     are left out before the join.
     """
-    hashes = text_hashes(df, key, text)
+    hashes = cut_lineage(text_hashes(df, key, text))
     texts, forms = _variants(hashes)
     several = texts.join(forms.where(F.col("_ways") > 1).select("_form_hash"), "_form_hash")
     members = hashes.join(several.select("_text_hash"), "_text_hash", "left_semi")

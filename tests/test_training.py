@@ -111,7 +111,8 @@ def test_same_title():
     rare = lambda w: w in {"honovadine", "kenemidal"}
     a = match_form("Linking pressure to turnover of glass: the Honovadine experiment")
     assert same_title(a, match_form("Just Accepted: linking pressure to turnover of glas: the Honovadine experiment."), rare) == 1
-    assert same_title(a, match_form("Connecting pressure to turnover of glass: the Honovadine experiment"), rare) == 2
+    assert same_title(a, match_form("Connecting pressure to turnover of glass: the Honovadine experiment"), rare) == 1
+    assert same_title(a, match_form("Connecting pressure with turnover of glass: the Honovadine experiment"), rare) == 2
     assert same_title(a, match_form("Linking pressure to turnover of glass: the Kenemidal experiment"), rare) == 0
     assert same_title(a, match_form("Linking pressure to turnover of glass: the Honovadine experiment. Part 2"), rare) == 0
     assert same_title(match_form("x at 12 K of the Honovadine"), match_form("x at 13 K of the Honovadine"), rare) == 0
