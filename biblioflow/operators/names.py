@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from biblioflow.functions.names import Name, deletions, parse_name, slip
 from biblioflow.session import cut_lineage
 
-#: A family joins another that is one slip away only if it has at most this share of the other's spellings.
+#: A family joins another that is one slip away only if it has at most this share of the other's spellings (or both have one).
 MINOR_SHARE = 0.5
 
 _PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "kind", "family", "given", "rest", "other_family", "other_given")] + [T.StructField("n", T.LongType())])
@@ -168,7 +168,7 @@ def _covers(kind: str, small: list[str], large: list[str]) -> bool:
 
 def _merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(kind, a, b, nb) for kind, a, na, ma, b, nb, mb in batch[["kind", "root", "names", "members", "into", "into_names", "into_members"]].itertuples(index=False, name=None) if min(len(a), len(b)) >= 4 and slip(a, b) and na <= MINOR_SHARE * nb and _covers(kind, list(ma), list(mb))]
+        rows = [(kind, a, b, nb) for kind, a, na, ma, b, nb, mb in batch[["kind", "root", "names", "members", "into", "into_names", "into_members"]].itertuples(index=False, name=None) if min(len(a), len(b)) >= 4 and slip(a, b) and (na <= MINOR_SHARE * nb or na == nb == 1 and a < b) and _covers(kind, list(ma), list(mb))]
         yield pd.DataFrame(rows, columns=[f.name for f in _MERGES])
 
 
@@ -194,7 +194,7 @@ def resolve_names(columns: list[tuple[DataFrame, str]], max_rounds: int = 8) ->
     for _ in range(max_rounds):
         profiles = cut_lineage(_sorted_families(state).mapInPandas(_profile_batches, _FAMILIES))
         other = profiles.select("kind", "key", F.col("root").alias("into"), F.col("names").alias("into_names"), F.col("members").alias("into_members"))
-        met = profiles.join(other, ["kind", "key"]).where((F.col("root") != F.col("into")) & (F.col("names") <= MINOR_SHARE * F.col("into_names"))).dropDuplicates(["kind", "root", "into"])
+        met = profiles.join(other, ["kind", "key"]).where((F.col("root") != F.col("into")) & ((F.col("names") <= MINOR_SHARE * F.col("into_names")) | ((F.col("into_names") == 1) & (F.col("names") == 1) & (F.col("root") < F.col("into"))))).dropDuplicates(["kind", "root", "into"])
         merges = met.mapInPandas(_merge_batches, _MERGES).groupBy("kind", "root").agg(F.max_by("into", F.struct("names", "into")).alias("into"))
         merges = cut_lineage(merges)
         settled = merges.join(merges.select("kind", F.col("root").alias("into")), ["kind", "into"], "left_anti")

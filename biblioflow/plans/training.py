@@ -66,4 +66,5 @@ keyed AS (
 
 ORACLES = {
     "p5_found": f"WITH {_RECORD} SELECT keep_id, paper_id FROM (SELECT paper_id, min(paper_id) OVER (PARTITION BY d, t) AS keep_id FROM keyed WHERE d IS NOT NULL OR t IS NOT NULL) WHERE paper_id > keep_id",
+    "p5_records": f"WITH {_RECORD} SELECT min(paper_id) AS keep_id, count(*) AS copies FROM keyed GROUP BY d, t, CASE WHEN d IS NULL AND t IS NULL THEN paper_id END",
 }
