@@ -126,7 +126,8 @@ def best_title_matches(papers: DataFrame, works: DataFrame, sort_author_tokens:
     a = prefix.where("_side = 0").select(F.col("_t").alias("_ta"), F.col("_size").alias("_sa"), "w")
     b = prefix.where("_side = 1").select(F.col("_t").alias("_tb"), F.col("_size").alias("_sb"), "w")
     met = a.join(b, "w").where((F.col("_sa") >= floor_j * F.col("_sb") - 1e-9) & (F.col("_sb") >= floor_j * F.col("_sa") - 1e-9)).select("_ta", "_tb").distinct()
-    similar = met.withColumn("_j", jaccard(words(F.col("_ta")), words(F.col("_tb")))).withColumn("_shared", F.size(F.array_intersect(words(F.col("_ta")), words(F.col("_tb"))))).where(F.col("_j") >= floor_j - 1e-9)
+    split = met.withColumn("_x", words(F.col("_ta"))).withColumn("_y", words(F.col("_tb"))).withColumn("_shared", F.size(F.array_intersect("_x", "_y")))
+    similar = split.withColumn("_j", F.col("_shared") / (F.size("_x") + F.size("_y") - F.col("_shared"))).where(F.col("_j") >= floor_j - 1e-9).drop("_x", "_y")
     pairs = left.join(similar, left["_t"] == similar["_ta"]).drop("_t").join(right, F.col("_tb") == right["_t"]).select(key, "work_id", "_j", "_shared", "_a", "_wa")
     near = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_shared"), F.asc("work_id")))).where(F.col("_rank") <= CANDIDATES)
     normal = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: author_key(x, sort_author_tokens)), lambda x: x != ""))

@@ -38,24 +38,41 @@ def stems(normal: Column) -> Column:
 
 def with_synonyms(normal: Column) -> Column:
     """The words of a normalized text and one step of synonyms."""
-    table = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(SYNONYMS)), "map<string,string>")  # folded to one literal
     return F.array_union(words(normal), F.array_compact(F.transform(words(normal), lambda w: F.try_element_at(table, w))))
 
 
-def _subset(small: Column, large: Column) -> Column:
-    return (F.size(small) > 0) & (F.size(F.array_except(small, large)) == 0)
+def _keyword_forms(keyword: str) -> tuple[str, list[str], list[str], list[str]]:
+    """The same forms of a keyword, on the driver: normalized text, words, stems, words with synonyms."""
+    normal = " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"[-_]", " ", keyword.lower())).split())
+    each = list(dict.fromkeys(normal.split()))
+    endings = (("ies", 3, 3, "y"), ("es", 2, 2, ""), ("s", 2, 1, ""), ("ed", 2, 2, ""), ("ing", 3, 3, ""))
 
+    def cut(w: str) -> str:
+        for ending, least, drop, add in endings:
+            if w.endswith(ending) and len(w) > least and not (ending == "s" and w.endswith("ss")):
+                return w[:-drop] + add
+        return w
 
-def matches_keyword(text: Column, keyword: str) -> Column:
+    return normal, each, sorted({cut(w) for w in each}), sorted({*each, *(SYNONYMS[w] for w in each if w in SYNONYMS)})
+
+
+def _holds_all(wanted: list[str], held: Column) -> Column:
+    return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), held)) == 0 if wanted else F.lit(False)
+
+
+def _forms(df: DataFrame, text: Column) -> DataFrame:
+    """The forms of a text that keywords are compared with, each computed once per row."""
+    return df.withColumn("_normal", norm_text(F.coalesce(text, F.lit("")))).withColumn("_words", words(F.col("_normal"))).withColumn("_stems", F.array_distinct(F.transform("_words", stem))).withColumn("_synonyms", with_synonyms(F.col("_normal")))
+
+
+def _matches(keyword: str) -> Column:
     """Substring, all words, all stems, all words with synonyms, or a core term on both sides."""
-    normal, wanted = norm_text(F.coalesce(text, F.lit(""))), norm_text(F.lit(keyword))
-    core = []
-    plain = " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"[-_]", " ", keyword.lower())).split())
-    for term in CORE_TERMS:
-        shown = term.replace("-", " ")
-        if set(shown.split()) <= set(plain.split()) or shown in plain:
-            core.append(_subset(F.array(*[F.lit(x) for x in shown.split()]), words(normal)) | normal.contains(shown))
-    tests = [normal.contains(wanted), _subset(words(wanted), words(normal)), _subset(stems(wanted), stems(normal)), _subset(with_synonyms(wanted), with_synonyms(normal)), *core]
+    normal, each, stemmed, wide = _keyword_forms(keyword)
+    tests = [F.col("_normal").contains(normal), _holds_all(each, F.col("_words")), _holds_all(stemmed, F.col("_stems")), _holds_all(wide, F.col("_synonyms"))]
+    for shown in sorted({term.replace("-", " ") for term in CORE_TERMS}):
+        if set(shown.split()) <= set(each) or shown in normal:
+            tests += [_holds_all(shown.split(), F.col("_words")), F.col("_normal").contains(shown)]
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -64,7 +81,8 @@ def with_relevance(df: DataFrame, keywords: list[str], text: Column | None = Non
     if not keywords:
         raise ValueError("keywords must not be empty")
     whole = F.concat_ws(" ", "title", "abstract") if text is None else text
-    return df.withColumn("relevant", reduce(lambda a, b: a | b, [matches_keyword(whole, k) for k in keywords]))
+    judged = _forms(df, whole).withColumn("relevant", reduce(lambda a, b: a | b, [_matches(k) for k in keywords]))
+    return judged.drop("_normal", "_words", "_stems", "_synonyms")
 
 
 def parse_keywords(reply: str) -> list[str]:
