@@ -71,7 +71,8 @@ def test_names(spark):
 
 def test_known_rows(spark):
     title = "Linking applied pressure to catalytic turnover of LiFePO₄: the Honovadine experiment"
-    old = make(spark, [paper(1, "10.990001/a", title, url="https://p.example/article/1", day=date(2024, 1, 10)), paper(2, None, "Robust memristors with hard carbon and the Zimatasby criterion", day=date(2024, 2, 1)), paper(3)])
+    other = "Tunable fuel cells with tin selenide, oxygen partial pressure and the Gutonamark criterion"
+    old = make(spark, [paper(1, "10.990001/a", title, url="https://p.example/article/1", day=date(2024, 1, 10)), paper(2, None, "Robust memristors with hard carbon and the Zimatasby criterion", day=date(2024, 2, 1)), paper(3), paper(4, "10.990001/m", other, day=date(2024, 1, 10))])
     new = make(
         spark,
         [
@@ -80,7 +81,7 @@ def test_known_rows(spark):
             paper(3, None, title.replace("turnover", "trunover"), day=date(2024, 1, 12)),
             paper(4, None, title, day=date(2024, 3, 12)),
             paper(5, None, "[ASAP] " + title.upper(), day=None),
-            paper(6, "10.990001/z", title, day=date(2024, 9, 1)),
+            paper(6, "10.990001/z", other, day=date(2024, 1, 10)),
             paper(7, None, "Erratum: " + title, day=date(2024, 1, 10)),
             paper(8, None, "A new title about zeolitic glass from Parakuton", day=date(2024, 1, 1)),
             paper(9, None, "A new title about zeolitic glass from Parakuton (In Press)", day=date(2024, 1, 3)),
