@@ -62,7 +62,14 @@ QUERIES = {q.__name__: q for q in (p1_found, p1_sources, p2_found, p2_repaired,
 
 _FORM = lookalike.form_sql("text")
 
+_WORDS = r"list_filter(list_transform(string_split_regex(lower({}), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]+', '', 'g')), lambda w: w <> '')"
+_GRAMS = "SELECT {0}, array_to_string(w[i:i+11], ' ') AS p FROM {1}, unnest(range(1, len(w) - 10)) AS t(i)"
+
 ORACLES = {
+    "p7_found": f"""WITH items AS (SELECT item_id, {_WORDS.format("string_split(text, chr(10) || chr(10))[2]")} AS w FROM eval_items), docs AS (SELECT doc_id, {_WORDS.format(_FORM)} AS w FROM documents),
+        a AS ({_GRAMS.format("item_id", "items")}), b AS ({_GRAMS.format("doc_id", "docs")}) SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (p)""",
+    "p9_classes": f"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL), v AS (SELECT form, count(DISTINCT text) AS variants FROM f GROUP BY form)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY f.form) AS class_id, min(doc_id) OVER (PARTITION BY f.form, text) AS variant_id, count(*) OVER (PARTITION BY f.form) AS copies, variants FROM f JOIN v ON v.form = f.form""",
     "p9_forms": f"SELECT doc_id, md5({_FORM}) AS form_md5, length({_FORM})::BIGINT AS form_chars, coalesce({_FORM} <> text, false) AS changed FROM documents",
     "p9_found": f"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL), v AS (SELECT form, text, min(doc_id) AS rep FROM f GROUP BY form, text)
         SELECT DISTINCT least(f.doc_id, v.rep) AS doc_id_a, greatest(f.doc_id, v.rep) AS doc_id_b FROM f JOIN v ON f.form = v.form AND f.text <> v.text""",
