@@ -13,13 +13,17 @@ from pyspark.sql import types as T
 
 from biblioflow.functions.canonical import doi_canonical
 from biblioflow.functions.graph import GRAPH_NODES, Graph
-from biblioflow.functions.titles import match_form, same_title, tokens, trigram_weights, vectors
+from biblioflow.functions.titles import head_of, match_form, same_title, tokens, trigram_weights, vectors
 from biblioflow.session import cut_lineage
 
 #: Titles that weights and cell centres are fitted on at most, titles a cell should hold, and cells at most.
 SAMPLE_TITLES, CELL_TITLES, MOST_CELLS = 20_000, 1500, 2000
-#: Nearest cells that a title is stored in and that a query looks into, and the least similarity of a candidate.
+#: Nearest cells that a title is stored in and that a query looks into at least, and the least similarity of a candidate.
 STORE_CELLS, PROBE_CELLS, LEAST_SIMILARITY = 1, 3, 0.55
+#: A query looks into every cell that is less similar than its nearest by this much at most, so their number grows with the cells.
+PROBE_MARGIN = 0.2
+#: Asking titles whose cells are spread out at a time.
+SPREAD_ROWS = 1000
 #: Batch shards of a cell that are merged into one when there are more.
 COMPACT_OVER = 4
 #: Days between publication dates of one work, at most.
@@ -27,7 +31,7 @@ DATE_SLACK = 7
 #: Query keys that only track a click (fixed values; ``utm_*`` besides).
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "mkt_tok", "ref", "source", "dclid", "msclkid", "yclid", "igshid", "cmpid", "campaign", "trk")
 
-_CELL = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("form", T.StringType()), T.StructField("batch", T.IntegerType()), T.StructField("first_day", T.IntegerType()), T.StructField("last_day", T.IntegerType()), T.StructField("bare", T.BooleanType())])
+_CELL = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("form", T.StringType()), T.StructField("batch", T.IntegerType()), T.StructField("first_day", T.IntegerType()), T.StructField("last_day", T.IntegerType()), T.StructField("bare", T.BooleanType()), T.StructField("head", T.BooleanType())])
 _PAIR = T.StructType([T.StructField("ask_node", T.LongType()), T.StructField("node", T.LongType()), T.StructField("how", T.IntegerType())])
 
 
@@ -65,8 +69,9 @@ class TitleModel:
     @classmethod
     def fit(cls, sample: list[str], total: int, cell_titles: int = CELL_TITLES) -> TitleModel:
         weights = trigram_weights(sample)
-        points = vectors(sample, weights)
-        k = int(np.clip(round(total / cell_titles), 1, min(MOST_CELLS, max(len(sample) // 8, 1))))
+        entries = sample + [h for h in map(head_of, sample) if h]
+        points, stored = vectors(entries, weights), total * len(entries) / max(len(sample), 1)
+        k = int(np.clip(round(stored / cell_titles), 1, min(MOST_CELLS, max(len(sample) // 8, 1))))
         centres = points[np.linspace(0, max(len(points) - 1, 0), k).astype(int)] if len(points) else np.zeros((1, points.shape[1]), np.float32)
         for _ in range(6 if k > 1 else 0):
             at = (points @ centres.T).argmax(1)
@@ -75,7 +80,7 @@ class TitleModel:
             filled = np.bincount(at, minlength=k) > 0
             centres[filled] = sums[filled] / np.maximum(np.linalg.norm(sums[filled], axis=1, keepdims=True), 1e-9)
         held = np.bincount((points @ centres.T).argmax(1), minlength=len(centres)) if len(points) else np.zeros(1)
-        parts = np.ceil(held / max(len(sample), 1) * total * STORE_CELLS / GRAPH_NODES).clip(1).astype(np.int64)
+        parts = np.ceil(held / max(len(entries), 1) * stored * STORE_CELLS / GRAPH_NODES).clip(1).astype(np.int64)
         df: dict[str, int] = {}
         for form in sample:
             for w in set(tokens(form)):
@@ -89,28 +94,50 @@ class TitleModel:
         m = min(m, len(self.centres))
         return np.argpartition(-(points @ self.centres.T), m - 1, axis=1)[:, :m]
 
+    def probes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, cell)`` of the cells that queries look into: all within ``PROBE_MARGIN`` of the nearest, ``PROBE_CELLS`` at least."""
+        near = points @ self.centres.T
+        m = min(PROBE_CELLS, len(self.centres))
+        least = np.partition(near, -m, axis=1)[:, -m]
+        return np.nonzero(near >= np.minimum(near.max(1) - PROBE_MARGIN, least)[:, None])
+
+
+def with_heads(titles: pd.DataFrame) -> pd.DataFrame:
+    """Titles, and once more those with a subtitle, where ``look`` is the main title: a title that lost its subtitle lies near that."""
+    heads = titles["form"].map(head_of)
+    short = heads.notna()
+    return pd.concat([titles.assign(look=titles["form"], head=False), titles[short].assign(look=heads[short], head=True)], ignore_index=True)
+
+
+def looks(rows: pd.DataFrame) -> list[str]:
+    """What each row of ``form, head`` is indexed or asks by."""
+    return [head_of(f) if h else f for f, h in zip(rows["form"], rows["head"])]
+
 
 def _assign(model) -> object:
     """Spread titles over cells: each form is stored in its nearest cell, queries look into a few more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: TitleModel = model.value
+        names = [f.name for f in _CELL]
         for batch in batches:
             if not len(batch):
                 continue
-            points = vectors(batch["form"].tolist(), m.weights)
-            stored = batch.rename(columns={"batch": "at"}).drop(columns="ask")
+            entries = with_heads(batch)
+            points = vectors(entries["look"].tolist(), m.weights)
+            stored = entries.rename(columns={"batch": "at"}).drop(columns=["ask", "look"])
             cells = m.cells(points, STORE_CELLS)
             held = stored.loc[stored.index.repeat(cells.shape[1])].assign(cell=cells.ravel(), role=0)
             held["part"] = held["node"].to_numpy() % m.parts[held["cell"].to_numpy()]
-            asks = np.flatnonzero(batch["ask"].to_numpy() >= 0)
-            cells = m.cells(points[asks], PROBE_CELLS)
-            asked = stored.iloc[asks].assign(at=batch["ask"].to_numpy()[asks])
-            asked = asked.loc[asked.index.repeat(cells.shape[1])].assign(cell=cells.ravel(), role=1)
-            parts = m.parts[asked["cell"].to_numpy()]
-            asked = asked.iloc[np.repeat(np.arange(len(asked)), parts)].copy()
-            asked["part"] = np.concatenate([np.arange(n) for n in parts]) if len(parts) else np.zeros(0, int)
-            yield pd.concat([held, asked]).rename(columns={"at": "batch"})[[f.name for f in _CELL]]
+            yield held.rename(columns={"at": "batch"})[names]
+            asks = np.flatnonzero(entries["ask"].to_numpy() >= 0)
+            for at in range(0, len(asks), SPREAD_ROWS):
+                some = asks[at : at + SPREAD_ROWS]
+                row, cell = m.probes(points[some])
+                parts = m.parts[cell]
+                row, cell = np.repeat(row, parts), np.repeat(cell, parts)
+                asked = stored.iloc[some[row]].assign(at=entries["ask"].to_numpy()[some[row]], cell=cell, role=1, part=np.concatenate([np.arange(n) for n in parts]))
+                yield asked.rename(columns={"at": "batch"})[names]
 
     return run
 
@@ -121,10 +148,10 @@ def _search_cell(rows: list[tuple], model: TitleModel) -> list[tuple[int, int, i
     asking = sorted((r for r in rows if r[0] == 1), key=lambda r: r[3])
     if not stored or not asking:
         return []
-    points, ask_points = vectors([r[2] for r in stored], model.weights), vectors([r[2] for r in asking], model.weights)
+    points, ask_points = (vectors([head_of(r[2]) if r[7] else r[2] for r in rows], model.weights) for rows in (stored, asking))
     batches, asked = np.array([r[3] for r in stored]), np.array([r[3] for r in asking])
-    since, until, bare = (np.array([r[i] for r in stored]) for i in (4, 5, 6))
-    ask_since, ask_until, ask_bare = (np.array([r[i] for r in asking]) for i in (4, 5, 6))
+    since, until, bare, head = (np.array([r[i] for r in stored]) for i in (4, 5, 6, 7))
+    ask_since, ask_until, ask_bare, ask_head = (np.array([r[i] for r in asking]) for i in (4, 5, 6, 7))
     shards: list[tuple[Graph, np.ndarray]] = []
     history, done, pairs = 0, set(), []
     for batch in np.unique(np.concatenate([batches, asked])):
@@ -143,7 +170,7 @@ def _search_cell(rows: list[tuple], model: TitleModel) -> list[tuple[int, int, i
             for graph, part in shards:
                 q, node = graph.search(ask_points[some])
                 q, node = some[q], part[node]
-                may = (ask_since[q] - DATE_SLACK <= until[node]) & (since[node] - DATE_SLACK <= ask_until[q]) & (ask_bare[q] | bare[node])
+                may = (ask_since[q] - DATE_SLACK <= until[node]) & (since[node] - DATE_SLACK <= ask_until[q]) & (ask_bare[q] | bare[node]) & ~(ask_head[q] & head[node])  # two main titles say nothing of two titles
                 for i, j in zip(q[may].tolist(), node[may].tolist()):
                     a, b = asking[i], stored[j]
                     if a[1] != b[1] and (a[1], b[1]) not in done:

@@ -14,32 +14,36 @@ from pyspark.sql import types as T
 
 from biblioflow.functions.graph import GRAPH_NODES, Graph
 from biblioflow.functions.titles import DIMENSIONS, same_title, vectors
-from biblioflow.operators.known import COMPACT_OVER, DATE_SLACK, LEAST_SIMILARITY, TitleModel, fit_title_model
+from biblioflow.operators.known import COMPACT_OVER, DATE_SLACK, LEAST_SIMILARITY, SPREAD_ROWS, STORE_CELLS, TitleModel, fit_title_model, looks, with_heads
 
-_LISTS = {"nodes": T.LongType(), "forms": T.StringType(), "first_days": T.IntegerType(), "last_days": T.IntegerType(), "bare": T.BooleanType()}
+_LISTS = {"nodes": T.LongType(), "forms": T.StringType(), "first_days": T.IntegerType(), "last_days": T.IntegerType(), "bare": T.BooleanType(), "heads": T.BooleanType()}
 _SHARD = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType())] + [T.StructField(n, T.ArrayType(t)) for n, t in _LISTS.items()] + [T.StructField("vectors", T.BinaryType()), T.StructField("links", T.BinaryType()), T.StructField("beam", T.IntegerType())])
-_ENTRY = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("form", T.StringType()), T.StructField("first_day", T.IntegerType()), T.StructField("last_day", T.IntegerType()), T.StructField("bare", T.BooleanType())])
+_ENTRY = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("form", T.StringType()), T.StructField("first_day", T.IntegerType()), T.StructField("last_day", T.IntegerType()), T.StructField("bare", T.BooleanType()), T.StructField("head", T.BooleanType())])
 _PAIR = "ask_node long, node long, how int"
 
 
 def _spread(model, probe: bool):
     """Titles with the cells they are stored in, or that a query looks into."""
-    from biblioflow.operators.known import PROBE_CELLS, STORE_CELLS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: TitleModel = model.value
+        names = [f.name for f in _ENTRY]
         for batch in batches:
             if not len(batch):
                 continue
-            cells = m.cells(vectors(batch["form"].tolist(), m.weights), PROBE_CELLS if probe else STORE_CELLS)
-            rows = batch.loc[batch.index.repeat(cells.shape[1])].assign(cell=cells.ravel())
-            parts = m.parts[rows["cell"].to_numpy()]
-            if probe:
-                rows = rows.iloc[np.repeat(np.arange(len(rows)), parts)].copy()
-                rows["part"] = np.concatenate([np.arange(n) for n in parts])
-            else:
-                rows["part"] = rows["node"].to_numpy() % parts
-            yield rows[[f.name for f in _ENTRY]]
+            entries = with_heads(batch)
+            for at in range(0, len(entries), SPREAD_ROWS):
+                some = entries.iloc[at : at + SPREAD_ROWS]
+                points = vectors(some["look"].tolist(), m.weights)
+                if probe:
+                    row, cell = m.probes(points)
+                    parts = m.parts[cell]
+                    rows = some.iloc[np.repeat(row, parts)].assign(cell=np.repeat(cell, parts), part=np.concatenate([np.arange(n) for n in parts]))
+                else:
+                    cells = m.cells(points, STORE_CELLS)
+                    rows = some.loc[some.index.repeat(cells.shape[1])].assign(cell=cells.ravel())
+                    rows["part"] = rows["node"].to_numpy() % m.parts[rows["cell"].to_numpy()]
+                yield rows[names]
 
     return run
 
@@ -48,8 +52,8 @@ def _shards(weights: np.ndarray, cell: int, part: int, rows: pd.DataFrame) -> li
     out = []
     for at in range(0, len(rows), GRAPH_NODES):
         some = rows.iloc[at : at + GRAPH_NODES]
-        packed = Graph(vectors(some["form"].tolist(), weights), LEAST_SIMILARITY).pack()
-        out.append((cell, part, some["node"].tolist(), some["form"].tolist(), some["first_day"].tolist(), some["last_day"].tolist(), some["bare"].tolist(), *packed))
+        packed = Graph(vectors(looks(some), weights), LEAST_SIMILARITY).pack()
+        out.append((cell, part, some["node"].tolist(), some["form"].tolist(), some["first_day"].tolist(), some["last_day"].tolist(), some["bare"].tolist(), some["head"].tolist(), *packed))
     return out
 
 
@@ -88,7 +92,7 @@ class TitleIndex:
         model = self.model
 
         def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_shards(model.value.weights, int(key[0]), int(key[1]), rows.sort_values("node")), columns=[f.name for f in _SHARD])
+            return pd.DataFrame(_shards(model.value.weights, int(key[0]), int(key[1]), rows.sort_values(["node", "head"])), columns=[f.name for f in _SHARD])
 
         entries.groupBy("cell", "part").applyInPandas(build, _SHARD).write.mode("overwrite").parquet(f"{self.path}/shards/{first}-{last}")
 
@@ -121,15 +125,15 @@ class TitleIndex:
         def look(shards: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
             pairs = set()
             if len(shards) and len(asking):
-                points = vectors(asking["form"].tolist(), model.value.weights)
-                since, until, bare = (asking[c].to_numpy() for c in ("first_day", "last_day", "bare"))
+                points = vectors(looks(asking), model.value.weights)
+                since, until, bare, head = (asking[c].to_numpy() for c in ("first_day", "last_day", "bare", "head"))
                 for shard in shards.itertuples(index=False):
                     graph = Graph.restore((shard.vectors, shard.links, shard.beam), DIMENSIONS, LEAST_SIMILARITY)
-                    first, last, open_ = np.array(shard.first_days), np.array(shard.last_days), np.array(shard.bare)
+                    first, last, open_, main = np.array(shard.first_days), np.array(shard.last_days), np.array(shard.bare), np.array(shard.heads)
                     for at in range(0, len(asking), 512):
                         q, node = graph.search(points[at : at + 512])
                         q = q + at
-                        may = (since[q] - DATE_SLACK <= last[node]) & (first[node] - DATE_SLACK <= until[q]) & (bare[q] | open_[node])
+                        may = (since[q] - DATE_SLACK <= last[node]) & (first[node] - DATE_SLACK <= until[q]) & (bare[q] | open_[node]) & ~(head[q] & main[node])
                         for i, j in zip(q[may].tolist(), node[may].tolist()):
                             if asking["node"].iloc[i] != shard.nodes[j] and (how := same_title(asking["form"].iloc[i], shard.forms[j], model.value.rare)):
                                 pairs.add((int(asking["node"].iloc[i]), int(shard.nodes[j]), how))
@@ -145,6 +149,6 @@ class TitleIndex:
         if len(single) <= COMPACT_OVER or single[-1][1] - single[0][0] + 1 != len(single):
             return False
         zipped = F.explode(F.arrays_zip(*_LISTS)).alias("e")
-        entries = self._read(single).select("cell", "part", zipped).select("cell", "part", F.col("e.nodes").alias("node"), F.col("e.forms").alias("form"), F.col("e.first_days").alias("first_day"), F.col("e.last_days").alias("last_day"), F.col("e.bare").alias("bare"))
+        entries = self._read(single).select("cell", "part", zipped).select("cell", "part", F.col("e.nodes").alias("node"), F.col("e.forms").alias("form"), F.col("e.first_days").alias("first_day"), F.col("e.last_days").alias("last_day"), F.col("e.bare").alias("bare"), F.col("e.heads").alias("head"))
         self._write(entries, single[0][0], single[-1][1])
         return True

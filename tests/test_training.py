@@ -3,14 +3,15 @@
 from datetime import date, datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from biblioflow.functions.graph import Graph
 from biblioflow.functions.names import parse_name, slip
-from biblioflow.functions.titles import match_form, same_title
+from biblioflow.functions.titles import head_of, match_form, same_title, vectors
 from biblioflow.operators.collapse import collapse_records, further_copies
-from biblioflow.operators.known import known_rows
+from biblioflow.operators.known import TitleModel, known_rows, with_heads
 from biblioflow.operators.names import variant_pairs
 from biblioflow.operators.survivor import best_values, surviving_records
 
@@ -118,3 +119,18 @@ def test_same_title():
     assert same_title(a, match_form("Linking pressure to turnover of glass: the Honovadine experiment. Part 2"), rare) == 0
     assert same_title(match_form("x at 12 K of the Honovadine"), match_form("x at 13 K of the Honovadine"), rare) == 0
     assert match_form(None) == ""
+
+
+def test_cells_hold_changed_titles_at_every_number_of_cells():
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstuvz"), rng.integers(5, 10))) for _ in range(600)]
+    titles = sorted({" ".join(rng.choice(words, 5)) + ": " + " ".join(rng.choice(words, 6)) for _ in range(3000)})
+    for cell_titles in (300, 30):
+        model = TitleModel.fit(titles, len(titles), cell_titles)
+        frame = with_heads(pd.DataFrame({"form": titles}))
+        cells = model.cells(vectors(frame["look"].tolist(), model.weights), 1).ravel()
+        asked = [head_of(t).replace("a", "e", 1) for t in titles]  # lost subtitles with a slip
+        row, cell = model.probes(vectors(asked, model.weights))
+        held = set(zip(frame["form"], cells))
+        met = {titles[r] for r, c in zip(row, cell) if (titles[r], c) in held}
+        assert len(met) >= 0.98 * len(titles)
