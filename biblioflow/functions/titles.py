@@ -23,6 +23,12 @@ _TOKEN = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}_])\w)+")
 _SUBTITLE = re.compile(r"\s*(?::|：|\s[–—-]\s|\. )")
 #: Words that make a title another work's: notices and numbered parts (fixed values).
 NOTICES = {"erratum", "errata", "correction", "corrigendum", "corrigenda", "retraction", "addendum", "expression", "editorial", "comment", "commentary", "reply", "response", "withdrawal", "withdrawn"}
+#: Words that link what a title is about; replacing or dropping them alone makes no other work (fixed values).
+LINKS = frozenset(
+    "a an the of in on at by for from to with within via as and or its using through under into upon during over between among toward towards revealed studied based "
+    "der die das den dem des ein eine einer von vom zu zur zum im in mit durch für aus bei und mittels le la les un une du de des d l en dans par pour avec sur et au aux "
+    "el los las una unos del con por para y sobre mediante o os as um uma do da dos das no na em com e и в во на с со по для из от при методом".split()
+)
 _PART = re.compile(r"\b(?:part|teil|parte|partie|часть|pt|volume|vol|no|supplement)\W{0,2}([0-9]+|[ivx]+)\b")
 
 BUCKETS, DIMENSIONS = 1 << 16, 128
@@ -115,19 +121,21 @@ def _edit_distance(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
-def title_changes(a: tuple[str, ...], b: tuple[str, ...], rare) -> tuple[int, int, int] | None:
-    """``(slips, rewordings, omissions)`` between two token lists; None where they tell different works.
+def title_changes(a: tuple[str, ...], b: tuple[str, ...], rare) -> tuple[int, int, int, bool] | None:
+    """``(slips, rewordings, omissions, whether those are of linking words only)`` between two token lists; None where they tell different works.
 
     A replaced word is a slip if its letters are near, else a rewording; a rewording of one rare word by
     another, or of anything by a number or formula, means different works.
     """
     slips = reworded = omitted = 0
+    linking = True
     for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if op == "equal":
             continue
         left, right = a[i1:i2], b[j1:j2]
         if op != "replace":
             omitted += len(left) + len(right)
+            linking &= LINKS.issuperset(left + right)
             continue
         if "".join(left) == "".join(right):
             continue
@@ -149,7 +157,8 @@ def title_changes(a: tuple[str, ...], b: tuple[str, ...], rare) -> tuple[int, in
             return None
         reworded += min(len(rest_left), len(rest_right))
         omitted += abs(len(rest_left) - len(rest_right))
-    return slips, reworded, omitted
+        linking &= LINKS.issuperset(rest_left + rest_right)
+    return slips, reworded, omitted, linking
 
 
 def _may_match(a: tuple[str, ...], b: tuple[str, ...], rare) -> bool:
@@ -165,7 +174,7 @@ def same_title(a: str, b: str, rare) -> int:
     """0: different works. 1: the same title. 2: the same title only if the dates agree as well.
 
     Both are match forms. Slips and one rewording or omission leave a title the same, and so does a lost
-    subtitle; up to two more such changes need the dates.
+    subtitle; up to two more such changes need the dates, unless they are of linking words only.
     """
     if a == b:
         return 1
@@ -185,12 +194,12 @@ def same_title(a: str, b: str, rare) -> int:
         changes = title_changes(tx, ty, rare)
         if changes is None:
             continue
-        slips, reworded, omitted = changes
+        slips, reworded, omitted, linking = changes
         size = min(len(tx), len(ty))
         if slips > max(2, size // 4) or slips + reworded + omitted > size // 2:
             continue
         if reworded + omitted <= (0 if lost else 1):
             best = 1
         elif reworded <= 2 and omitted <= 2 and reworded + omitted <= 3:
-            best = best or 2
+            best = 1 if linking else best or 2
     return best

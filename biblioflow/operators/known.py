@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from biblioflow.functions.canonical import doi_canonical
 from biblioflow.functions.graph import GRAPH_NODES, Graph
-from biblioflow.functions.titles import head_of, match_form, same_title, tokens, trigram_weights, vectors
+from biblioflow.functions.titles import LINKS, head_of, match_form, same_title, tokens, trigram_weights, vectors
 from biblioflow.session import cut_lineage
 
 #: Titles that weights and cell centres are fitted on at most, titles a cell should hold, and cells at most.
@@ -88,7 +88,7 @@ class TitleModel:
         return cls(weights, centres, parts, frozenset(w for w, n in df.items() if n > max(0.004 * len(sample), 2)))
 
     def rare(self, word: str) -> bool:
-        return len(word) >= 5 and word not in self.common and not any(c.isdigit() for c in word)
+        return len(word) >= 5 and word not in self.common and word not in LINKS and not any(c.isdigit() for c in word)
 
     def cells(self, points: np.ndarray, m: int) -> np.ndarray:
         m = min(m, len(self.centres))
@@ -241,7 +241,8 @@ def known_rows(papers: DataFrame, incoming: DataFrame) -> DataFrame:
     ``reason`` is the first of ``doi``, ``url`` and ``title`` that shows it. DOIs (also in resolver URLs)
     and URLs are looked up by equality against one row per key; a URL does not unite two rows with
     different DOIs. Rows left over are searched by title in the graph index, where a DOI is missing on one
-    side and publication dates are at most ``DATE_SLACK`` days apart or absent.
+    side and publication dates are at most ``DATE_SLACK`` days apart or absent. Where two or three words about
+    the matter itself differ, both dates must be there: only they tell a reworded title from a sibling study.
 
     NULL and blank DOIs, URLs and titles identify nothing. Other columns are ignored.
     """

@@ -134,3 +134,12 @@ def test_cells_hold_changed_titles_at_every_number_of_cells():
         held = set(zip(frame["form"], cells))
         met = {titles[r] for r, c in zip(row, cell) if (titles[r], c) in held}
         assert len(met) >= 0.98 * len(titles)
+
+
+def test_linking_words_need_no_dates(spark):
+    changed = [("Graphite foam as a low-cost platform for exciton lifetime in Honovadine cells", "Graphite foam as low-cost platform in exciton lifetime in Honovadine cells"), ("Zimatasby kinetics of tin selenide revealed by impedance spectroscopy", "Zimatasby kinetics of tin selenide using impedance spectroscopy")]
+    siblings = [("Gutonamark kinetics of molybdenum carbide by impedance spectroscopy", "Gutonamark kinetics of iron porphyrin by impedance spectroscopy")]
+    pairs = changed + siblings
+    old = make(spark, [paper(i, None, a, day=date(2024, 1, 10)) for i, (a, _) in enumerate(pairs, 1)])
+    new = make(spark, [paper(i, None, b) for i, (_, b) in enumerate(pairs, 1)]).withColumnRenamed("paper_id", "incoming_id").withColumn("batch_no", F.lit(1))
+    assert {r.incoming_id for r in known_rows(old, new).collect()} == {1, 2}
