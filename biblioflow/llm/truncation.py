@@ -15,6 +15,9 @@ from biblioflow.functions.damage import NOTE, OMITTED, OPEN, WHOLE, ending_class
 EXACT_LENGTHS = 20_000
 #: Log likelihood ratios, cut against complete, of each kind of ending.
 ENDING_LLR = {OMITTED: 8.0, OPEN: 7.0, "stub": -3.0, WHOLE: -7.0, NOTE: -7.0}
+#: Full stops that may not end a sentence: after a bare number, an abbreviation (fixed values) or an initial. Only here can the
+#: prior of a limit, a logit of 3.9 at most, outweigh the ending.
+_STUB = r"(?:(?:^|[^.0-9])[0-9]{1,3}|(?:^|[\s(\[])(?:e\.g|i\.e|cf|vs|approx|ca|resp|incl|Figs?|Eqs?|Refs?|Nos?|Dr|Prof|z\.\s?B|d\.\s?h|bzw|vgl|p\.\s?ex|т\.\s?е|напр|[A-Z]))\.$"
 #: A length is a candidate limit if this many texts, and this share of the source's suspicious ones, end there openly.
 LIMIT_LEAST, LIMIT_SHARE = 3, 0.04
 
@@ -77,7 +80,7 @@ def _model(histogram: pd.DataFrame) -> pd.DataFrame:
 
 def _observed(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     ending = ending_class(F.col(text))
-    stub = ending_text(F.col(text)).rlike(r"(?:^|[^.0-9])[0-9]{1,3}\.$")
+    stub = ending_text(F.col(text)).rlike(_STUB)
     seen = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.length(text).alias("_raw_len"), ending.alias("_ending"), stub.alias("_stub"))
     return seen.where(F.col("_ending").isNotNull()).select("_key", "_source", length_bin(F.col("_raw_len")).alias("_len"), "_ending", "_stub")
 

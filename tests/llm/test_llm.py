@@ -131,3 +131,12 @@ def test_lookalikes(spark):
     forms = {r.doc_id: r.form for r in lookalike.consistent_text(df.select("doc_id", "text")).collect()}
     assert forms[3] == forms[1] and forms[8] is None and forms[10] == ""
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+
+
+def test_a_limit_outweighs_an_abbreviation(spark):
+    fill = lambda n, end: "A" + "b" * (n - len(end) - 1) + end
+    rows = [(i, "limited", fill(250, " mid")) for i in range(200)] + [(300 + i, "limited", fill(100 + i, " whole.")) for i in range(100)]
+    weak = [" e.g.", " cf.", " by J.", " at 3."]
+    rows += [(1000 + i, "limited", fill(250, end)) for i, end in enumerate(weak)] + [(2000 + i, "limited", fill(180, end)) for i, end in enumerate(weak)] + [(3000, "limited", fill(250, " whole."))]
+    df = spark.createDataFrame(rows, "paper_id long, source string, abstract string")
+    assert {r.paper_id for r in truncation.truncated(df).collect()} - set(range(200)) == {1000, 1001, 1002, 1003}
