@@ -102,35 +102,54 @@ _ENTITY_STOPS = "|".join([re.escape("&atilde;&euro;&sbquo;"), re.escape("&atilde
 WHOLE, NOTE, OMITTED, OPEN = "whole", "note", "omitted", "open"
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` needs it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _without_tail(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?:\s|\x{a0}|</[A-Za-z][A-Za-z0-9:]*>|<br ?/?>)+$", "")
+
+
+#: Characters that an ending is looked for in first, and that must be left of them without closing markup and white space.
+_WINDOW, _WINDOW_LEAST = 600, 300
+
+
 def ending_text(c: Column) -> Column:
-    """The last 600 characters of a text without closing markup and white space: all that an ending is judged by."""
-    return F.regexp_replace(F.substring(c, -600, 600), r"(?:\s|\x{a0}|</[A-Za-z][A-Za-z0-9:]*>|<br ?/?>)+$", "")
+    """The end of a text without closing markup and white space; where a long tail of these fills the window, of the whole text."""
+    whole = lambda near: F.when((F.length(near) >= _WINDOW_LEAST) | (F.length(c) <= _WINDOW), near).otherwise(F.substring(_without_tail(c), -_WINDOW, _WINDOW))
+    return let(_without_tail(F.substring(c, -_WINDOW, _WINDOW)), whole)
+
+
+_MISREAD_STOP = "|".join(re.escape(s) for s in _MISREAD_STOPS)
+_NOTE_END = rf"(?s)(?:{_STOP}{_CLOSERS}|{_MISREAD_STOP}|{_ENTITY_STOPS})\s*(?:{_NOTES}|{_MISREAD_NOTE}|&Acirc;&copy;)(?:(?!{_STOP}\s).)*$"
+
+
+def ends_in_stop(t: Column) -> Column:
+    """Whether a text ends in the full stop, question or exclamation mark of a sentence, closing quotes and brackets aside."""
+    return F.substring(t, -40, 40).rlike(rf"{_STOP}{_CLOSERS}$")
 
 
-def _class_of(t: Column) -> Column:
-    misread = "|".join(re.escape(s) for s in _MISREAD_STOPS)
-    open_note = rf"(?s)(?:{_STOP}{_CLOSERS}|{misread}|{_ENTITY_STOPS})\s*(?:{_NOTES}|{_MISREAD_NOTE}|&Acirc;&copy;)(?:(?!{_STOP}\s).)*$"
+def class_of(t: Column, whole: Column) -> Column:
+    """The ending class of ``whole``, whose ``ending_text`` is ``t``; NULL where that is empty."""
     last = lambda n: F.substring(t, -n, n)
     omitted = last(60).rlike(rf"{_OMISSION}$")
     before = F.regexp_replace(last(80), rf"\s*{_OMISSION}$", "")
+    # a note longer than the window leaves no sentence end in it: only then the whole text is searched for its start
+    long_note = (F.length(whole) > _WINDOW) & ~t.rlike(rf"{_STOP}\s") & _without_tail(whole).rlike(_NOTE_END)
     return (
         F.when(t == "", F.lit(None).cast("string"))
         .when(last(6).rlike(rf"(?:^|[^.]){_STOP}{_CLOSERS}$"), F.lit(WHOLE))
         .when(omitted, F.when(before.rlike(rf"{_STOP}{_CLOSERS}$"), F.lit(WHOLE)).otherwise(F.lit(OMITTED)))
-        .when(last(40).rlike(rf"(?:{_STOP}{_CLOSERS}|{misread}|{_ENTITY_STOPS})$"), F.lit(WHOLE))
-        .when(t.rlike(open_note), F.lit(NOTE))
+        .when(last(40).rlike(rf"(?:{_STOP}{_CLOSERS}|{_MISREAD_STOP}|{_ENTITY_STOPS})$"), F.lit(WHOLE))
+        .when(t.rlike(_NOTE_END) | long_note, F.lit(NOTE))
         .otherwise(F.lit(OPEN))
     )
 
 
 def ending_class(c: Column) -> Column:
     """``whole``, ``note``, ``omitted`` or ``open``; NULL for absent and blank text."""
-    return F.when(c.isNotNull(), _let(ending_text(c), _class_of))
+    return F.when(c.isNotNull(), let(ending_text(c), lambda t: class_of(t, c)))
 
 
 def looks_cut(c: Column) -> Column:
