@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,48 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def _lengths_and_endings(n=30_000, limit=420, seed=5):
+    """A histogram of one source: log-normal lengths, a limit, sentences with decimals, and random breaks."""
+    rng = np.random.default_rng(seed)
+    lens = np.exp(rng.normal(6.1, 0.5, n)).astype(int) + 20
+    kinds = rng.choice(["whole", "stub_number", "note"], n, p=[0.97, 0.01, 0.02]).astype(object)
+    over = (lens > limit) & (rng.random(n) < 0.6)
+    kinds[over], lens[over] = rng.choice(["open", "stub_number"], over.sum(), p=[0.97, 0.03]), limit
+    broken = ~over & (rng.random(n) < 0.02)
+    kinds[broken], lens[broken] = "open", (lens[broken] * rng.random(broken.sum())).astype(int) + 1
+    cells = pd.DataFrame({"_len": lens, "_kind": kinds}).groupby(["_len", "_kind"]).size().rename("n").reset_index()
+    trials = np.array([0.0 if k == "omitted" else 970.0 if k == "open" else 30.0 if k == "stub_number" else 0.1 for k in truncation.KINDS])
+    whole = np.array([truncation.OPEN_COMPLETE / 2] * 2 + [0.01, 0.001, 0.001, 0.96, 0.02])
+    return cells, trials / trials.sum(), whole
+
+
+def test_length_decides_between_equal_endings(monkeypatch):
+    cells, trials, whole = _lengths_and_endings()
+    fitted = truncation.fit_source(cells, trials, whole)
+    stub = fitted[fitted["_kind"] == "stub_number"].set_index("_len")
+    assert stub.loc[420, "posterior"] > 0.5 and (stub.drop(420)["posterior"] < 0.5).all()
+    assert abs(fitted["mu"].iloc[0] - 6.1) < 0.1
+    cut = lambda f: set(map(tuple, f[f["posterior"] > 0.5][["_len", "_kind"]].to_numpy()))
+    monkeypatch.setattr(truncation, "LIMIT_LEAST", 10**9)  # a model that sees no limits gives other verdicts on the same texts
+    assert cut(truncation.fit_source(cells, trials, whole)) != cut(fitted)
+
+
+def test_a_source_that_never_closes_its_texts_is_told_by_nothing_else_than_the_prior():
+    rng = np.random.default_rng(2)
+    lens = np.exp(rng.normal(6.1, 0.3, 5000)).astype(int)
+    cells = pd.DataFrame({"_len": lens, "_kind": "note"}).groupby(["_len", "_kind"]).size().rename("n").reset_index()
+    _, trials, whole = _lengths_and_endings(2000)
+    assert (truncation.fit_source(cells, trials, whole)["posterior"] < 0.5).all()
+
+
+def test_endings_behind_a_long_tail(spark):
+    tail, note = "</p>" * 400 + " " * 700, "© 2024 " + "The Authors and their institutions, " * 30
+    rows = [(1, "s", "It was cut in mi" + tail), (2, "s", "A whole sentence." + tail), (3, "s", "A whole sentence. " + note), (4, "s", " " * 900), (5, None, None)]
+    df = spark.createDataFrame(rows, "paper_id long, source string, abstract string")
+    assert {r.paper_id: r.ending for r in truncation.score_truncation(df).collect()} == {1: "open", 2: "whole", 3: "note"}
+    assert {r.paper_id for r in truncation.truncated(df).collect()} == {1}
+
+
 def test_censored_fit_recovers_the_parameters():
     rng = np.random.default_rng(1)
     y = np.exp(rng.normal(6.0, 0.5, 20_000))
