@@ -6,20 +6,19 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioflow.functions.names import Name, deletions, parse_name, slip
+from biblioflow.functions.names import parse_name
 from biblioflow.session import cut_lineage
 
 #: A family joins another that is one slip away only if it has at most this share of the other's spellings (or both have one).
 MINOR_SHARE = 0.5
+#: Letters from which a word can be one slip away from another, and from which it can be the stem of a longer one.
+SLIP_LETTERS, STEM_LETTERS = 4, 3
 
 _PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "kind", "family", "given", "rest", "other_family", "other_given")] + [T.StructField("n", T.LongType())])
-_LINKED = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "kind", "root", "entity")])
-_FAMILIES = T.StructType([T.StructField("kind", T.StringType()), T.StructField("root", T.StringType()), T.StructField("key", T.StringType()), T.StructField("names", T.LongType()), T.StructField("members", T.ArrayType(T.StringType()))])
-_MERGES = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "root", "into")] + [T.StructField("names", T.LongType())])
 
 
 def distinct_names(columns: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -48,169 +47,209 @@ def _settle_order(parsed: DataFrame) -> DataFrame:
     turned = families.select(F.col("family").alias("other_family"), F.lit(True).alias("_known_turned"))
     seen = parsed.join(as_is, "family", "left").join(turned, "other_family", "left")
     turn = F.col("_known").isNull() & F.col("_known_turned").isNotNull()
-    return seen.select("name", "n", "kind", F.when(turn, F.col("other_family")).otherwise(F.col("family")).alias("family"), F.when(turn, F.col("other_given")).otherwise(F.col("given")).alias("given"), F.when(turn, F.lit("")).otherwise(F.col("rest")).alias("rest"))
-
-
-class _Entity:
-    """What is known of one person or organisation of a family: spellings of the given name, further initials, names."""
-
-    def __init__(self, given: str, initials: str):
-        self.given, self.givens, self.initials, self.middles, self.names = given, {given} if given else set(), {initials} if initials else set(), set(), []
-
-    @property
-    def label(self) -> str:
-        return self.given or min(self.initials, default="") + "."
-
-
-def _same_given(a: str, b: str) -> bool:
-    """Equal, a compound and its first part, a stem of three letters or more, or one slip between longer names."""
-    if a == b:
-        return True
-    (a1, _, a2), (b1, _, b2) = a.partition(" "), b.partition(" ")
-    if a2 and b2 and a2[0] != b2[0]:
-        return False
-    return a1 == b1 or (min(len(a1), len(b1)) >= 3 and (a1.startswith(b1) or b1.startswith(a1))) or (min(len(a1), len(b1)) >= 4 and slip(a1, b1)) or (min(len(a), len(b)) >= 4 and slip(a, b))
-
-
-def _same_organisation(a: str, b: str) -> bool:
-    left, right = set(a.split()), set(b.split())
-    return 2 * len(left & right) >= max(len(left), len(right))
-
-
-def _fits_initials(entity: _Entity, rest: str) -> bool:
-    """Whether initials can stand for the entity: the first one always, a second one where both sides have one."""
-    parts = entity.given.split()
-    if parts:
-        if parts[0][0] != rest[0]:
-            return False
-        known = {p[0] for p in parts[1:]} | entity.middles
-        return len(rest) == 1 or not known or rest[1] in known
-    return any(i[0] == rest[0] and (len(i) == 1 or len(rest) == 1 or i[1] == rest[1]) for i in entity.initials)
-
-
-def _resolve(kind: str, rows: list[tuple[str, str, str, int]]) -> list[_Entity]:
-    """The entities of one family from its ``(name, given, rest, n)``: full names by support, then initials."""
-    support: dict[str, int] = {}
-    for _, given, _, n in rows:
-        if given:
-            support[given] = support.get(given, 0) + n
-    same = _same_given if kind == "person" else _same_organisation
-    entities: list[_Entity] = []
-    of_given: dict[str, _Entity] = {}
-    near: dict[str, list[_Entity]] = {}
-    for given in sorted(support, key=lambda g: (-support[g], g)):
-        keys = deletions(given.split()[0]) + [given[:3], given[:1]] if kind == "person" else given.split()
-        met = next((e for k in keys for e in near.get(k, ()) if same(given, e.given)), None)
-        if met is None:
-            met = _Entity(given, "")
-            entities.append(met)
-            for k in keys:
-                near.setdefault(k, []).append(met)
-        met.givens.add(given)
-        of_given[given] = met
-    for name, given, rest, _ in rows:
-        if given:
-            of_given[given].names.append(name)
-            of_given[given].middles.update(rest[:1])
-    for name, _, rest, _ in sorted((r for r in rows if not r[1]), key=lambda r: (-len(r[2]), -r[3], r[0])):
-        fitting = [e for e in entities if _fits_initials(e, rest)]
-        if len(fitting) == 1:
-            met = fitting[0]
-        else:  # nobody, or several whom the initials do not tell apart
-            met = next((e for e in entities if not e.given and rest in e.initials), None)
-            if met is None:
-                met = _Entity("", rest)
-                entities.append(met)
-        met.initials.add(rest)
-        met.names.append(name)
-    return entities
-
-
-def _families(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str, list[tuple[str, str, str, int]]]]:
-    """The groups of rows that arrive sorted by ``kind, root``, one at a time."""
-    current, rows = None, []
-    for batch in batches:
-        for kind, root, name, given, rest, n in batch[["kind", "root", "name", "given", "rest", "n"]].itertuples(index=False, name=None):
-            if (kind, root) != current:
-                if rows:
-                    yield *current, rows
-                current, rows = (kind, root), []
-            rows.append((name, given, rest, n))
-    if rows:
-        yield *current, rows
+    given = F.when(turn, F.col("other_given")).otherwise(F.col("given"))
+    person = F.col("kind") == "person"
+    return seen.select(
+        "name", "n", "kind", F.when(turn, F.col("other_family")).otherwise(F.col("family")).alias("family"),
+        F.when(person, F.substring_index(given, " ", 1)).otherwise(given).alias("token"), F.when(person & given.contains(" "), F.substring(F.substring_index(given, " ", -1), 1, 1)).otherwise("").alias("second"),
+        F.when(turn, F.lit("")).otherwise(F.col("rest")).alias("rest"),
+    )
 
 
-def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for kind, root, rows in _families(batches):
-        linked = [(name, kind, root, min(e.names)) for e in _resolve(kind, rows) if e.names for name in e.names]
-        yield pd.DataFrame(linked, columns=[f.name for f in _LINKED])
+# ---------------------------------------------------------------- words that may be one
 
 
-def _profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each family with its blocking keys and the profiles of its members."""
-    for kind, root, rows in _families(batches):
-        members = sorted({e.label for e in _resolve(kind, rows)})
-        yield pd.DataFrame([(kind, root, key, len(rows), members) for key in deletions(root)], columns=[f.name for f in _FAMILIES])
+def _deletions(word: Column) -> Column:
+    """The word and the word without each one letter: two words one slip apart share one of them."""
+    n = F.length(word)
+    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n)))))
 
 
-def _covers(kind: str, small: list[str], large: list[str]) -> bool:
-    """Whether every member of the smaller family can be one of the larger family's."""
+def _one_slip(a: Column, b: Column) -> Column:
+    """One letter inserted, left out, replaced or swapped with its neighbour."""
+    swapped = F.exists(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2, F.length(a))) == b)
+    return (a != b) & ((F.levenshtein(a, b, 1) == 1) | ((F.length(a) == F.length(b)) & (F.length(a) > 1) & swapped))
 
-    def fits(a: str, b: str) -> bool:
-        if kind == "organisation":
-            return _same_organisation(a, b)
-        if a.endswith(".") or b.endswith("."):
-            return a[0] == b[0]
-        return _same_given(a, b)
 
-    return all(any(fits(a, b) for b in large) for a in small)
+def _prefixes(word: Column) -> Column:
+    """The word, and its beginnings of ``STEM_LETTERS`` or more."""
+    n = F.length(word)
+    return F.when(n <= STEM_LETTERS, F.array(word)).otherwise(F.transform(F.sequence(F.lit(STEM_LETTERS), n), lambda i: F.substr(word, F.lit(1), i)))
 
 
-def _merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(kind, a, b, nb) for kind, a, na, ma, b, nb, mb in batch[["kind", "root", "names", "members", "into", "into_names", "into_members"]].itertuples(index=False, name=None) if min(len(a), len(b)) >= 4 and slip(a, b) and (na <= MINOR_SHARE * nb or na == nb == 1 and a < b) and _covers(kind, list(ma), list(mb))]
-        yield pd.DataFrame(rows, columns=[f.name for f in _MERGES])
+def _related(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(l, r)``: what of ``left`` and ``right``, both ``(kind, root, token, second, ...)``, may be one within a root.
+
+    Given names: equal, a stem of three letters or more, or one slip between longer ones, unless second
+    names begin differently. Organisations: half of the longer one's word stems. Every relation is an
+    equality of keys first (the shorter word is a beginning of the longer one; words one slip apart share a
+    word with a letter less; half of two sets meets in the rarer half), so no root is compared all with all.
+    """
+    named = lambda df, side: df.select("kind", "root", F.struct(*df.columns).alias(side), F.col("token").alias(f"_{side}"), F.col("second").alias(f"_{side}2"))
+    l, r = named(left, "l"), named(right, "r")
+    is_person = F.col("kind") == "person"
+    fits = (F.col("_l2") == "") | (F.col("_r2") == "") | (F.col("_l2") == F.col("_r2"))
+    on = ["kind", "root", "_key"]
+    own = lambda df, side: df.where(is_person).withColumn("_key", F.col(f"_{side}"))
+    longer = lambda df, side: df.where(is_person).withColumn("_key", F.explode(_prefixes(F.col(f"_{side}"))))
+    less = lambda df, side: df.where(is_person & (F.length(f"_{side}") >= SLIP_LETTERS)).withColumn("_key", F.explode(_deletions(F.col(f"_{side}"))))
+    slips = less(l, "l").join(less(r, "r"), on).where(fits & _one_slip(F.col("_l"), F.col("_r")))
+    people = [own(l, "l").join(longer(r, "r"), on).where(fits), longer(l, "l").join(own(r, "r"), on).where(fits), slips]
+    rows = [df.select("l", "r") for df in (*people, _related_organisations(l, r))]
+    return reduce(DataFrame.unionByName, rows).distinct()
+
+
+def _related_organisations(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
+    l, r = (df.where(F.col("kind") == "organisation").withColumn(f"_{s}s", F.array_distinct(F.split(f"_{s}", " "))) for df, s in ((l, "l"), (r, "r")))  # noqa: E741
+    usual = l.select(F.explode("_ls").alias("_key")).unionByName(r.select(F.explode("_rs").alias("_key"))).groupBy("_key").agg(F.count(F.lit(1)).alias("_f"))
 
+    def rarer(df: DataFrame, s: str) -> DataFrame:
+        words = df.select("kind", "root", s, f"_{s}s", F.explode(f"_{s}s").alias("_key")).join(usual, "_key")
+        ranked = words.withColumn("_rank", F.row_number().over(Window.partitionBy("kind", "root", s).orderBy("_f", "_key")))
+        n = F.size(f"_{s}s")
+        return ranked.where(F.col("_rank") <= n - F.ceil(n / 2) + 1).select("kind", "root", s, f"_{s}s", "_key")
 
-def _sorted_families(state: DataFrame) -> DataFrame:
-    return state.repartition("kind", "root").sortWithinPartitions("kind", "root").select("kind", "root", "name", "given", "rest", "n")
+    met = rarer(l, "l").join(rarer(r, "r"), ["kind", "root", "_key"])
+    return met.where(2 * F.size(F.array_intersect("_ls", "_rs")) >= F.greatest(F.size("_ls"), F.size("_rs")))
 
 
-def resolve_names(columns: list[tuple[DataFrame, str]], max_rounds: int = 8) -> DataFrame:
+# ---------------------------------------------------------------- members of a family
+
+
+def _heads(given: DataFrame) -> DataFrame:
+    """``(kind, root, token, second, head)``: each given name of a root with the best supported one that it is linked to.
+
+    A name points to the best supported of those it may be one with; pointers are followed to their end,
+    so a spelling that only resembles an absorbed spelling comes along.
+    """
+    node = ["kind", "root", "token", "second"]
+    counted = given.groupBy(*node).agg(F.sum("n").alias("support"))
+    several = counted.groupBy("kind", "root").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    nodes = cut_lineage(counted.join(several, ["kind", "root"]))
+    rank = lambda s: F.struct(F.col(f"{s}.support"), F.col(f"{s}.token"), F.col(f"{s}.second"))
+    up = _related(nodes, nodes).where(rank("r") > rank("l"))
+    name = lambda s: F.concat_ws("|", f"{s}.token", f"{s}.second")
+    points = up.groupBy(F.col("l.kind").alias("kind"), F.col("l.root").alias("root"), name("l").alias("at")).agg(F.max_by(name("r"), rank("r")).alias("head"))
+    points = cut_lineage(points)
+    while True:
+        ends = points.select("kind", "root", F.col("at").alias("head"), F.col("head").alias("_next"))
+        moved = cut_lineage(points.join(ends, ["kind", "root", "head"], "left"))
+        points = moved.select("kind", "root", "at", F.coalesce("_next", "head").alias("head"))
+        if moved.where(F.col("_next").isNotNull()).isEmpty():
+            break
+    here = counted.withColumn("at", F.concat_ws("|", "token", "second"))
+    return here.join(points, ["kind", "root", "at"], "left").select(*node, F.coalesce("head", "at").alias("head"))
+
+
+def _entities(state: DataFrame) -> DataFrame:
+    """``state(name, n, kind, root, token, second, rest)`` with ``member``: whom of its root each name means.
+
+    Full names are linked first. Initials belong to the one full name they fit, in any of its spellings and
+    with its middle initials; where none or several fit, they are a member of their own. Only counts per
+    letter are compared, so a family of any size is the work of many tasks.
+    """
+    root, full = ["kind", "root"], state.where("token <> ''")
+    linked = full.join(_heads(full), [*root, "token", "second"]).withColumn("member", F.concat(F.lit("f:"), "head"))
+    known = linked.groupBy(*root, "member").agg(F.collect_set(F.substring("token", 1, 1)).alias("letters"), F.array_remove(F.array_union(F.collect_set("second"), F.collect_set(F.substring("rest", 1, 1))), "").alias("middles"))
+    lettered = known.withColumn("_a", F.explode("letters"))
+    fit = lambda df, *keys: df.groupBy(*root, "_a", *keys).agg(F.count(F.lit(1)).alias("c"), F.min("member").alias("m"))
+    any_, bare, middle = fit(lettered), fit(lettered.where(F.size("middles") == 0)), fit(lettered.withColumn("_b", F.explode("middles")), "_b")
+    short = state.where("token = ''").withColumn("_a", F.substring("rest", 1, 1)).withColumn("_b", F.substring("rest", 2, 1))
+    named = lambda df, s: df.withColumnRenamed("c", f"c_{s}").withColumnRenamed("m", f"m_{s}")
+    seen = short.join(named(any_, "any"), [*root, "_a"], "left").join(named(bare, "bare"), [*root, "_a"], "left").join(named(middle, "mid"), [*root, "_a", "_b"], "left").fillna(0, ["c_any", "c_bare", "c_mid"])
+    own = F.concat(F.lit("i:"), "_a", "_b")
+    two = seen.where("_b <> ''").withColumn("member", F.when(F.col("c_bare") + F.col("c_mid") == 1, F.coalesce("m_bare", "m_mid")).otherwise(own))
+    alone = two.where(F.col("member").startswith("i:")).groupBy(*root, "_a").agg(F.count_distinct("member").alias("c_own"), F.min("member").alias("m_own"))
+    one = seen.where("_b = ''").join(alone, [*root, "_a"], "left").fillna(0, ["c_own"])
+    one = one.withColumn("member", F.when(F.col("c_any") + F.col("c_own") == 1, F.coalesce("m_any", "m_own")).otherwise(own))
+    shown = [*state.columns, "member"]
+    return linked.select(*shown).unionByName(two.select(*shown)).unionByName(one.select(*shown))
+
+
+# ---------------------------------------------------------------- families one slip apart
+
+
+def _near_families(state: DataFrame) -> DataFrame:
+    """``(kind, family, other)``: spellings of families, both ways, that are one slip apart."""
+    families = state.select("kind", "family").distinct().where(F.length("family") >= SLIP_LETTERS)
+    keyed = families.withColumn("_key", F.explode(_deletions(F.col("family"))))
+    met = keyed.join(keyed.select("kind", F.col("family").alias("other"), "_key"), ["kind", "_key"]).where(_one_slip(F.col("family"), F.col("other")))
+    return met.select("kind", "family", "other").distinct()
+
+
+def _merges(state: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(kind, root, into)``: roots all of whose members can be members of a larger root with a spelling one slip away."""
+    here = state.join(roots, ["kind", "family"])
+    sizes = here.groupBy("kind", "root").agg(F.count(F.lit(1)).alias("names"))
+    other = roots.select("kind", F.col("family").alias("other"), F.col("root").alias("into"))
+    met = near.join(roots, ["kind", "family"]).join(other, ["kind", "other"]).where(F.col("root") != F.col("into")).select("kind", "root", "into").distinct()
+    met = met.join(sizes, ["kind", "root"]).join(sizes.select("kind", F.col("root").alias("into"), F.col("names").alias("into_names")), ["kind", "into"])
+    minor = (F.col("names") <= MINOR_SHARE * F.col("into_names")) | ((F.col("names") == 1) & (F.col("into_names") == 1) & (F.col("root") < F.col("into")))
+    met = cut_lineage(met.where(minor))
+    members = here.select("kind", "root", "token", "second", F.when(F.col("kind") != "person", "").when(F.col("token") == "", F.substring("rest", 1, 1)).otherwise(F.substring("token", 1, 1)).alias("letter")).distinct()
+    asked = met.select("kind", "root", "into").join(members, ["kind", "root"])
+    asked = asked.select("kind", F.col("root").alias("small"), F.col("into").alias("root"), "token", "second", "letter").distinct()
+    full, letters = members.where("token <> ''"), members.groupBy("kind", "root", "letter").agg(F.bool_or(F.col("token") == "").alias("short"), F.bool_or(F.col("token") != "").alias("full"))
+    by_name = _related(asked.where("token <> ''"), full).select("l.*")
+    by_letter = asked.join(letters, ["kind", "root", "letter"]).where((F.col("kind") == "person") & ((F.col("token") == "") | (F.col("short") & ~F.col("full")))).select(asked.columns)
+    covered = by_name.unionByName(by_letter)
+    missing = asked.join(covered, asked.columns, "left_anti").select("kind", F.col("small").alias("root"), F.col("root").alias("into")).distinct()
+    whole = met.join(missing, ["kind", "root", "into"], "left_anti")
+    return whole.groupBy("kind", "root").agg(F.max_by("into", F.struct("into_names", "into")).alias("into"))
+
+
+def resolve_names(columns: list[tuple[DataFrame, str]]) -> DataFrame:
     """``(name, kind, root, entity)``: every distinct name that names somebody, with the entity it belongs to.
 
-    Names are parsed once. In each round the names of a family are resolved to members (short forms,
-    initials, reordered parts and slips of the given name), and families one slip apart are compared by
-    their members' profiles: one with fewer spellings, all of whose members the other has, is merged into
-    it. Merged families bring all their spellings and initials into the next round; the rounds end when
-    nothing merges. ``entity`` is the smallest spelling. NULL, blank and filler names have no row; a name
-    that fits several members stays on its own.
+    Names are parsed once. Families with a spelling one slip apart are compared by their members: one with
+    fewer names, all of whose members the other has, is merged into it. A merged family brings all its
+    spellings, given names and initials into the next round, where they meet families that only resemble
+    an absorbed spelling; rounds go on until nothing merges, each leaves fewer families. Then members are
+    told apart within each family (short forms, initials, reordered parts, slips). ``entity`` is the
+    smallest spelling. NULL, blank and filler names have no row; initials that fit several members stay
+    on their own.
 
-    Everything after ``distinct_names`` works on distinct strings, so a name on a third of all rows is
-    one row; families travel as sorted runs, no group is collected on the driver.
+    Everything after ``distinct_names`` works on distinct strings and joins by keys finer than the family,
+    so neither a name nor a family on a third of all rows is the work of one task.
     """
     parsed = distinct_names(columns).mapInPandas(_parse_batches, _PARSED)
-    state = cut_lineage(_settle_order(parsed).withColumn("root", F.col("family")))
-    for _ in range(max_rounds):
-        profiles = cut_lineage(_sorted_families(state).mapInPandas(_profile_batches, _FAMILIES))
-        other = profiles.select("kind", "key", F.col("root").alias("into"), F.col("names").alias("into_names"), F.col("members").alias("into_members"))
-        met = profiles.join(other, ["kind", "key"]).where((F.col("root") != F.col("into")) & ((F.col("names") <= MINOR_SHARE * F.col("into_names")) | ((F.col("into_names") == 1) & (F.col("names") == 1) & (F.col("root") < F.col("into"))))).dropDuplicates(["kind", "root", "into"])
-        merges = met.mapInPandas(_merge_batches, _MERGES).groupBy("kind", "root").agg(F.max_by("into", F.struct("names", "into")).alias("into"))
-        merges = cut_lineage(merges)
-        settled = merges.join(merges.select("kind", F.col("root").alias("into")), ["kind", "into"], "left_anti")
+    state = cut_lineage(_settle_order(parsed))
+    near = cut_lineage(_near_families(state))
+    involved = near.select("kind", "family").distinct()
+    some = cut_lineage(state.join(involved, ["kind", "family"], "left_semi"))
+    roots = involved.withColumn("root", F.col("family"))
+    while True:
+        merges = cut_lineage(_merges(some, near, roots))
+        settled = merges.join(merges.select("kind", F.col("root").alias("into")), ["kind", "into"], "left_anti").select("kind", "root", "into")
         if settled.isEmpty():
             break
-        state = cut_lineage(state.join(settled.select("kind", "root", "into"), ["kind", "root"], "left").withColumn("root", F.coalesce("into", "root")).drop("into"))
-    return _sorted_families(state).mapInPandas(_link_batches, _LINKED)
+        roots = cut_lineage(roots.join(settled, ["kind", "root"], "left").select("kind", "family", F.coalesce("into", "root").alias("root")))
+    rooted = cut_lineage(state.join(roots, ["kind", "family"], "left").withColumn("root", F.coalesce("root", "family")))
+    members = _entities(rooted)
+    return members.select("name", "kind", "root", F.min("name").over(Window.partitionBy("kind", "root", "member")).alias("entity"))
 
 
 def variant_pairs(columns: list[tuple[DataFrame, str]]) -> DataFrame:
-    """``(name_a, name_b)``: two different stored strings of one entity, the smaller by code point first."""
+    """``(name_a, name_b)``: two different stored strings of one entity, the smaller by code point first.
+
+    Every pair of spellings is a row, as many as the spellings of one person or organisation allow;
+    ``variant_links`` and ``name_members`` say the same in as many rows as there are spellings.
+    """
     linked = resolve_names(columns).select("name", "entity")
     left, right = linked.withColumnRenamed("name", "name_a"), linked.withColumnRenamed("name", "name_b")
     return left.join(right, "entity").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")
 
 
+def name_members(columns: list[tuple[DataFrame, str]]) -> DataFrame:
+    """``(name, entity)``: the membership of every name; a name without variants is its own entity."""
+    return resolve_names(columns).select("name", "entity")
+
+
+def variant_links(columns: list[tuple[DataFrame, str]]) -> DataFrame:
+    """``(entity, name)``: each further spelling with the entity's smallest one, V - 1 rows for V spellings."""
+    return name_members(columns).where(F.col("name") != F.col("entity")).select("entity", "name")
+
+
 def name_entities(columns: list[tuple[DataFrame, str]]) -> DataFrame:
     """One row per entity: ``entity, kind, spellings`` (their number) and ``uses`` in all tables."""
     linked = resolve_names(columns)

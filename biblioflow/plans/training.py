@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from biblioflow.operators.collapse import collapse_records, further_copies
 from biblioflow.operators.known import known_rows
-from biblioflow.operators.names import name_entities, variant_pairs
+from biblioflow.operators.names import name_entities, name_members, variant_links, variant_pairs
 from biblioflow.operators.survivor import best_values, surviving_records
 from biblioflow.session import table
 
@@ -50,11 +50,19 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return variant_pairs(_authors(spark, sf))
 
 
+def p6_links(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_links(_authors(spark, sf))
+
+
+def p6_members(spark: SparkSession, sf: str) -> DataFrame:
+    return name_members(_authors(spark, sf))
+
+
 def p6_entities(spark: SparkSession, sf: str) -> DataFrame:
     return name_entities(_authors(spark, sf))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_records, p4_found, p4_batches, p5_found, p5_records, p6_found, p6_entities)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_records, p4_found, p4_batches, p5_found, p5_records, p6_found, p6_links, p6_members, p6_entities)}
 
 _RECORD = r"""
 keyed AS (

@@ -1,5 +1,6 @@
 """The core operators for training data: small cases, edges, and brute force."""
 
+import time
 from datetime import date, datetime
 
 import numpy as np
@@ -12,7 +13,7 @@ from biblioflow.functions.names import parse_name, slip
 from biblioflow.functions.titles import head_of, match_form, same_title, vectors
 from biblioflow.operators.collapse import collapse_records, further_copies
 from biblioflow.operators.known import TitleModel, known_rows, with_heads
-from biblioflow.operators.names import variant_pairs
+from biblioflow.operators.names import _one_slip, name_members, variant_links, variant_pairs
 from biblioflow.operators.survivor import best_values, surviving_records
 
 PAPER = "paper_id long, doi string, title string, abstract string, publication_title string, volume string, pages string, fetched_at timestamp, url string, published_date date, authors array<string>, _key string, _n int"
@@ -70,6 +71,50 @@ def test_names(spark):
     assert variant_pairs([(df.limit(0), "authors")]).count() == 0
 
 
+def _names(spark, names):
+    return [(spark.createDataFrame([(names,)], "authors array<string>"), "authors")]
+
+
+def test_merged_families_meet_what_resembles_an_absorbed_spelling(spark):
+    names = ["Marchetovia, Robert", "R. Marchetovia", "Robert Marchetovia", "Marchetovia, Bob", "Marchetova, Robert", "Markhetova, Robert", "Markhetova, Xenia B."]
+    entities = {r.name: r.entity for r in name_members(_names(spark, names[:6])).collect()}
+    assert len(set(entities.values())) == 1  # the last one is a slip from the absorbed spelling only
+    entities = {r.name: r.entity for r in name_members(_names(spark, names)).collect()}
+    assert entities["Markhetova, Robert"] != entities["Marchetova, Robert"]  # its family has a member that the other lacks
+
+
+def test_spellings_of_a_given_name_chain(spark):
+    names = ["Doelund, Katherine", "Katherine Doelund", "Doelund, Katherina", "Doelund, Katerina", "K. Doelund"]
+    assert len({r.entity for r in name_members(_names(spark, names)).collect()}) == 1
+    links = {tuple(r) for r in variant_links(_names(spark, names)).collect()}
+    assert links == {(min(names), n) for n in names if n != min(names)}
+
+
+def test_initials_that_fit_several_stay_alone(spark):
+    names = ["Doelund, Robert", "Doelund, Rachel", "R. Doelund", "Doelund, R", "Doelund, Mary J.", "M. J. Doelund", "M. K. Doelund"]
+    entities = {r.name: r.entity for r in name_members(_names(spark, names)).collect()}
+    assert entities["R. Doelund"] == entities["Doelund, R"] == "Doelund, R" and entities["M. J. Doelund"] == "Doelund, Mary J." and entities["M. K. Doelund"] == "M. K. Doelund"
+
+
+def test_one_slip_in_the_engine_equals_plain_python(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 6))) for _ in range(300)]
+    pairs = [(a, b) for a in words[:150] for b in words[150:]]
+    got = spark.createDataFrame(pairs, "a string, b string").withColumn("s", _one_slip(F.col("a"), F.col("b"))).collect()
+    assert all(r.s == slip(r.a, r.b) for r in got) and any(r.s for r in got)
+
+
+def test_a_family_of_many_names_is_no_task_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnoprstuvz")
+    givens = sorted({"".join(rng.choice(letters, 9)).capitalize() for _ in range(8000)})
+    names = [f"Wangler, {g}" for g in givens] + [f"{g} Wangler" for g in givens[:2000]]
+    began = time.time()
+    members = name_members(_names(spark, names)).groupBy("entity").count().groupBy("count").count().collect()
+    assert {r[0]: r[1] for r in members} == {1: len(givens) - 2000, 2: 2000}
+    assert time.time() - began < 60
+
+
 def test_known_rows(spark):
     title = "Linking applied pressure to catalytic turnover of LiFePO₄: the Honovadine experiment"
     other = "Tunable fuel cells with tin selenide, oxygen partial pressure and the Gutonamark criterion"
