@@ -63,17 +63,18 @@ class Graph:
                 return
         self.beam = 0  # no beam finds enough here: the shard is scanned
 
-    def pack(self) -> tuple[bytes, bytes, int]:
-        """What ``restore`` needs besides the threshold: vectors, links and the tuned beam."""
-        return self.vectors.tobytes(), self.links.tobytes() if self.beam else b"", self.beam
+    def links_and_beam(self) -> tuple[bytes, int]:
+        """What ``of`` needs besides the vectors: each node's links, none where the shard is scanned, and the tuned beam."""
+        return (self.links.astype(np.int16).tobytes() if self.beam else b""), self.beam
 
     @classmethod
-    def restore(cls, packed: tuple[bytes, bytes, int], dimensions: int, least: float) -> Graph:
+    def of(cls, vectors: np.ndarray, links: bytes, beam: int, least: float) -> Graph:
+        """A graph from what was stored of it."""
         graph = cls.__new__(cls)
-        graph.vectors, graph.least, graph.beam = np.frombuffer(packed[0], np.float32).reshape(-1, dimensions), least, packed[2]
-        if graph.beam:
-            graph.links = np.frombuffer(packed[1], np.int32).reshape(len(graph.vectors), -1)
-            graph.entries = np.linspace(0, len(graph.vectors) - 1, ENTRIES).astype(np.int64)
+        graph.vectors, graph.least, graph.beam = vectors, least, beam
+        if beam:
+            graph.links = np.frombuffer(links, np.int16).astype(np.int32).reshape(len(vectors), -1)
+            graph.entries = np.linspace(0, len(vectors) - 1, ENTRIES).astype(np.int64)
         return graph
 
     def _walk(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biblioflow.functions.canonical import doi_canonical
-from biblioflow.functions.graph import GRAPH_NODES, Graph
-from biblioflow.functions.titles import LINKS, head_of, match_form, same_title, tokens, trigram_weights, vectors
-from biblioflow.session import cut_lineage
+from biblioflow.functions.titles import match_form
+from biblioflow.operators.title_index import DATE_SLACK, TitleIndex
+from biblioflow.session import cut_lineage, shared_folder
 
-#: Titles that weights and cell centres are fitted on at most, titles a cell should hold, and cells at most.
-SAMPLE_TITLES, CELL_TITLES, MOST_CELLS = 20_000, 1500, 2000
-#: Nearest cells that a title is stored in and that a query looks into at least, and the least similarity of a candidate.
-STORE_CELLS, PROBE_CELLS, LEAST_SIMILARITY = 1, 3, 0.55
-#: A query looks into every cell that is less similar than its nearest by this much at most, so their number grows with the cells.
-PROBE_MARGIN = 0.2
-#: Asking titles whose cells are spread out at a time.
-SPREAD_ROWS = 1000
-#: Batch shards of a cell that are merged into one when there are more.
-COMPACT_OVER = 4
-#: Days between publication dates of one work, at most.
-DATE_SLACK = 7
 #: Query keys that only track a click (fixed values; ``utm_*`` besides).
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "mkt_tok", "ref", "source", "dclid", "msclkid", "yclid", "igshid", "cmpid", "campaign", "trk")
 
-_CELL = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("form", T.StringType()), T.StructField("batch", T.IntegerType()), T.StructField("first_day", T.IntegerType()), T.StructField("last_day", T.IntegerType()), T.StructField("bare", T.BooleanType()), T.StructField("head", T.BooleanType())])
-_PAIR = T.StructType([T.StructField("ask_node", T.LongType()), T.StructField("node", T.LongType()), T.StructField("how", T.IntegerType())])
-
-
 def url_doi(c: Column) -> Column:
     """The canonical DOI in a resolver URL; NULL for other URLs."""
     return F.when(F.lower(c).rlike(r"doi\.org/+10\."), doi_canonical(c))
@@ -57,173 +39,6 @@ def _match_form(titles: pd.Series) -> pd.Series:
     return pd.Series([match_form(t) or None for t in titles], dtype=object)
 
 
-@dataclass
-class TitleModel:
-    """What all tasks share: trigram weights, cell centres, parts per cell and the words too common to identify."""
-
-    weights: np.ndarray
-    centres: np.ndarray
-    parts: np.ndarray
-    common: frozenset[str]
-
-    @classmethod
-    def fit(cls, sample: list[str], total: int, cell_titles: int = CELL_TITLES) -> TitleModel:
-        weights = trigram_weights(sample)
-        entries = sample + [h for h in map(head_of, sample) if h]
-        points, stored = vectors(entries, weights), total * len(entries) / max(len(sample), 1)
-        k = int(np.clip(round(stored / cell_titles), 1, min(MOST_CELLS, max(len(sample) // 8, 1))))
-        centres = points[np.linspace(0, max(len(points) - 1, 0), k).astype(int)] if len(points) else np.zeros((1, points.shape[1]), np.float32)
-        for _ in range(6 if k > 1 else 0):
-            at = (points @ centres.T).argmax(1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, at, points)
-            filled = np.bincount(at, minlength=k) > 0
-            centres[filled] = sums[filled] / np.maximum(np.linalg.norm(sums[filled], axis=1, keepdims=True), 1e-9)
-        held = np.bincount((points @ centres.T).argmax(1), minlength=len(centres)) if len(points) else np.zeros(1)
-        parts = np.ceil(held / max(len(entries), 1) * stored * STORE_CELLS / GRAPH_NODES).clip(1).astype(np.int64)
-        df: dict[str, int] = {}
-        for form in sample:
-            for w in set(tokens(form)):
-                df[w] = df.get(w, 0) + 1
-        return cls(weights, centres, parts, frozenset(w for w, n in df.items() if n > max(0.004 * len(sample), 2)))
-
-    def rare(self, word: str) -> bool:
-        return len(word) >= 5 and word not in self.common and word not in LINKS and not any(c.isdigit() for c in word)
-
-    def cells(self, points: np.ndarray, m: int) -> np.ndarray:
-        m = min(m, len(self.centres))
-        return np.argpartition(-(points @ self.centres.T), m - 1, axis=1)[:, :m]
-
-    def probes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, cell)`` of the cells that queries look into: all within ``PROBE_MARGIN`` of the nearest, ``PROBE_CELLS`` at least."""
-        near = points @ self.centres.T
-        m = min(PROBE_CELLS, len(self.centres))
-        least = np.partition(near, -m, axis=1)[:, -m]
-        return np.nonzero(near >= np.minimum(near.max(1) - PROBE_MARGIN, least)[:, None])
-
-
-def with_heads(titles: pd.DataFrame) -> pd.DataFrame:
-    """Titles, and once more those with a subtitle, where ``look`` is the main title: a title that lost its subtitle lies near that."""
-    heads = titles["form"].map(head_of)
-    short = heads.notna()
-    return pd.concat([titles.assign(look=titles["form"], head=False), titles[short].assign(look=heads[short], head=True)], ignore_index=True)
-
-
-def looks(rows: pd.DataFrame) -> list[str]:
-    """What each row of ``form, head`` is indexed or asks by."""
-    return [head_of(f) if h else f for f, h in zip(rows["form"], rows["head"])]
-
-
-def _assign(model) -> object:
-    """Spread titles over cells: each form is stored in its nearest cell, queries look into a few more."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m: TitleModel = model.value
-        names = [f.name for f in _CELL]
-        for batch in batches:
-            if not len(batch):
-                continue
-            entries = with_heads(batch)
-            points = vectors(entries["look"].tolist(), m.weights)
-            stored = entries.rename(columns={"batch": "at"}).drop(columns=["ask", "look"])
-            cells = m.cells(points, STORE_CELLS)
-            held = stored.loc[stored.index.repeat(cells.shape[1])].assign(cell=cells.ravel(), role=0)
-            held["part"] = held["node"].to_numpy() % m.parts[held["cell"].to_numpy()]
-            yield held.rename(columns={"at": "batch"})[names]
-            asks = np.flatnonzero(entries["ask"].to_numpy() >= 0)
-            for at in range(0, len(asks), SPREAD_ROWS):
-                some = asks[at : at + SPREAD_ROWS]
-                row, cell = m.probes(points[some])
-                parts = m.parts[cell]
-                row, cell = np.repeat(row, parts), np.repeat(cell, parts)
-                asked = stored.iloc[some[row]].assign(at=entries["ask"].to_numpy()[some[row]], cell=cell, role=1, part=np.concatenate([np.arange(n) for n in parts]))
-                yield asked.rename(columns={"at": "batch"})[names]
-
-    return run
-
-
-def _search_cell(rows: list[tuple], model: TitleModel) -> list[tuple[int, int, int]]:
-    """The same titles within one part of a cell: a shard per batch, each batch searched in all shards up to its own."""
-    stored = sorted((r for r in rows if r[0] == 0), key=lambda r: r[3])
-    asking = sorted((r for r in rows if r[0] == 1), key=lambda r: r[3])
-    if not stored or not asking:
-        return []
-    points, ask_points = (vectors([head_of(r[2]) if r[7] else r[2] for r in rows], model.weights) for rows in (stored, asking))
-    batches, asked = np.array([r[3] for r in stored]), np.array([r[3] for r in asking])
-    since, until, bare, head = (np.array([r[i] for r in stored]) for i in (4, 5, 6, 7))
-    ask_since, ask_until, ask_bare, ask_head = (np.array([r[i] for r in asking]) for i in (4, 5, 6, 7))
-    shards: list[tuple[Graph, np.ndarray]] = []
-    history, done, pairs = 0, set(), []
-    for batch in np.unique(np.concatenate([batches, asked])):
-        members = np.flatnonzero(batches == batch)
-        for at in range(0, len(members), GRAPH_NODES):
-            part = members[at : at + GRAPH_NODES]
-            shards.append((Graph(points[part], LEAST_SIMILARITY, ask_points), part))
-        if batch == 0:
-            history = len(shards)
-        elif len(shards) - history > COMPACT_OVER:
-            merged = np.concatenate([p for _, p in shards[history:]])
-            shards = shards[:history] + [(Graph(points[merged[at : at + GRAPH_NODES]], LEAST_SIMILARITY, ask_points), merged[at : at + GRAPH_NODES]) for at in range(0, len(merged), GRAPH_NODES)]
-        queries = np.flatnonzero(asked == batch)
-        for at in range(0, len(queries), 512) if len(queries) else ():
-            some = queries[at : at + 512]
-            for graph, part in shards:
-                q, node = graph.search(ask_points[some])
-                q, node = some[q], part[node]
-                may = (ask_since[q] - DATE_SLACK <= until[node]) & (since[node] - DATE_SLACK <= ask_until[q]) & (ask_bare[q] | bare[node]) & ~(ask_head[q] & head[node])  # two main titles say nothing of two titles
-                for i, j in zip(q[may].tolist(), node[may].tolist()):
-                    a, b = asking[i], stored[j]
-                    if a[1] != b[1] and (a[1], b[1]) not in done:
-                        done.add((a[1], b[1]))
-                        if how := same_title(a[2], b[2], model.rare):
-                            pairs.append((a[1], b[1], how))
-    return pairs
-
-
-def _search(model) -> object:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, rows = None, []
-        names = [f.name for f in _PAIR]
-        for batch in batches:
-            for cell, part, *row in batch[[f.name for f in _CELL]].itertuples(index=False, name=None):
-                if (cell, part) != current:
-                    if rows:
-                        yield pd.DataFrame(_search_cell(rows, model.value), columns=names)
-                    current, rows = (cell, part), []
-                rows.append(tuple(row))
-        if rows:
-            yield pd.DataFrame(_search_cell(rows, model.value), columns=names)
-
-    return run
-
-
-def fit_title_model(nodes: DataFrame, total: int) -> TitleModel:
-    """The model fitted on about ``SAMPLE_TITLES`` forms of smallest hash; every form is indexed with it.
-
-    The hash bound is set from ``total``, so what reaches the driver stays the same size at every scale.
-    """
-    share = min(1.0, SAMPLE_TITLES / max(total, 1))
-    sample = nodes.where(F.xxhash64("form") / F.lit(2.0**64) + 0.5 <= share).select("form").toPandas()["form"]
-    return TitleModel.fit(sorted(sample), total)
-
-
-def same_title_pairs(nodes: DataFrame, total: int | None = None) -> DataFrame:
-    """``(ask_node, node, how)``: titles that are the same for the asking ones.
-
-    ``nodes`` has ``form, node, batch, ask`` and, for what a pair must share, ``first_day, last_day`` (days since
-    1970; the widest range where a row has no date) and ``bare`` (whether some row of the title has no DOI).
-
-    ``batch`` is when a title first came (0: history), ``ask`` the latest batch in which it is checked, -1
-    for never. Two forms with the same title from different batches meet if the later one asks.
-    """
-    spark = nodes.sparkSession
-    total = nodes.count() if total is None else total
-    model = spark.sparkContext.broadcast(fit_title_model(nodes, total))
-    cells = nodes.select("form", "node", "batch", "ask", "first_day", "last_day", "bare").mapInPandas(_assign(model), _CELL)
-    cells = cells.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return cells.mapInPandas(_search(model), _PAIR).groupBy("ask_node", "node").agg(F.min("how").alias("how"))
-
-
 def _keyed(df: DataFrame, order: Column, batch: Column, key: Column) -> DataFrame:
     doi = F.coalesce(doi_canonical(F.col("doi")), url_doi(F.col("url")))
     return df.select(key.cast("long").alias("k"), order.cast("long").alias("ord"), batch.cast("int").alias("batch"), doi.alias("doi"), F.when(url_doi(F.col("url")).isNull(), url_identity(F.col("url"))).alias("url"), F.col("title").alias("title"), F.col("published_date").alias("day"))
@@ -235,7 +50,7 @@ def _day(extreme, side: int) -> Column:
     return extreme(F.coalesce(F.unix_date("day"), far)).cast("int")
 
 
-def known_rows(papers: DataFrame, incoming: DataFrame) -> DataFrame:
+def known_rows(papers: DataFrame, incoming: DataFrame, index_path: str | None = None) -> DataFrame:
     """``(incoming_id, reason)``: rows of the batches whose work is in ``papers`` or in a row with a smaller id.
 
     ``reason`` is the first of ``doi``, ``url`` and ``title`` that shows it. DOIs (also in resolver URLs)
@@ -244,6 +59,11 @@ def known_rows(papers: DataFrame, incoming: DataFrame) -> DataFrame:
     side and publication dates are at most ``DATE_SLACK`` days apart or absent. Where two or three words about
     the matter itself differ, both dates must be there: only they tell a reworded title from a sibling study.
 
+    The index is a folder: history is indexed there once, batches are added as runs, and what is asked
+    reads the shards of the cells it looks into. ``index_path`` names it; without one it is made in the
+    shared folder for this call. All batches of ``incoming`` are replayed at once, each against what came
+    before it; a pipeline that holds the index calls ``TitleIndex.search`` and ``extend`` batch by batch.
+
     NULL and blank DOIs, URLs and titles identify nothing. Other columns are ignored.
     """
     old = _keyed(papers, F.lit(0), F.lit(0), -F.col("paper_id") - 1)
@@ -263,7 +83,12 @@ def known_rows(papers: DataFrame, incoming: DataFrame) -> DataFrame:
     nodes = dated.groupBy("form").agg(F.min("k").alias("node"), F.min("batch").alias("batch"), _day(F.min, -1).alias("first_day"), _day(F.max, 1).alias("last_day"), (~F.bool_and("has_doi")).alias("bare"))
     asked = asking.groupBy("form").agg(F.max("batch").alias("ask"))
     indexed = cut_lineage(nodes.join(asked, "form", "left").withColumn("ask", F.coalesce("ask", F.lit(-1))))
-    pairs = same_title_pairs(indexed).unionByName(indexed.where(F.col("ask") >= 0).select(F.col("node").alias("ask_node"), "node", F.lit(1).alias("how")))
+    index = TitleIndex(papers.sparkSession, index_path or f"{shared_folder(papers.sparkSession)}/titles-{uuid.uuid4().hex}")
+    columns = ["node", "form", "batch", "first_day", "last_day", "bare"]
+    index.create(indexed.where("batch = 0").select(*columns))
+    index.add(indexed.where("batch > 0").select(*columns), 1, 2**31 - 1)
+    pairs = index.search(indexed.where("ask >= 0").withColumn("batch", F.col("ask")).select(*columns))
+    pairs = pairs.unionByName(indexed.where(F.col("ask") >= 0).select(F.col("node").alias("ask_node"), "node", F.lit(1).alias("how")))
 
     names = indexed.select("form", F.col("node").alias("_node"))
     queries = asking.join(names, "form").select("k", F.col("ord").alias("q_ord"), F.col("day").alias("q_day"), F.col("has_doi").alias("q_doi"), F.col("_node").alias("ask_node"))

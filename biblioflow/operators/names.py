@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioflow.functions.names import parse_name
+from biblioflow.functions.names import ORGANISATION, parse_name
 from biblioflow.session import cut_lineage
 
 #: A family joins another that is one slip away only if it has at most this share of the other's spellings (or both have one).
 MINOR_SHARE = 0.5
 #: Letters from which a word can be one slip away from another, and from which it can be the stem of a longer one.
 SLIP_LETTERS, STEM_LETTERS = 4, 3
+#: Word stems that only say what kind of organisation it is.
+ORGANISATION_STEMS = sorted({w[:3] for w in ORGANISATION} | {"cen"})
 
 _PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "kind", "family", "given", "rest", "other_family", "other_given")] + [T.StructField("n", T.LongType())])
 
@@ -77,40 +79,46 @@ def _prefixes(word: Column) -> Column:
     return F.when(n <= STEM_LETTERS, F.array(word)).otherwise(F.transform(F.sequence(F.lit(STEM_LETTERS), n), lambda i: F.substr(word, F.lit(1), i)))
 
 
+def _rarer_half(token: Column) -> Column:
+    """Stems of an organisation's words such that two that share half of the longer one's stems share one of these.
+
+    Any fixed order of stems serves; those that say what kind of organisation it is come last.
+    """
+    stems = F.array_distinct(F.split(token, " "))
+    usual = list(ORGANISATION_STEMS)
+    ordered = F.array_sort(F.transform(stems, lambda w: F.struct(w.isin(usual).alias("u"), w.alias("w"))))
+    return F.slice(F.transform(ordered, lambda x: x["w"]), F.lit(1), F.size(stems) - F.ceil(F.size(stems) / 2).cast("int") + 1)
+
+
+def _keys(side: str) -> Column:
+    """What two words that may be one have in common, one side's keys meeting the other's.
+
+    ``<`` meets where the left word begins the right one, ``>`` where it is the other way round, ``~`` where both
+    are the same with one letter less, ``#`` where organisations share a rarer stem.
+    """
+    token = F.col("token")
+    tagged = lambda tag, words: F.transform(words, lambda w: F.concat(F.lit(tag), w))
+    own, longer = F.array(token), _prefixes(token)
+    stems = F.concat(tagged("<", own), tagged(">", longer)) if side == "l" else F.concat(tagged("<", longer), tagged(">", own))
+    less = F.when(F.length(token) >= SLIP_LETTERS, tagged("~", _deletions(token))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col("kind") == "person", F.concat(stems, less)).otherwise(tagged("#", _rarer_half(token)))
+
+
 def _related(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(l, r)``: what of ``left`` and ``right``, both ``(kind, root, token, second, ...)``, may be one within a root.
 
     Given names: equal, a stem of three letters or more, or one slip between longer ones, unless second
-    names begin differently. Organisations: half of the longer one's word stems. Every relation is an
-    equality of keys first (the shorter word is a beginning of the longer one; words one slip apart share a
-    word with a letter less; half of two sets meets in the rarer half), so no root is compared all with all.
+    names begin differently. Organisations: half of the longer one's word stems. Every relation is one
+    equality of keys first, so no root is compared all with all.
     """
-    named = lambda df, side: df.select("kind", "root", F.struct(*df.columns).alias(side), F.col("token").alias(f"_{side}"), F.col("second").alias(f"_{side}2"))
-    l, r = named(left, "l"), named(right, "r")
-    is_person = F.col("kind") == "person"
-    fits = (F.col("_l2") == "") | (F.col("_r2") == "") | (F.col("_l2") == F.col("_r2"))
-    on = ["kind", "root", "_key"]
-    own = lambda df, side: df.where(is_person).withColumn("_key", F.col(f"_{side}"))
-    longer = lambda df, side: df.where(is_person).withColumn("_key", F.explode(_prefixes(F.col(f"_{side}"))))
-    less = lambda df, side: df.where(is_person & (F.length(f"_{side}") >= SLIP_LETTERS)).withColumn("_key", F.explode(_deletions(F.col(f"_{side}"))))
-    slips = less(l, "l").join(less(r, "r"), on).where(fits & _one_slip(F.col("_l"), F.col("_r")))
-    people = [own(l, "l").join(longer(r, "r"), on).where(fits), longer(l, "l").join(own(r, "r"), on).where(fits), slips]
-    rows = [df.select("l", "r") for df in (*people, _related_organisations(l, r))]
-    return reduce(DataFrame.unionByName, rows).distinct()
-
-
-def _related_organisations(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
-    l, r = (df.where(F.col("kind") == "organisation").withColumn(f"_{s}s", F.array_distinct(F.split(f"_{s}", " "))) for df, s in ((l, "l"), (r, "r")))  # noqa: E741
-    usual = l.select(F.explode("_ls").alias("_key")).unionByName(r.select(F.explode("_rs").alias("_key"))).groupBy("_key").agg(F.count(F.lit(1)).alias("_f"))
-
-    def rarer(df: DataFrame, s: str) -> DataFrame:
-        words = df.select("kind", "root", s, f"_{s}s", F.explode(f"_{s}s").alias("_key")).join(usual, "_key")
-        ranked = words.withColumn("_rank", F.row_number().over(Window.partitionBy("kind", "root", s).orderBy("_f", "_key")))
-        n = F.size(f"_{s}s")
-        return ranked.where(F.col("_rank") <= n - F.ceil(n / 2) + 1).select("kind", "root", s, f"_{s}s", "_key")
-
-    met = rarer(l, "l").join(rarer(r, "r"), ["kind", "root", "_key"])
-    return met.where(2 * F.size(F.array_intersect("_ls", "_rs")) >= F.greatest(F.size("_ls"), F.size("_rs")))
+    keyed = lambda df, side: df.select("kind", "root", F.explode(_keys(side)).alias("_key"), F.struct(*df.columns).alias(side))
+    met = keyed(left, "l").join(keyed(right, "r"), ["kind", "root", "_key"])
+    l, r = F.col("l.token"), F.col("r.token")
+    seconds = (F.col("l.second") == "") | (F.col("r.second") == "") | (F.col("l.second") == F.col("r.second"))
+    stems = lambda c: F.array_distinct(F.split(c, " "))
+    half = 2 * F.size(F.array_intersect(stems(l), stems(r))) >= F.greatest(F.size(stems(l)), F.size(stems(r)))
+    fits = F.when(F.col("kind") == "organisation", half).otherwise(seconds & (~F.col("_key").startswith("~") | _one_slip(l, r)))
+    return met.where(fits).select("l", "r").distinct()
 
 
 # ---------------------------------------------------------------- members of a family

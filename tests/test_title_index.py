@@ -1,37 +1,98 @@
-"""The stored index finds what one pass finds, before and after compaction."""
+"""The stored index: what it finds against exhaustive comparison, before and after compaction, and how much of it a batch reads."""
 
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from biblioflow.functions.titles import match_form
-from biblioflow.operators.known import same_title_pairs
-from biblioflow.operators.title_index import TitleIndex
-
-
-def test_index_in_a_folder(spark, tmp_path):
-    rng = random.Random(4)
-    parts = [[a + b for a in ("Ka", "Lo", "Mi", "Nu", "Pe", "Ra") for b in ("dovi", "lasu", "meno", "rita")], ["glass", "carbon", "zinc foam", "graphite", "silica"], ["ageing", "charge transfer", "nucleation", "wettability"]]
-    titles = [f"Linking {rng.choice(parts[2])} of {rng.choice(parts[1])} at {k} K: the {rng.choice(parts[0])}{rng.choice(('sson', 'berg', 'ini'))} experiment" for k in range(400)]
-    rows = []
-    for k, t in enumerate(titles):
-        batch = 0 if k < 300 else 1 + k % 6
-        rows.append((match_form(t), 2 * k, batch))
-        if k % 3 == 0:
-            rows.append((match_form(t.replace("experiment", "experimnet")), 2 * k + 1, 1 + k % 6))
-    nodes = spark.createDataFrame(rows, "form string, node long, batch int").withColumns({"ask": F.when(F.col("batch") > 0, F.col("batch")).otherwise(-1), "first_day": F.lit(19_000), "last_day": F.lit(19_000), "bare": F.lit(True)})
-    columns = ["form", "node", "first_day", "last_day", "bare"]
+from biblioflow.functions.titles import match_form, same_title, vectors
+from biblioflow.operators.title_index import TitleIndex, TitleModel, packed, unpacked
+
+COLUMNS = ["node", "form", "batch", "first_day", "last_day", "bare"]
+
+
+def _titles(n, seed=4):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(rng.randrange(5, 10))) for _ in range(700)]
+    return [f"Linking {rng.choice(words)} of {rng.choice(words)} {rng.choice(words)} at {k} K: the {rng.choice(words)} {rng.choice(words)} experiment" for k in range(n)]
+
+
+def _slip(title, k):
+    at = 9 + k % 20
+    return title[:at] + title[at + 1] + title[at] + title[at + 2 :]
+
+
+def _nodes(spark, rows):
+    df = spark.createDataFrame(pd.DataFrame([(match_form(t), n, b) for t, n, b in rows], columns=["form", "node", "batch"]))
+    return df.withColumns({"batch": F.col("batch").cast("int"), "first_day": F.lit(19_000), "last_day": F.lit(19_000), "bare": F.lit(True)}).select(*COLUMNS)
+
+
+def test_batches_runs_and_compaction(spark, tmp_path):
+    titles = _titles(400)
+    rows = [(t, 2 * k, 0 if k < 300 else 1 + 2 * (k % 6)) for k, t in enumerate(titles)] + [(_slip(t, k), 2 * k + 1, 1 + 2 * (k % 6)) for k, t in enumerate(titles) if k % 3 == 0]
+    nodes = _nodes(spark, rows)
     index = TitleIndex(spark, str(tmp_path / "index"))
-    index.create(nodes.where("batch = 0").select(*columns))
-    found = set()
-    for b in range(1, 7):
-        batch = nodes.where(F.col("batch") == b).select(*columns)
-        index.add(batch, b)
+    index.create(nodes.where("batch = 0"))
+    found, numbers = set(), [1, 3, 5, 7, 9, 11]  # batch numbers with gaps
+    for b in numbers:
+        batch = nodes.where(F.col("batch") == b)
+        index.extend(batch, b)
         found |= {(r.ask_node, r.node) for r in index.search(batch).collect()}
-    planted = {(2 * k + 1, 2 * k) for k in range(0, 300, 3)}
-    assert planted <= found
-    assert found == {(r.ask_node, r.node) for r in same_title_pairs(nodes).collect()}
-    last = nodes.where("batch = 6").select(*columns)
-    before = set(map(tuple, index.search(last).collect()))
-    assert index.compact() and not index.compact()
-    assert set(map(tuple, index.search(last).collect())) == before
+    assert index.runs() == [(0, 0), (1, 9), (11, 11)]  # merged when the fifth single run had come
+    rare = index.model.value.rare
+    exact = {(n, m) for t, n, b in rows if b for u, m, c in rows if m != n and c <= b and same_title(match_form(t), match_form(u), rare)}
+    assert found <= exact and len(found) >= 0.95 * len(exact)
+    assert {(2 * k + 1, 2 * k) for k in range(0, 300, 3)} <= found
+    index.add(nodes.where("batch = 11"), 11)  # writing a run again replaces it
+    assert {(r.ask_node, r.node) for r in index.search(nodes.where("batch = 11")).collect()} <= found
+
+
+def test_all_batches_at_once_find_what_one_after_the_other_find(spark, tmp_path):
+    titles = _titles(200, 9)
+    nodes = _nodes(spark, [(t, 2 * k, k % 4) for k, t in enumerate(titles)] + [(_slip(t, k), 2 * k + 1, 1 + k % 3) for k, t in enumerate(titles)])
+    whole, single = TitleIndex(spark, str(tmp_path / "whole")), TitleIndex(spark, str(tmp_path / "single"))
+    for index in (whole, single):
+        index.create(nodes.where("batch = 0"))
+    whole.add(nodes.where("batch > 0"), 1, 3)
+    found = set()
+    for b in (1, 2, 3):
+        single.add(nodes.where(F.col("batch") == b), b)
+        found |= set(map(tuple, single.search(nodes.where(F.col("batch") == b)).collect()))
+    assert set(map(tuple, whole.search(nodes.where("batch > 0")).collect())) == found
+    assert whole.search(nodes.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("fitted", [1])
+def test_what_a_batch_reads_does_not_grow_with_history(spark, tmp_path, fitted, monkeypatch):
+    monkeypatch.setattr("biblioflow.operators.title_index.CELL_TITLES", 60)
+    monkeypatch.setattr(TitleModel.fit.__func__, "__defaults__", (60, frozenset()))
+    read = {}
+    asked = [(_slip(t, k), 10**6 + k, 1) for k, t in enumerate(_titles(6))]
+    for n in (2000, 8000):
+        index = TitleIndex(spark, str(tmp_path / f"of{n}"))
+        index.create(_nodes(spark, [(t, k, 0) for k, t in enumerate(_titles(n))]))
+        batch = _nodes(spark, asked)
+        cells = sorted(r.cell for r in index._entries(batch, True).select("cell").distinct().collect())
+        held = index.shards(index.runs(), cells)
+        read[n] = held.agg(F.sum(F.size("nodes"))).first()[0] or 0
+        assert {(10**6 + k, k) for k in range(6)} <= {(r.ask_node, r.node) for r in index.search(batch).collect()}
+    assert read[8000] < 2 * read[2000] < 2 * 2000
+
+
+def test_cells_are_fitted_in_two_levels_when_they_are_many():
+    titles = sorted(_titles(6000))
+    model = TitleModel.fit(titles, len(titles), 10)
+    assert len(model.centres) > 256 and len(model.zones) == len(model.centres)
+    points = vectors([match_form(t) for t in titles], model.weights)
+    asked = vectors([match_form(_slip(t, 3)) for t in titles[:500]], model.weights)
+    row, cell = model.probes(asked)
+    at = model.cells(points[:500])
+    assert len({r for r, c in zip(row, cell) if at[r] == c}) >= 0.95 * 500
+    assert np.bincount(model.cells(points)).max() < 400
+
+
+def test_vectors_as_bytes():
+    points = vectors([match_form(t) for t in _titles(300)], np.ones(1 << 16, np.float32))
+    assert np.abs((points * unpacked(packed(points).tobytes())).sum(1) - 1).max() < 1e-3

@@ -12,9 +12,10 @@ from biblioflow.functions.graph import Graph
 from biblioflow.functions.names import parse_name, slip
 from biblioflow.functions.titles import head_of, match_form, same_title, vectors
 from biblioflow.operators.collapse import collapse_records, further_copies
-from biblioflow.operators.known import TitleModel, known_rows, with_heads
+from biblioflow.operators.known import known_rows
 from biblioflow.operators.names import _one_slip, name_members, variant_links, variant_pairs
 from biblioflow.operators.survivor import best_values, surviving_records
+from biblioflow.operators.title_index import TitleModel, with_heads
 
 PAPER = "paper_id long, doi string, title string, abstract string, publication_title string, volume string, pages string, fetched_at timestamp, url string, published_date date, authors array<string>, _key string, _n int"
 
@@ -173,7 +174,7 @@ def test_cells_hold_changed_titles_at_every_number_of_cells():
     for cell_titles in (300, 30):
         model = TitleModel.fit(titles, len(titles), cell_titles)
         frame = with_heads(pd.DataFrame({"form": titles}))
-        cells = model.cells(vectors(frame["look"].tolist(), model.weights), 1).ravel()
+        cells = model.cells(vectors(frame["look"].tolist(), model.weights))
         asked = [head_of(t).replace("a", "e", 1) for t in titles]  # lost subtitles with a slip
         row, cell = model.probes(vectors(asked, model.weights))
         held = set(zip(frame["form"], cells))
