@@ -15,6 +15,7 @@ from biblioflow.operators import enrich, filters, keywords, library
 from biblioflow.operators.filters import Criteria
 from biblioflow.operators.greedy import deduplicate
 from biblioflow.schema import PAPER_SCHEMA
+from biblioflow.session import cut_lineage
 from biblioflow.sources.feeds import entries_to_papers, feed_entries
 from biblioflow.sources.mail import allowed_senders, html_bodies, item_quality, mail_items
 from biblioflow.sources.opml import read_opml
@@ -81,15 +82,16 @@ class Engine:
         return papers if self.judge is None else filters.judge_in_batches(papers, self.judge, key)
 
     def enrich(self, papers: DataFrame, provider: str = "all") -> DataFrame:
-        """One catalog over the papers' values, the other into their gaps."""
+        """One catalog over the papers' values, the other into their gaps; by DOI, and by title and authors without one."""
         if provider not in ("crossref", "openalex", "all"):
             raise ValueError(f"unknown provider {provider}")
         columns = papers.columns
-        if provider in ("crossref", "all"):
-            papers = enrich.merge_overwrite(enrich.join_by_doi(papers, enrich.crossref_works(self.catalogs["crossref"]))).select(*columns)
-        if provider in ("openalex", "all"):
-            papers = enrich.merge_fill(enrich.join_by_doi(papers, enrich.openalex_works(self.catalogs["openalex"]))).select(*columns)
-        return papers
+        if "_key" not in columns:  # materialised, so that every use of a row sees the same number
+            papers = cut_lineage(papers.withColumn("_key", F.monotonically_increasing_id()))
+        for catalog in (enrich.CROSSREF, enrich.OPENALEX):
+            if provider in (catalog.name, "all"):
+                papers = enrich.enrich_from(papers, self.catalogs[catalog.name], catalog, "_key")
+        return papers.select(*columns)
 
     def search(self, provider: str, title: str, rows: int = 5) -> DataFrame:
         """The works whose titles share most words with ``title``; works without any are left out."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioflow.functions.text import author_key, blank_to_null, clean_abstract, extract_doi, jaccard, match_title, normalize_doi, strip, words
+from biblioflow.session import cut_lineage
 
 #: Item types of the two catalogs (fixed values); anything else is a journal article.
 CROSSREF_TYPES = {"journal-article": "journalArticle", "proceedings-article": "conferencePaper", "book-chapter": "bookSection", "book": "book", "report": "report", "dataset": "dataset", "dissertation": "thesis", "posted-content": "preprint"}
@@ -97,15 +101,62 @@ def doi_candidate(df: DataFrame) -> Column:
     return _clean_doi(F.coalesce(blank_to_null(df["doi"]), extract_doi(df["url"])))
 
 
-def one_per_doi(works: DataFrame) -> DataFrame:
-    """The work of smallest id for each normalized DOI, one row per key, so a join never multiplies papers."""
-    return works.withColumn("_doi", F.lower(_clean_doi(F.col("doi")))).where(F.col("_doi").isNotNull()).groupBy("_doi").agg(F.min_by(F.struct(*works.columns), "work_id").alias("work"))
+@dataclass(frozen=True)
+class Catalog:
+    """A table of raw works: how it is projected, where its DOI stands, and which of its columns are understood."""
+
+    name: str
+    works: Callable[[DataFrame], DataFrame]
+    doi: Callable[[], Column]
+    sort_author_tokens: bool
+    mapped: frozenset[str]
+
+
+CROSSREF = Catalog(
+    "crossref", crossref_works, lambda: F.col("doi"), True,
+    frozenset("work_id doi title author authors container_title published published_print published_online volume issue page abstract url publisher type subject funder reference link issn language".split()),
+)
+OPENALEX = Catalog(
+    "openalex", openalex_works, lambda: F.when(F.col("doi").contains("doi.org/"), F.substring_index("doi", "doi.org/", -1)), False,
+    frozenset("work_id id doi title display_name authorships authors primary_location publication_year biblio abstract_inverted_index type cited_by_count concepts".split()),
+)
+
+
+def one_per_doi(raw: DataFrame, catalog: Catalog) -> DataFrame:
+    """``(_doi, work_id)``: the smallest id for each normalized DOI, one narrow row per key."""
+    return raw.select(F.lower(_clean_doi(catalog.doi())).alias("_doi"), "work_id").where(F.col("_doi").isNotNull()).groupBy("_doi").agg(F.min("work_id").alias("work_id"))
 
 
-def join_by_doi(papers: DataFrame, works: DataFrame) -> DataFrame:
-    """``papers`` with the ``work`` of their DOI, NULL where there is none."""
-    keyed = papers.withColumn("_doi", F.lower(doi_candidate(papers)))
-    return keyed.join(one_per_doi(works), "_doi", "left").withColumn("lookup", F.when(F.col("_doi").isNotNull(), F.lit("doi_only")).when(F.col("title") != "", F.lit("title_author")).otherwise(F.lit("none"))).drop("_doi")
+def find_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id", least: float = LEAST_SCORE) -> DataFrame:
+    """``(key, work_id)``: the work of a paper's DOI; for papers without one, the best match of title and authors.
+
+    A DOI that the catalog does not know is no reason to look for the title.
+    """
+    asked = papers.select(key, "title", "authors", F.lower(doi_candidate(papers)).alias("_doi"))
+    by_doi = asked.where(F.col("_doi").isNotNull()).join(one_per_doi(raw, catalog), "_doi").select(key, "work_id")
+    titled = asked.where(F.col("_doi").isNull() & (F.col("title") != ""))
+    by_title = best_title_matches(titled, catalog.works(raw).select("work_id", "title", "authors"), catalog.sort_author_tokens, key, least)
+    return by_doi.unionByName(by_title.select(key, "work_id"))
+
+
+def join_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id") -> DataFrame:
+    """``papers`` with the ``work`` found for them, NULL where there is none, and ``lookup``: how it was asked for.
+
+    Ids are found first, over narrow columns; only works that a paper has are projected. ``work_other`` holds
+    the columns of the catalog that are not understood, as JSON.
+    """
+    found = cut_lineage(find_works(papers, raw, catalog, key))  # narrow, and used twice
+    needed = raw.join(found.select("work_id").distinct(), "work_id", "left_semi").dropDuplicates(["work_id"])
+    projected = catalog.works(needed)
+    works = projected.select(F.col("work_id").alias("_work_id"), F.struct(*projected.columns).alias("work"))
+    other = [c for c in raw.columns if c not in catalog.mapped]
+    if other:
+        works = works.join(needed.select(F.col("work_id").alias("_work_id"), F.to_json(F.struct(*other)).alias("work_other")), "_work_id")
+    else:
+        works = works.withColumn("work_other", F.lit(None).cast("string"))
+    doi = doi_candidate(papers)
+    asked = papers.withColumn("lookup", F.when(doi.isNotNull(), F.lit("doi_only")).when(F.col("title") != "", F.lit("title_author")).otherwise(F.lit("none")))
+    return asked.join(found.withColumnRenamed("work_id", "_work_id"), key, "left").join(works, "_work_id", "left").drop("_work_id")
 
 
 def best_title_matches(papers: DataFrame, works: DataFrame, sort_author_tokens: bool, key: str = "paper_id", least: float = LEAST_SCORE) -> DataFrame:
@@ -122,7 +173,11 @@ def best_title_matches(papers: DataFrame, works: DataFrame, sort_author_tokens:
     titles = left.select("_t").distinct().withColumn("_side", F.lit(0)).unionByName(right.select("_t").distinct().withColumn("_side", F.lit(1))).withColumn("_w", words(F.col("_t")))
     frequency = titles.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ordered = titles.select("_t", "_side", F.size("_w").alias("_size"), F.explode("_w").alias("w")).join(frequency, "w").groupBy("_t", "_side", "_size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_o"))
-    prefix = ordered.select("_t", "_side", "_size", F.explode(F.slice("_o", F.lit(1), (F.floor((1 - F.lit(floor_j)) * F.col("_size") + 1e-9) + 1).cast("int"))).alias("x")).select("_t", "_side", "_size", "x.w")
+    rarest = F.transform(F.slice("_o", F.lit(1), (F.floor((1 - F.lit(floor_j)) * F.col("_size") + 1e-9) + 1).cast("int")), lambda x: x["w"])
+    # one other word among few is less than the least similarity: titles as short as that meet as sets, not by a word that many have
+    as_set = F.array(F.concat(F.lit("="), F.array_join(F.array_sort(F.transform("_o", lambda x: x["w"])), " ")))
+    alone = F.col("_size") / (F.col("_size") + 1) < floor_j - 1e-9
+    prefix = ordered.select("_t", "_side", "_size", F.explode(F.when(alone, as_set).otherwise(rarest)).alias("w"))
     a = prefix.where("_side = 0").select(F.col("_t").alias("_ta"), F.col("_size").alias("_sa"), "w")
     b = prefix.where("_side = 1").select(F.col("_t").alias("_tb"), F.col("_size").alias("_sb"), "w")
     met = a.join(b, "w").where((F.col("_sa") >= floor_j * F.col("_sb") - 1e-9) & (F.col("_sb") >= floor_j * F.col("_sa") - 1e-9)).select("_ta", "_tb").distinct()
@@ -144,6 +199,30 @@ def _truthy(c: Column) -> Column:
 PAIRED = {"abstract": "abstract", "doi": "doi", "url": "url", "publication_title": "journal", "volume": "volume", "issue": "issue", "pages": "pages"}
 
 
+def with_bags(extra: Column, bags: dict[str, Column]) -> Column:
+    """The JSON object ``extra`` with each name set to its value, itself JSON; NULL values set nothing. What is no object counts as empty."""
+    held = F.coalesce(F.from_json(extra, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    said = F.map_filter(F.create_map(*[x for name, value in bags.items() for x in (F.lit(name), value)]), lambda _, v: v.isNotNull())
+    new = F.transform_values(said, lambda _, v: F.try_parse_json(v))
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, _: ~k.isin(*bags)), new))
+
+
+def _bags(joined: DataFrame, name: str, kept: tuple[str, ...]) -> Column:
+    """``extra`` with what a catalog says beyond a paper's fields, or with what was asked in vain."""
+    says = F.when(F.col("work").isNotNull(), F.to_json(F.struct(*[F.col(f"work.{f}").alias(f) for f in kept])))
+    asked = F.struct(_asked_doi().alias("doi"), F.col("title").alias("title"), F.col("authors").alias("authors"), F.col("url").alias("url"), _strategy().alias("strategy"))
+    in_vain = F.when(F.col("work").isNull(), F.to_json(asked))
+    return with_bags(F.col("extra"), {name: says, f"{name}_extra": F.nullif(F.col("work_other"), F.lit("{}")), f"{name}_unmatched": in_vain})
+
+
+def _asked_doi() -> Column:
+    return F.coalesce(blank_to_null(F.col("doi")), extract_doi(F.col("url")))
+
+
+def _strategy() -> Column:
+    return F.when(F.col("lookup") == "doi_only", F.lit("doi_only")).otherwise(F.lit("title_author"))
+
+
 def merge_overwrite(joined: DataFrame) -> DataFrame:
     """Papers with every value that their ``work`` has put over their own; the date becomes the first day of the year."""
     w = lambda f: F.col(f"work.{f}")
@@ -152,6 +231,8 @@ def merge_overwrite(joined: DataFrame) -> DataFrame:
     new["authors"] = F.when(F.size(w("authors")) > 0, w("authors")).otherwise(F.col("authors"))
     new["published_date"] = F.coalesce(F.when(w("year") != 0, F.make_date(w("year"), F.lit(1), F.lit(1))), F.col("published_date"))
     new["item_type"] = F.coalesce(_truthy(w("item_type")), F.col("item_type"))
+    if "extra" in joined.columns:
+        new["extra"] = _bags(joined, "crossref", ("funders", "citation_count", "subjects"))
     return joined.withColumns(new)
 
 
@@ -163,15 +244,29 @@ def merge_fill(joined: DataFrame) -> DataFrame:
     new["published_date"] = F.coalesce(F.col("published_date"), F.when(w("year") != 0, F.make_date(w("year"), F.lit(1), F.lit(1))))
     plain = F.coalesce(_truthy(F.col("item_type")), F.lit("journalArticle")) == "journalArticle"
     new["item_type"] = F.when(plain & (w("item_type") != "") & (w("item_type") != "journalArticle"), w("item_type")).otherwise(F.col("item_type"))
+    if "extra" in joined.columns:
+        new["extra"] = _bags(joined, "openalex", ("cited_by_count", "concepts"))
     return joined.withColumns(new)
 
 
 def unmatched(joined: DataFrame, key: str = "paper_id") -> DataFrame:
     """``(key, doi, title, url, strategy)`` of the papers without a work."""
-    return joined.where(F.col("work").isNull()).select(key, F.coalesce(blank_to_null(F.col("doi")), extract_doi(F.col("url"))).alias("doi"), "title", "url", F.when(F.col("lookup") == "doi_only", F.lit("doi_only")).otherwise(F.lit("title_author")).alias("strategy"))
+    return joined.where(F.col("work").isNull()).select(key, _asked_doi().alias("doi"), "title", "url", _strategy().alias("strategy"))
+
+
+def enrich_from(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id") -> DataFrame:
+    """Papers enriched from one catalog by its rule: the first one's values win, the second one's fill gaps."""
+    merge = merge_overwrite if catalog is CROSSREF else merge_fill
+    return merge(join_works(papers, raw, catalog, key)).select(*papers.columns)
+
+
+def enrich_chain(papers: DataFrame, first: DataFrame, second: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Papers enriched from one catalog and then from the other, whose lookup sees what the first one gave."""
+    return enrich_from(enrich_from(papers, first, CROSSREF, key), second, OPENALEX, key)
 
 
-def enrich_chain(papers: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Papers enriched by DOI from one catalog and then from the other, whose lookup sees what the first one gave."""
-    once = merge_overwrite(join_by_doi(papers, first)).select(*papers.columns)
-    return merge_fill(join_by_doi(once, second)).select(*papers.columns)
+def enriched_count(papers: DataFrame, enriched: DataFrame, key: str = "paper_id") -> DataFrame:
+    """One row: papers, and how many of them a catalog changed in any column."""
+    digest = lambda df: df.select(key, F.xxhash64(*[F.col(c).cast("string") if t.startswith(("map", "variant")) else F.col(c) for c, t in df.dtypes if c not in (key, "extra")]).alias("_h"))
+    both = digest(papers).join(digest(enriched).withColumnRenamed("_h", "_g"), key)
+    return both.agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("_h") != F.col("_g")).alias("enriched"))

@@ -78,6 +78,7 @@ class TitleModel:
     zones: np.ndarray
     parts: np.ndarray
     common: frozenset[str]
+    margin: float = PROBE_MARGIN
 
     @classmethod
     def fit(cls, sample: list[str], total: int, cell_titles: int = CELL_TITLES, common: frozenset[str] = frozenset()) -> TitleModel:
@@ -110,11 +111,11 @@ class TitleModel:
         return (points @ self.centres.T).argmax(1)
 
     def probes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, cell)`` of the cells that queries look into: all within ``PROBE_MARGIN`` of the nearest, ``PROBE_CELLS`` at least."""
+        """``(row, cell)`` of the cells that queries look into: all within the margin of the nearest, ``PROBE_CELLS`` at least."""
         near = points @ self.centres.T
         m = min(PROBE_CELLS, len(self.centres))
         least = np.partition(near, -m, axis=1)[:, -m]
-        return np.nonzero(near >= np.minimum(near.max(1) - PROBE_MARGIN, least)[:, None])
+        return np.nonzero(near >= np.minimum(near.max(1) - self.margin, least)[:, None])
 
 
 def common_words(titles: DataFrame, total: int) -> frozenset[str]:
@@ -253,11 +254,11 @@ class TitleIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self._model = spark, path.rstrip("/"), None
 
-    def create(self, history: DataFrame, total: int | None = None) -> None:
+    def create(self, history: DataFrame, total: int | None = None, margin: float = PROBE_MARGIN) -> None:
         """Fit the model and index all of ``history(node, form, first_day, last_day, bare)``."""
         model = fit_title_model(history, history.count() if total is None else total)
-        row = (model.weights.astype(np.float32).tobytes(), model.centres.astype(np.float32).tobytes(), model.zones.tolist(), model.parts.tolist(), json.dumps(sorted(model.common)))
-        self.spark.createDataFrame([row], "weights binary, centres binary, zones array<int>, parts array<long>, common string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/model")
+        row = (model.weights.astype(np.float32).tobytes(), model.centres.astype(np.float32).tobytes(), model.zones.tolist(), model.parts.tolist(), json.dumps(sorted(model.common)), margin)
+        self.spark.createDataFrame([row], "weights binary, centres binary, zones array<int>, parts array<long>, common string, margin double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/model")
         self._model = None
         self.add(history, 0)
 
@@ -266,7 +267,7 @@ class TitleIndex:
         if self._model is None:
             row = self.spark.read.parquet(f"{self.path}/model").first()
             centres = np.frombuffer(row.centres, np.float32).reshape(-1, DIMENSIONS)
-            self._model = self.spark.sparkContext.broadcast(TitleModel(np.frombuffer(row.weights, np.float32), centres, np.array(row.zones), np.array(row.parts), frozenset(json.loads(row.common))))
+            self._model = self.spark.sparkContext.broadcast(TitleModel(np.frombuffer(row.weights, np.float32), centres, np.array(row.zones), np.array(row.parts), frozenset(json.loads(row.common)), row.margin))
         return self._model
 
     def add(self, titles: DataFrame, batch: int, last: int | None = None) -> None:

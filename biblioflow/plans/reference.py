@@ -310,59 +310,108 @@ def openalex_parse(spark, sf):
 
 
 _CLEAN_DOI = lambda x: f"coalesce({Q.normalize_doi(x)}, nullif({Q.strip(x)}, ''))"
-_CR = f"""cr AS (SELECT * FROM (SELECT work_id, lower({_CLEAN_DOI('doi')}) AS wd, {_CLEAN_DOI('doi')} AS doi, container_title[1] AS journal, coalesce(published.date_parts[1][1], published_print.date_parts[1][1], published_online.date_parts[1][1]) AS year, volume, page AS pages, url,
-    {Q.mapped('type', enrich.CROSSREF_TYPES)} AS item_type, row_number() OVER (PARTITION BY lower({_CLEAN_DOI('doi')}) ORDER BY work_id) AS r FROM crossref_works) WHERE r = 1 AND wd IS NOT NULL)"""
 _OA_DOI = "CASE WHEN contains(doi, 'doi.org/') THEN string_split(doi, 'doi.org/')[-1] END"
-_OA = f"""oa AS (SELECT * FROM (SELECT work_id, lower({_CLEAN_DOI(_OA_DOI)}) AS wd, {_OA_DOI} AS doi, primary_location.source.display_name AS journal, publication_year AS year, biblio.volume AS volume,
+_CR_AUTHORS = "list_filter(list_transform(author, lambda a: CASE WHEN a.family <> '' AND a.given <> '' THEN a.family || ', ' || a.given WHEN a.family <> '' THEN a.family WHEN a.name <> '' THEN a.name END), lambda s: s IS NOT NULL)"
+_OA_AUTHORS = "coalesce(list_filter(list_transform(authorships, lambda a: a.author.display_name), lambda n: coalesce(n <> '', false)), [])"
+_CR_TITLE, _OA_TITLE = "coalesce(title[1], '')", "coalesce(nullif(title, ''), nullif(display_name, ''), '')"
+_CR = f"""cr AS (SELECT work_id, lower({_CLEAN_DOI('doi')}) AS wd, {_CLEAN_DOI('doi')} AS doi, {_CR_TITLE} AS wt, {_CR_AUTHORS} AS wauthors, container_title[1] AS journal, coalesce(published.date_parts[1][1], published_print.date_parts[1][1], published_online.date_parts[1][1]) AS year, volume, page AS pages, url,
+    {Q.mapped('type', enrich.CROSSREF_TYPES)} AS item_type, CASE WHEN len(reference) > 0 THEN len(reference)::INT END AS cites FROM crossref_works)"""
+_OA = f"""oa AS (SELECT work_id, lower({_CLEAN_DOI(_OA_DOI)}) AS wd, {_OA_DOI} AS doi, {_OA_TITLE} AS wt, {_OA_AUTHORS} AS wauthors, primary_location.source.display_name AS journal, publication_year AS year, biblio.volume AS volume,
     CASE WHEN biblio.first_page <> '' AND biblio.last_page <> '' THEN biblio.first_page || '-' || biblio.last_page WHEN biblio.first_page <> '' THEN biblio.first_page END AS pages, coalesce(nullif(doi, ''), nullif(id, '')) AS url,
-    {Q.mapped('type', enrich.OPENALEX_TYPES)} AS item_type, row_number() OVER (PARTITION BY lower({_CLEAN_DOI(_OA_DOI)}) ORDER BY work_id) AS r FROM openalex_works) WHERE r = 1 AND wd IS NOT NULL)"""
+    {Q.mapped('type', enrich.OPENALEX_TYPES)} AS item_type, nullif(cited_by_count, 0) AS cites FROM openalex_works)"""
 _PAPER_DOI = f"lower({_CLEAN_DOI(f"coalesce(nullif(doi, ''), {Q.extract_doi('url')})")})"
-_P = f"p AS (SELECT paper_id, title, doi, url, publication_title, volume, pages, item_type, published_date, {_PAPER_DOI} AS pd FROM papers)"
+_P_COLUMNS = "paper_id, title, doi, url, authors, publication_title, volume, pages, item_type, published_date"
+_P = f"p AS MATERIALIZED (SELECT {_P_COLUMNS}, {_PAPER_DOI} AS pd FROM papers)"
 
 
-@query(f"WITH {_CR}, {_P} SELECT p.paper_id, cr.work_id, CASE WHEN pd IS NOT NULL THEN 'doi_only' WHEN title <> '' THEN 'title_author' ELSE 'none' END AS lookup FROM p LEFT JOIN cr ON cr.wd = p.pd")
+def _best_sql(left: str, right: str, sort_tokens: bool, name: str) -> str:
+    """CTEs that end in ``name(paper_id, work_id, score)``: for rows ``left(paper_id, t, a)`` the best of ``right(work_id, t, wa)``."""
+    key = f"array_to_string(list_sort(string_split({Q.match_title('x')}, ' ')), ' ')" if sort_tokens else Q.match_title("x")
+    normal = lambda c: f"list_distinct(list_filter(list_transform({c}, lambda x: {key}), lambda x: x <> ''))"
+    n = name
+    return f"""{n}_l AS MATERIALIZED ({left}), {n}_r AS MATERIALIZED ({right}),
+        {n}_lt AS MATERIALIZED (SELECT DISTINCT t AS ta, {Q.words('t')} AS wta FROM {n}_l WHERE t <> ''), {n}_rt AS MATERIALIZED (SELECT DISTINCT t AS tb, {Q.words('t')} AS wtb FROM {n}_r WHERE t <> ''),
+        {n}_x AS (SELECT ta, w, len(wta) AS na FROM (SELECT ta, wta, unnest(wta) AS w FROM {n}_lt)), {n}_y AS (SELECT tb, w, len(wtb) AS nb FROM (SELECT tb, wtb, unnest(wtb) AS w FROM {n}_rt)),
+        {n}_s AS (SELECT ta, tb, count(*) AS shared, count(*)::DOUBLE / (any_value(na) + any_value(nb) - count(*)) AS j FROM {n}_x JOIN {n}_y USING (w) GROUP BY 1, 2 HAVING count(*)::DOUBLE / (any_value(na) + any_value(nb) - count(*)) >= {(enrich.LEAST_SCORE - 0.25) / 0.75} - 1e-9),
+        {n}_c AS (SELECT paper_id, work_id, j, a, wa, row_number() OVER (PARTITION BY paper_id ORDER BY shared DESC, work_id) AS rank FROM {n}_l l JOIN {n}_s s ON l.t = s.ta JOIN {n}_r r ON r.t = s.tb),
+        {n}_f AS (SELECT paper_id, work_id, rank, round(CASE WHEN len(a) > 0 THEN 0.75 * j + 0.25 * ({Q.jaccard(normal('a'), normal('wa'))}) ELSE j END, 9) AS score FROM {n}_c WHERE rank <= 5),
+        {n} AS MATERIALIZED (SELECT paper_id, work_id, score FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, rank) AS b FROM {n}_f) WHERE b = 1 AND score >= 0.8)"""
+
+
+def _found_sql(papers: str, works: str) -> str:
+    """CTEs that end in ``<works>_found(paper_id, work_id)``: by DOI, and by title and authors for papers without one."""
+    best = _best_sql(f"SELECT paper_id, {Q.match_title('title')} AS t, authors AS a FROM {papers} WHERE pd IS NULL AND title <> ''", f"SELECT work_id, {Q.match_title('wt')} AS t, wauthors AS wa FROM {works}", works == "cr", f"{works}_best")
+    return f"""{best}, {works}_found AS MATERIALIZED (SELECT s.paper_id, d.work_id FROM {papers} s JOIN (SELECT wd, min(work_id) AS work_id FROM {works} WHERE wd IS NOT NULL GROUP BY 1) d ON d.wd = s.pd UNION ALL SELECT paper_id, work_id FROM {works}_best)"""
+
+
+_CR_FOUND, _OA_FOUND = _found_sql("p", "cr"), _found_sql("p", "oa")
+_JOIN = lambda w: f"FROM p LEFT JOIN {w}_found f ON f.paper_id = p.paper_id LEFT JOIN {w} w ON w.work_id = f.work_id"
+
+
+def _crossref(spark, sf):
+    return enrich.join_works(_papers(spark, sf), table(spark, sf, "crossref_works"), enrich.CROSSREF)
+
+
+@query(f"WITH {_CR}, {_P}, {_CR_FOUND} SELECT p.paper_id, w.work_id, CASE WHEN pd IS NOT NULL THEN 'doi_only' WHEN title <> '' THEN 'title_author' ELSE 'none' END AS lookup {_JOIN('cr')}")
+def enrich_left_join(spark, sf):
+    return _crossref(spark, sf).select("paper_id", F.col("work.work_id").alias("work_id"), "lookup")
+
+
+@query(f"WITH {_CR}, {_P} SELECT p.paper_id, d.work_id FROM p JOIN (SELECT wd, min(work_id) AS work_id FROM cr WHERE wd IS NOT NULL GROUP BY 1) d ON d.wd = p.pd")
 def enrich_doi_left_join(spark, sf):
-    return enrich.join_by_doi(_papers(spark, sf), enrich.crossref_works(table(spark, sf, "crossref_works"))).select("paper_id", F.col("work.work_id").alias("work_id"), "lookup")
+    found = enrich.find_works(_papers(spark, sf).withColumn("title", F.lit("")), table(spark, sf, "crossref_works"), enrich.CROSSREF)
+    return found.select("paper_id", "work_id")
 
 
-@query(f"WITH {_CR}, {_P} SELECT paper_id, coalesce(nullif(p.doi, ''), {Q.extract_doi('p.url')}) AS doi, title, p.url, CASE WHEN pd IS NOT NULL THEN 'doi_only' ELSE 'title_author' END AS strategy FROM p LEFT JOIN cr ON cr.wd = p.pd WHERE cr.work_id IS NULL")
+@query(f"WITH {_CR}, {_P}, {_CR_FOUND} SELECT p.paper_id, coalesce(nullif(p.doi, ''), {Q.extract_doi('p.url')}) AS doi, title, p.url, CASE WHEN pd IS NOT NULL THEN 'doi_only' ELSE 'title_author' END AS strategy {_JOIN('cr')} WHERE w.work_id IS NULL")
 def unmatched_audit(spark, sf):
-    return enrich.unmatched(enrich.join_by_doi(_papers(spark, sf), enrich.crossref_works(table(spark, sf, "crossref_works"))))
+    return enrich.unmatched(_crossref(spark, sf))
 
 
 _MERGED = ("paper_id", "doi", "url", "publication_title", "volume", "pages", "item_type", "published_date")
-_OVER = """SELECT paper_id, coalesce(nullif(w.doi, ''), p.doi) AS doi, coalesce(nullif(w.url, ''), 'https://doi.org/' || w.doi, p.url) AS url, coalesce(nullif(w.journal, ''), publication_title) AS publication_title, coalesce(nullif(w.volume, ''), p.volume) AS volume, coalesce(nullif(w.pages, ''), p.pages) AS pages,
-    coalesce(w.item_type, p.item_type) AS item_type, coalesce(make_date(nullif(w.year, 0), 1, 1), published_date) AS published_date"""
-_FILL = """SELECT paper_id, coalesce(nullif(p.doi, ''), nullif(w.doi, ''), p.doi) AS doi, coalesce(nullif(p.url, ''), nullif(w.url, ''), p.url) AS url, coalesce(nullif(publication_title, ''), nullif(w.journal, ''), publication_title) AS publication_title, coalesce(nullif(p.volume, ''), nullif(w.volume, ''), p.volume) AS volume,
-    coalesce(nullif(p.pages, ''), nullif(w.pages, ''), p.pages) AS pages, CASE WHEN coalesce(nullif(p.item_type, ''), 'journalArticle') = 'journalArticle' AND w.item_type <> 'journalArticle' THEN w.item_type ELSE p.item_type END AS item_type, coalesce(published_date, make_date(nullif(w.year, 0), 1, 1)) AS published_date"""
+_OVER = """SELECT p.paper_id, title, coalesce(nullif(w.doi, ''), p.doi) AS doi, coalesce(nullif(w.url, ''), 'https://doi.org/' || w.doi, p.url) AS url, CASE WHEN len(w.wauthors) > 0 THEN w.wauthors ELSE p.authors END AS authors, coalesce(nullif(w.journal, ''), publication_title) AS publication_title,
+    coalesce(nullif(w.volume, ''), p.volume) AS volume, coalesce(nullif(w.pages, ''), p.pages) AS pages, coalesce(w.item_type, p.item_type) AS item_type, coalesce(make_date(nullif(w.year, 0), 1, 1), published_date) AS published_date"""
+_FILL = """SELECT p.paper_id, title, coalesce(nullif(p.doi, ''), nullif(w.doi, ''), p.doi) AS doi, coalesce(nullif(p.url, ''), nullif(w.url, ''), p.url) AS url, p.authors, coalesce(nullif(publication_title, ''), nullif(w.journal, ''), publication_title) AS publication_title,
+    coalesce(nullif(p.volume, ''), nullif(w.volume, ''), p.volume) AS volume, coalesce(nullif(p.pages, ''), nullif(w.pages, ''), p.pages) AS pages,
+    CASE WHEN coalesce(nullif(p.item_type, ''), 'journalArticle') = 'journalArticle' AND w.item_type <> 'journalArticle' THEN w.item_type ELSE p.item_type END AS item_type, coalesce(published_date, make_date(nullif(w.year, 0), 1, 1)) AS published_date"""
+_SHOWN = ", ".join(_MERGED)
 
 
-@query(f"WITH {_CR}, {_P} {_OVER} FROM p LEFT JOIN cr w ON w.wd = p.pd")
+@query(f"WITH {_CR}, {_P}, {_CR_FOUND} SELECT {_SHOWN} FROM ({_OVER} {_JOIN('cr')})")
 def merge_overwrite(spark, sf):
-    return enrich.merge_overwrite(enrich.join_by_doi(_papers(spark, sf), enrich.crossref_works(table(spark, sf, "crossref_works")))).select(*_MERGED)
+    return enrich.merge_overwrite(_crossref(spark, sf)).select(*_MERGED)
 
 
-@query(f"WITH {_OA}, {_P} {_FILL} FROM p LEFT JOIN oa w ON w.wd = p.pd")
+@query(f"WITH {_OA}, {_P}, {_OA_FOUND} SELECT {_SHOWN} FROM ({_FILL} {_JOIN('oa')})")
 def merge_fill(spark, sf):
-    return enrich.merge_fill(enrich.join_by_doi(_papers(spark, sf), enrich.openalex_works(table(spark, sf, "openalex_works")))).select(*_MERGED)
+    return enrich.merge_fill(enrich.join_works(_papers(spark, sf), table(spark, sf, "openalex_works"), enrich.OPENALEX)).select(*_MERGED)
 
 
-@query(f"WITH {_CR}, {_OA}, p0 AS (SELECT paper_id, title, doi, url, publication_title, volume, pages, item_type, published_date, {_PAPER_DOI} AS pd FROM papers), once AS ({_OVER} FROM p0 p LEFT JOIN cr w ON w.wd = p.pd), p AS (SELECT *, {_PAPER_DOI} AS pd FROM once) {_FILL} FROM p LEFT JOIN oa w ON w.wd = p.pd")
+@query(f"WITH {_CR}, {_OA}, {_P}, {_CR_FOUND}, once AS MATERIALIZED ({_OVER} {_JOIN('cr')}), q AS MATERIALIZED (SELECT *, {_PAPER_DOI} AS pd FROM once), {_found_sql('q', 'oa')} SELECT {_SHOWN} FROM ({_FILL} {_JOIN('oa').replace('FROM p ', 'FROM q p ')})")
 def enrich_chained(spark, sf):
-    return enrich.enrich_chain(_papers(spark, sf), enrich.crossref_works(table(spark, sf, "crossref_works")), enrich.openalex_works(table(spark, sf, "openalex_works"))).select(*_MERGED)
+    return enrich.enrich_chain(_papers(spark, sf), table(spark, sf, "crossref_works"), table(spark, sf, "openalex_works")).select(*_MERGED)
+
+
+@query(f"""WITH {_CR}, {_P}, {_CR_FOUND} SELECT p.paper_id, CASE WHEN w.work_id IS NULL THEN CASE WHEN pd IS NOT NULL THEN 'doi_only' ELSE 'title_author' END END AS strategy, w.cites::VARCHAR AS citation_count,
+    json_extract_string(e.extra, '$.publisher') AS publisher {_JOIN('cr')} JOIN papers e ON e.paper_id = p.paper_id""")
+def enrich_bags(spark, sf):
+    """What enrichment leaves in the open bag: the catalog's further values or what was asked in vain, beside what was there."""
+    bag = enrich.merge_overwrite(_crossref(spark, sf)).select("paper_id", F.try_parse_json("extra").alias("b"))
+    get = lambda path: F.try_variant_get("b", path, "string")
+    return bag.select("paper_id", get("$.crossref_unmatched.strategy").alias("strategy"), get("$.crossref.citation_count").alias("citation_count"), get("$.publisher").alias("publisher"))
+
+
+@query(f"""WITH {_CR}, {_P}, {_CR_FOUND}, n AS ({_OVER} {_JOIN('cr')}) SELECT (SELECT count(*) FROM p) AS papers, count(*) AS matched FROM cr_found""")
+def enriched_papers(spark, sf):
+    """Papers, and those that a catalog has a work for."""
+    return _crossref(spark, sf).agg(F.count(F.lit(1)).alias("papers"), F.count("work").alias("matched"))
 
 
 def _match_sql(sort_tokens: bool) -> str:
-    key = f"array_to_string(list_sort(string_split({Q.match_title('x')}, ' ')), ' ')" if sort_tokens else Q.match_title("x")
-    normal = lambda c: f"list_distinct(list_filter(list_transform({c}, lambda x: {key}), lambda x: x <> ''))"
-    works = ("crossref_works", "coalesce(title[1], '')", "list_filter(list_transform(author, lambda a: CASE WHEN a.family <> '' AND a.given <> '' THEN a.family || ', ' || a.given WHEN a.family <> '' THEN a.family WHEN a.name <> '' THEN a.name END), lambda s: s IS NOT NULL)") if sort_tokens else ("openalex_works", "coalesce(nullif(title, ''), nullif(display_name, ''), '')", "coalesce(list_filter(list_transform(authorships, lambda a: a.author.display_name), lambda n: coalesce(n <> '', false)), [])")
-    return f"""WITH l AS MATERIALIZED (SELECT paper_id, {Q.match_title('title')} AS t, authors AS a FROM papers WHERE doi IS NULL OR doi = ''), r AS MATERIALIZED (SELECT work_id, {Q.match_title(works[1])} AS t, {works[2]} AS wa FROM {works[0]}),
-        lt AS MATERIALIZED (SELECT DISTINCT t AS ta, {Q.words('t')} AS wta FROM l WHERE t <> ''), rt AS MATERIALIZED (SELECT DISTINCT t AS tb, {Q.words('t')} AS wtb FROM r WHERE t <> ''),
-        ex AS (SELECT ta, w, len(wta) AS na FROM (SELECT ta, wta, unnest(wta) AS w FROM lt)), ey AS (SELECT tb, w, len(wtb) AS nb FROM (SELECT tb, wtb, unnest(wtb) AS w FROM rt)),
-        s AS (SELECT ta, tb, count(*) AS shared, count(*)::DOUBLE / (any_value(na) + any_value(nb) - count(*)) AS j FROM ex JOIN ey USING (w) GROUP BY 1, 2 HAVING count(*)::DOUBLE / (any_value(na) + any_value(nb) - count(*)) >= {(enrich.LEAST_SCORE - 0.25) / 0.75} - 1e-9),
-        c AS (SELECT paper_id, work_id, j, a, wa, row_number() OVER (PARTITION BY paper_id ORDER BY shared DESC, work_id) AS rank FROM l JOIN s ON l.t = s.ta JOIN r ON r.t = s.tb),
-        f AS (SELECT paper_id, work_id, rank, round(CASE WHEN len(a) > 0 THEN 0.75 * j + 0.25 * ({Q.jaccard(normal('a'), normal('wa'))}) ELSE j END, 9) AS score FROM c WHERE rank <= 5)
-        SELECT paper_id, work_id, score FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, rank) AS b FROM f) WHERE b = 1 AND score >= 0.8"""
+    works = ("crossref_works", _CR_TITLE, _CR_AUTHORS) if sort_tokens else ("openalex_works", _OA_TITLE, _OA_AUTHORS)
+    left = f"SELECT paper_id, {Q.match_title('title')} AS t, authors AS a FROM papers WHERE doi IS NULL OR doi = ''"
+    right = f"SELECT work_id, {Q.match_title(works[1])} AS t, {works[2]} AS wa FROM {works[0]}"
+    return f"WITH {_best_sql(left, right, sort_tokens, 'm')} SELECT paper_id, work_id, score FROM m"
 
 
 def _without_doi(spark, sf):

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from biblioflow.functions.titles import match_form, same_title, vectors
@@ -64,21 +63,19 @@ def test_all_batches_at_once_find_what_one_after_the_other_find(spark, tmp_path)
     assert whole.search(nodes.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("fitted", [1])
-def test_what_a_batch_reads_does_not_grow_with_history(spark, tmp_path, fitted, monkeypatch):
-    monkeypatch.setattr("biblioflow.operators.title_index.CELL_TITLES", 60)
+def test_what_a_batch_reads_does_not_grow_with_history(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(TitleModel.fit.__func__, "__defaults__", (60, frozenset()))
     read = {}
     asked = [(_slip(t, k), 10**6 + k, 1) for k, t in enumerate(_titles(6))]
     for n in (2000, 8000):
         index = TitleIndex(spark, str(tmp_path / f"of{n}"))
-        index.create(_nodes(spark, [(t, k, 0) for k, t in enumerate(_titles(n))]))
+        index.create(_nodes(spark, [(t, k, 0) for k, t in enumerate(_titles(n))]), margin=0.02)
         batch = _nodes(spark, asked)
         cells = sorted(r.cell for r in index._entries(batch, True).select("cell").distinct().collect())
         held = index.shards(index.runs(), cells)
         read[n] = held.agg(F.sum(F.size("nodes"))).first()[0] or 0
         assert {(10**6 + k, k) for k in range(6)} <= {(r.ask_node, r.node) for r in index.search(batch).collect()}
-    assert read[8000] < 2 * read[2000] < 2 * 2000
+    assert read[8000] < 1.5 * read[2000] < 3000  # shards of the cells that the batch looks into, of 2,000 and of 8,000 titles
 
 
 def test_cells_are_fitted_in_two_levels_when_they_are_many():
