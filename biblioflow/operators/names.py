@@ -131,11 +131,9 @@ def _heads(given: DataFrame) -> DataFrame:
     so a spelling that only resembles an absorbed spelling comes along.
     """
     node = ["kind", "root", "token", "second"]
-    counted = given.groupBy(*node).agg(F.sum("n").alias("support"))
-    several = counted.groupBy("kind", "root").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    nodes = cut_lineage(counted.join(several, ["kind", "root"]))
+    counted = cut_lineage(given.groupBy(*node).agg(F.sum("n").alias("support")))
     rank = lambda s: F.struct(F.col(f"{s}.support"), F.col(f"{s}.token"), F.col(f"{s}.second"))
-    up = _related(nodes, nodes).where(rank("r") > rank("l"))
+    up = _related(counted, counted).where(rank("r") > rank("l"))
     name = lambda s: F.concat_ws("|", f"{s}.token", f"{s}.second")
     points = up.groupBy(F.col("l.kind").alias("kind"), F.col("l.root").alias("root"), name("l").alias("at")).agg(F.max_by(name("r"), rank("r")).alias("head"))
     points = cut_lineage(points)
@@ -157,19 +155,20 @@ def _entities(state: DataFrame) -> DataFrame:
     letter are compared, so a family of any size is the work of many tasks.
     """
     root, full = ["kind", "root"], state.where("token <> ''")
-    linked = full.join(_heads(full), [*root, "token", "second"]).withColumn("member", F.concat(F.lit("f:"), "head"))
+    linked = cut_lineage(full.join(_heads(full), [*root, "token", "second"]).withColumn("member", F.concat(F.lit("f:"), "head")).drop("head"))
     known = linked.groupBy(*root, "member").agg(F.collect_set(F.substring("token", 1, 1)).alias("letters"), F.array_remove(F.array_union(F.collect_set("second"), F.collect_set(F.substring("rest", 1, 1))), "").alias("middles"))
-    lettered = known.withColumn("_a", F.explode("letters"))
-    fit = lambda df, *keys: df.groupBy(*root, "_a", *keys).agg(F.count(F.lit(1)).alias("c"), F.min("member").alias("m"))
-    any_, bare, middle = fit(lettered), fit(lettered.where(F.size("middles") == 0)), fit(lettered.withColumn("_b", F.explode("middles")), "_b")
+    # what initials may ask of a full name: the letter alone, the letter with no middle initial known, the letter with a known one
+    asked = F.concat(F.array(F.lit("")), F.when(F.size("middles") == 0, F.array(F.lit("*"))).otherwise(F.col("middles")))
+    fits = known.select(*root, "member", F.explode("letters").alias("_a"), asked.alias("_k")).withColumn("_k", F.explode("_k")).groupBy(*root, "_a", "_k").agg(F.count(F.lit(1)).alias("c"), F.min("member").alias("m"))
     short = state.where("token = ''").withColumn("_a", F.substring("rest", 1, 1)).withColumn("_b", F.substring("rest", 2, 1))
-    named = lambda df, s: df.withColumnRenamed("c", f"c_{s}").withColumnRenamed("m", f"m_{s}")
-    seen = short.join(named(any_, "any"), [*root, "_a"], "left").join(named(bare, "bare"), [*root, "_a"], "left").join(named(middle, "mid"), [*root, "_a", "_b"], "left").fillna(0, ["c_any", "c_bare", "c_mid"])
+    keys = F.when(F.col("_b") == "", F.array(F.lit(""))).otherwise(F.array(F.lit("*"), F.col("_b")))
+    met = short.select("*", F.explode(keys).alias("_k")).join(fits, [*root, "_a", "_k"], "left")
+    seen = cut_lineage(met.groupBy(*state.columns, "_a", "_b").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.min("m").alias("m")))
     own = F.concat(F.lit("i:"), "_a", "_b")
-    two = seen.where("_b <> ''").withColumn("member", F.when(F.col("c_bare") + F.col("c_mid") == 1, F.coalesce("m_bare", "m_mid")).otherwise(own))
+    two = seen.where("_b <> ''").withColumn("member", F.when(F.col("c") == 1, F.col("m")).otherwise(own))
     alone = two.where(F.col("member").startswith("i:")).groupBy(*root, "_a").agg(F.count_distinct("member").alias("c_own"), F.min("member").alias("m_own"))
     one = seen.where("_b = ''").join(alone, [*root, "_a"], "left").fillna(0, ["c_own"])
-    one = one.withColumn("member", F.when(F.col("c_any") + F.col("c_own") == 1, F.coalesce("m_any", "m_own")).otherwise(own))
+    one = one.withColumn("member", F.when(F.col("c") + F.col("c_own") == 1, F.coalesce("m", "m_own")).otherwise(own))
     shown = [*state.columns, "member"]
     return linked.select(*shown).unionByName(two.select(*shown)).unionByName(one.select(*shown))
 
@@ -187,14 +186,14 @@ def _near_families(state: DataFrame) -> DataFrame:
 
 def _merges(state: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
     """``(kind, root, into)``: roots all of whose members can be members of a larger root with a spelling one slip away."""
-    here = state.join(roots, ["kind", "family"])
-    sizes = here.groupBy("kind", "root").agg(F.count(F.lit(1)).alias("names"))
-    other = roots.select("kind", F.col("family").alias("other"), F.col("root").alias("into"))
-    met = near.join(roots, ["kind", "family"]).join(other, ["kind", "other"]).where(F.col("root") != F.col("into")).select("kind", "root", "into").distinct()
-    met = met.join(sizes, ["kind", "root"]).join(sizes.select("kind", F.col("root").alias("into"), F.col("names").alias("into_names")), ["kind", "into"])
+    letter = F.when(F.col("kind") != "person", "").when(F.col("token") == "", F.substring("rest", 1, 1)).otherwise(F.substring("token", 1, 1))
+    members = cut_lineage(state.join(roots, ["kind", "family"]).groupBy("kind", "root", "token", "second", letter.alias("letter")).agg(F.count(F.lit(1)).alias("names")))
+    sized = roots.join(members.groupBy("kind", "root").agg(F.sum("names").alias("names")), ["kind", "root"])
+    other = sized.select("kind", F.col("family").alias("other"), F.col("root").alias("into"), F.col("names").alias("into_names"))
+    met = near.join(sized, ["kind", "family"]).join(other, ["kind", "other"])
     minor = (F.col("names") <= MINOR_SHARE * F.col("into_names")) | ((F.col("names") == 1) & (F.col("into_names") == 1) & (F.col("root") < F.col("into")))
-    met = cut_lineage(met.where(minor))
-    members = here.select("kind", "root", "token", "second", F.when(F.col("kind") != "person", "").when(F.col("token") == "", F.substring("rest", 1, 1)).otherwise(F.substring("token", 1, 1)).alias("letter")).distinct()
+    met = cut_lineage(met.where((F.col("root") != F.col("into")) & minor).select("kind", "root", "into", "into_names").distinct())
+    members = members.drop("names")
     asked = met.select("kind", "root", "into").join(members, ["kind", "root"])
     asked = asked.select("kind", F.col("root").alias("small"), F.col("into").alias("root"), "token", "second", "letter").distinct()
     full, letters = members.where("token <> ''"), members.groupBy("kind", "root", "letter").agg(F.bool_or(F.col("token") == "").alias("short"), F.bool_or(F.col("token") != "").alias("full"))
@@ -234,7 +233,7 @@ def resolve_names(columns: list[tuple[DataFrame, str]]) -> DataFrame:
         roots = cut_lineage(roots.join(settled, ["kind", "root"], "left").select("kind", "family", F.coalesce("into", "root").alias("root")))
     rooted = cut_lineage(state.join(roots, ["kind", "family"], "left").withColumn("root", F.coalesce("root", "family")))
     members = _entities(rooted)
-    return members.select("name", "kind", "root", F.min("name").over(Window.partitionBy("kind", "root", "member")).alias("entity"))
+    return cut_lineage(members.select("name", "kind", "root", F.min("name").over(Window.partitionBy("kind", "root", "member")).alias("entity")))
 
 
 def variant_pairs(columns: list[tuple[DataFrame, str]]) -> DataFrame:
