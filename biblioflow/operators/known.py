@@ -17,21 +17,29 @@ from biblioflow.session import cut_lineage, shared_folder
 #: Query keys that only track a click (fixed values; ``utm_*`` besides).
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "mkt_tok", "ref", "source", "dclid", "msclkid", "yclid", "igshid", "cmpid", "campaign", "trk")
 
+def _resolves(c: Column) -> Column:
+    """Whether a URL is a resolver's, with a DOI."""
+    low = F.lower(c)
+    return F.coalesce(low.contains("doi.org/") & low.rlike(r"doi\.org/+10\."), F.lit(False))
+
+
 def url_doi(c: Column) -> Column:
     """The canonical DOI in a resolver URL; NULL for other URLs."""
-    return F.when(F.lower(c).rlike(r"doi\.org/+10\."), doi_canonical(c))
+    return F.when(_resolves(c), doi_canonical(c))
 
 
 def url_identity(c: Column) -> Column:
     """A URL without scheme, host case, tracking keys, fragment, trailing slash and white space; NULL when blank."""
-    bare = F.regexp_replace(F.trim(c), r"#.*$|^(?i:https?)://(?:www\.)?", "")
-    bare = F.regexp_replace(bare, r"#.*$", "")
-    path, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
-    host = F.lower(F.regexp_extract(path, r"^([^/]*)", 1))
-    rest = F.regexp_replace(F.regexp_extract(path, r"^[^/]*(.*)$", 1), r"/+$", "")
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, r"^([^=]*)", 1)).isin(*TRACKING_KEYS) & ~F.lower(p).startswith("utm_")))
-    whole = F.concat(host, rest, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
-    return F.when(F.coalesce(whole, F.lit("")) != "", whole)
+    shown = F.substring_index(F.trim(c), "#", 1)
+    before = F.substring_index(shown, "?", 1)
+    query = F.substr(shown, F.length(before) + 2, F.length(shown))
+    path = F.regexp_replace(before, r"^(?i:https?)://(?:www\.)?", "")
+    host = F.substring_index(path, "/", 1)
+    rest = F.rtrim(F.substr(path, F.length(host) + 1, F.length(path)), F.lit("/"))
+    name = lambda p: F.lower(F.substring_index(p, "=", 1))
+    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(*TRACKING_KEYS) & ~name(p).startswith("utm_"))), "&")
+    asked = F.when(query == "", F.lit("")).otherwise(F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)))
+    return F.nullif(F.concat(F.lower(host), rest, asked), F.lit(""))
 
 
 @F.pandas_udf(T.StringType())
@@ -41,7 +49,7 @@ def _match_form(titles: pd.Series) -> pd.Series:
 
 def _keyed(df: DataFrame, order: Column, batch: Column, key: Column) -> DataFrame:
     doi = F.coalesce(doi_canonical(F.col("doi")), url_doi(F.col("url")))
-    return df.select(key.cast("long").alias("k"), order.cast("long").alias("ord"), batch.cast("int").alias("batch"), doi.alias("doi"), F.when(url_doi(F.col("url")).isNull(), url_identity(F.col("url"))).alias("url"), F.col("title").alias("title"), F.col("published_date").alias("day"))
+    return df.select(key.cast("long").alias("k"), order.cast("long").alias("ord"), batch.cast("int").alias("batch"), doi.alias("doi"), F.when(~_resolves(F.col("url")), url_identity(F.col("url"))).alias("url"), F.col("title").alias("title"), F.col("published_date").alias("day"))
 
 
 def _day(extreme, side: int) -> Column:
