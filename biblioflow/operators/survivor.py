@@ -62,8 +62,8 @@ def group_keys(df: DataFrame, key: str = "paper_id", doi: str = "doi", title: st
     return with_doi.select("_key", F.concat(F.lit("d:"), "_doi").alias("_group")).unionByName(by_title)
 
 
-def _values(df: DataFrame, key: str, fetched: str) -> DataFrame:
-    """``(_key, _field, _value, _sound, _size, _seen)``: one narrow row per row and field; values as 64-bit keys.
+def _values(df: DataFrame, key: str, fetched: str, source: str, trust: dict[str, int] | None) -> DataFrame:
+    """``(_key, _field, _value, _size, _trust, _seen)``: one narrow row per row and sound value; values as 64-bit keys.
 
     A value key only has to tell the values of one group and field apart.
     """
@@ -72,33 +72,39 @@ def _values(df: DataFrame, key: str, fetched: str) -> DataFrame:
         c = F.col(name)
         ok = F.coalesce(sound(c), F.lit(False))
         entries.append(F.struct(F.lit(name).alias("_field"), F.when(ok, F.xxhash64(c, F.length(c))).alias("_value"), (size(c) if size else F.lit(0)).alias("_size")))
-    return df.select(F.col(key).alias("_key"), F.col(fetched).alias("_seen"), F.explode(F.array(*entries)).alias("_e")).where(F.col("_e._value").isNotNull()).select("_key", "_seen", "_e.*")
+    trusted = F.coalesce(F.create_map(*[x for s, n in trust.items() for x in (F.lit(s), F.lit(n))])[F.col(source)], F.lit(0)) if trust else F.lit(0)
+    return df.select(F.col(key).alias("_key"), F.col(fetched).alias("_seen"), trusted.alias("_trust"), F.explode(F.array(*entries)).alias("_e")).where(F.col("_e._value").isNotNull()).select("_key", "_seen", "_trust", "_e.*")
 
 
-def best_values(df: DataFrame, key: str = "paper_id", fetched: str = "fetched_at") -> DataFrame:
+def best_values(df: DataFrame, key: str = "paper_id", fetched: str = "fetched_at", source: str = "source", trust: dict[str, int] | None = None) -> DataFrame:
     """``(group_id, field_name, key)``: for each group of two or more rows and each field, the row to take it from.
 
-    Abstracts are ranked by length, the other fields by the time of their latest delivery; NULL times are
-    the oldest. Ties go to the smallest key, which is also the row that stands for a value several rows
-    share. Deliveries of one value are combined before the ranking window, and its rank limit is applied
-    ahead of the shuffle, so a group holding a third of all rows is no single task's work. Absent,
-    damaged, abbreviated and placeholder values never win; a field with no other value has no row.
+    Only complete values compete: absent, cut, damaged, abbreviated and placeholder ones never win, and a field
+    with no other value has no row. They are ranked by completeness (the length of an abstract as shown; a
+    name, volume or page range is whole or out), then by the trust in the source that delivered them
+    (``trust``: source to number, 0 where it says nothing), then by the time of their latest delivery; NULL
+    times are the oldest. Ties go to the smallest key, which is also the row that stands for a value several
+    rows share. Deliveries of one value are combined before the ranking window, and its rank limit is applied
+    ahead of the shuffle, so a group holding a third of all rows is no single task's work.
     """
     groups = group_keys(df, key)
     sizes = groups.groupBy("_group").agg(F.min("_key").alias("group_id"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
     grouped = groups.join(sizes, "_group").select("_key", "group_id")
-    held = _values(df, key, fetched).join(grouped, "_key").groupBy("group_id", "_field", "_value").agg(F.min("_key").alias("_first"), F.max("_seen").alias("_seen"), F.max("_size").alias("_size"))
-    order = Window.partitionBy("group_id", "_field").orderBy(F.desc("_size"), F.desc_nulls_last("_seen"), F.asc("_first"))
+    held = _values(df, key, fetched, source, trust).join(grouped, "_key").groupBy("group_id", "_field", "_value").agg(F.min("_key").alias("_first"), F.max("_seen").alias("_seen"), F.max("_size").alias("_size"), F.max("_trust").alias("_trust"))
+    order = Window.partitionBy("group_id", "_field").orderBy(F.desc("_size"), F.desc("_trust"), F.desc_nulls_last("_seen"), F.asc("_first"))
     best = held.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1)
     return best.select("group_id", F.col("_field").alias("field_name"), F.col("_first").alias(key))
 
 
-def surviving_records(df: DataFrame, key: str = "paper_id", fetched: str = "fetched_at") -> DataFrame:
-    """One built record per group of two or more rows: ``group_id, members`` and the four best values."""
+def surviving_records(df: DataFrame, key: str = "paper_id", fetched: str = "fetched_at", source: str = "source", trust: dict[str, int] | None = None) -> DataFrame:
+    """One built record per group of two or more rows: ``group_id, members`` and the four best values.
+
+    The winning rows are known before any value is moved: only their texts are shuffled, each to its group.
+    """
     groups = group_keys(df, key)
     sizes = groups.groupBy("_group").agg(F.min("_key").alias("group_id"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("group_id", "members")
-    chosen = best_values(df, key, fetched)
-    stored = df.select(F.col(key).alias(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("_v")) for f in FIELDS])).alias("_e")).select(key, "_e.*")
-    values = chosen.join(stored, [key, "field_name"])
-    wide = values.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("_v"))).alias(f) for f in FIELDS])
+    winners = best_values(df, key, fetched, source, trust).groupBy(key).agg(F.min("group_id").alias("group_id"), F.collect_set("field_name").alias("_won"))  # four fields at most
+    shown = [F.when(F.array_contains("_won", f), F.col(f)).alias(f) for f in FIELDS]
+    values = df.select(key, *FIELDS).join(winners, key).select("group_id", *shown)
+    wide = values.groupBy("group_id").agg(*[F.max(f).alias(f) for f in FIELDS])
     return sizes.join(wide, "group_id", "left")

@@ -17,11 +17,11 @@ from biblioflow.operators.names import _one_slip, name_members, variant_links, v
 from biblioflow.operators.survivor import best_values, surviving_records
 from biblioflow.operators.title_index import TitleModel, with_heads
 
-PAPER = "paper_id long, doi string, title string, abstract string, publication_title string, volume string, pages string, fetched_at timestamp, url string, published_date date, authors array<string>, _key string, _n int"
+PAPER = "paper_id long, doi string, title string, abstract string, publication_title string, volume string, pages string, fetched_at timestamp, url string, published_date date, authors array<string>, source string, _key string, _n int"
 
 
 def paper(i, doi=None, title=None, abstract=None, journal=None, volume=None, pages=None, at=1, url=None, day=None, authors=None):
-    return (i, doi, title, abstract, journal, volume, pages, datetime(2024, 1, at), url, day, authors, "clash", 1)
+    return (i, doi, title, abstract, journal, volume, pages, datetime(2024, 1, at), url, day, authors, "s", "clash", 1)
 
 
 def make(spark, rows):
@@ -53,6 +53,15 @@ def test_survivors(spark):
     assert best_values(df.limit(0)).count() == 0
 
 
+def test_trusted_sources_come_before_recent_ones(spark):
+    rows = [paper(1, "10.990001/a", "T", "Text one.", "Journal A", "1", "1-9", 1), paper(2, "10.990001/a", "T", "Text two.", "Journal B", "2", "1-8", 2), paper(3, "10.990001/a", "T", "Text three, longer.", None, "tbd", None, 3)]
+    df = make(spark, rows).withColumn("source", F.when(F.col("paper_id") == 1, "good").when(F.col("paper_id") == 2, "other"))
+    won = lambda **k: {r.field_name: r.paper_id for r in best_values(df, **k).collect()}
+    assert won() == {"abstract": 3, "publication_title": 2, "volume": 2, "pages": 2}
+    assert won(trust={"good": 1}) == {"abstract": 3, "publication_title": 1, "volume": 1, "pages": 1}
+    assert surviving_records(df, trust={"good": 1}).collect()[0].publication_title == "Journal A"
+
+
 def test_survivor_ties_take_the_smallest_key(spark):
     df = make(spark, [paper(i, "10.990001/a", "T", "One text.", "Journal", "1", "1-9", 1) for i in (5, 3, 4)])
     assert {r.paper_id for r in best_values(df).collect()} == {3}
