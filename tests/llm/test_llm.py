@@ -120,10 +120,9 @@ def test_suffix_array_and_index():
     sequence = np.concatenate([rng.integers(1, 6, 3000), [0]]).astype(np.int32)
     order = leakage.suffix_array(sequence)
     assert order.tolist() == sorted(range(len(sequence)), key=lambda i: sequence[i:].tolist())
-    index = leakage.FMIndex(sequence, 6)
+    index = leakage.FMIndex.restore(leakage.FMIndex.over(sequence, 6).packed(), 6)
     tokens = rng.integers(2, 6, (200, 4)).astype(np.int32)
-    phrases = leakage.Phrases({}, tokens, np.full(200, 4), [[0]] * 200)
-    which, low, high = index.search(phrases)
+    which, low, high = index.search(tokens)
     found = {w: sorted(index.locate(np.arange(a, b)).tolist()) for w, a, b in zip(which.tolist(), low.tolist(), high.tolist())}
     for k, phrase in enumerate(tokens):
         exact = [i for i in range(len(sequence) - 3) if (sequence[i : i + 4] == phrase).all()]
@@ -146,6 +145,78 @@ def test_leakage(spark):
     assert leakage.leaked_documents(documents, items.limit(0)).count() == 0 and leakage.leaked_documents(documents.limit(0), items).count() == 0
 
 
+def test_a_corpus_is_indexed_once_and_asked_again(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 200))) for _ in range(60)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = leakage.CorpusIndex(spark, str(tmp_path / "index"))
+    index.add(documents.where("doc_id < 40"), "first")
+    index.add(documents.where("doc_id >= 40"), "second")
+    del documents
+    for seed in (1, 2):  # another test set needs no documents
+        rng = random.Random(seed)
+        quoted = {k: d for k, d in enumerate(rng.sample([i for i, t in enumerate(texts) if len(t.split()) > 40], 12))}
+        items = [(k, "Instruction.\n\n" + " ".join(texts[d].split()[5:25]) + "\n\nQuestion?") for k, d in quoted.items()]
+        found = index.search(spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.item_id, r._key, r.span_start, r.span_end) for r in found} == {(k, d, 5, 25) for k, d in quoted.items()}
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 2000)  # many blocks of phrases, the same spans
+    again = index.search(spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
+
+
+def test_stretches_of_a_long_document_lose_no_phrase(monkeypatch):
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 120)
+    text = " ".join(f"w{i}-x" if i % 7 == 0 else f"w{i}" for i in range(300))
+    parts = [p for word in leakage.split_words(text) for p in word]
+    pieces = list(leakage._pieces(text, 12))
+    assert len(pieces) > 5 and all(parts[first : first + len(held)] == held for first, held in pieces)
+    grams = {tuple(p for word in leakage.split_words(text)[i : i + 12] for p in word) for i in range(289)}
+    held = {tuple(piece[i : i + n]) for _, piece in pieces for n in (12, 13, 14) for i in range(len(piece) - n + 1)}
+    assert grams <= held
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 4097])
+def test_slots_are_permuted(n):
+    keys = np.full(n, 12345, np.uint64)
+    out = mixing.permuted(np.arange(n), np.full(n, n), keys)
+    assert sorted(out.tolist()) == list(range(n))
+    assert n < 90 or (mixing.permuted(np.arange(n), np.full(n, n), keys + np.uint64(1)) != out).mean() > 0.9
+    steps = np.diff(out)
+    assert n < 90 or len(np.unique(steps)) > n // 4  # no fixed step
+
+
+def test_shards_are_drawn_apart_and_blocks_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_SHARDS", 7)
+    sizes = {"a": 4000, "b": 2500, "c": 3, "d": 0}
+    blocks = spark.createDataFrame([("m", s, n) for s, n in sizes.items()] + [("n", "a", 65)], "mix_name string, source string, blocks long")
+    dealt = mixing.dealt_slots(blocks).toPandas()
+    for (mix, source), rows in dealt.groupby(["mix_name", "source"]):
+        slots = sorted(k for first, n in rows[["first_slot", "slots"]].itertuples(index=False) for k in range(first, first + n))
+        assert slots == list(range(rows["blocks"].iloc[0]))
+    per_shard = dealt[dealt.mix_name == "m"].groupby("shard_no").slots.sum()
+    assert (per_shard.iloc[:-1] == mixing.SHARD_BLOCKS).all() and per_shard.sum() == 6503
+    share = dealt[(dealt.mix_name == "m") & (dealt.source == "a")].groupby("shard_no").slots.sum() / mixing.SHARD_BLOCKS
+    assert 0.03 < share.std() < 0.12  # multinomial counts: about the square root of 0.6 * 0.4 / 64
+
+
+def test_blocks_are_full_and_documents_are_carried_over(spark):
+    rng = random.Random(1)
+    docs = [(i, "word " * rng.choice([3, 90, 700, 6000]), "big" if i % 3 else "small") for i in range(300)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "big", 0.5, 1, 0.8), ("m", "small", 0.5, 2, 0.8)], "mix_name string, source string, target_share double, max_repeats int, budget_ratio double")
+    pieces = mixing.mix_blocks(documents, targets).toPandas()
+    pieces["size"] = pieces.to_token - pieces.from_token
+    for (mix, source), rows in pieces.groupby(["mix_name", "source"]):
+        held = rows.groupby("block")["size"].sum().sort_index()
+        assert (held.iloc[:-1] == mixing.BLOCK_TOKENS).all() and list(held.index) == list(range(len(held)))
+        for _, block in rows.sort_values("offset").groupby("block"):
+            assert (block.offset.iloc[1:].to_numpy() == (block.offset + block["size"]).iloc[:-1].to_numpy()).all() and block.offset.iloc[0] == 0
+    whole = mixing.mix_documents(documents, targets).toPandas()
+    carried = pieces.groupby(["mix_name", "source", "doc_id", "copy_no"])["size"].sum().to_dict()
+    assert carried == {(r.mix_name, r.source, r.doc_id, r.copy_no): r.tokens for r in whole.itertuples()}
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     docs = [(i, "word " * rng.randrange(20, 120), "big" if i % 3 else "small") for i in range(3000)] + [(9001, None, "big"), (9002, "x", None), (9003, "", "big")]
