@@ -9,7 +9,7 @@ GRAPH_NODES, LINKS, CANDIDATES, SCAN_NODES = 3000, 10, 24, 192
 #: Beam widths tried in turn, and the share of exhaustively found neighbours that is enough.
 BEAMS, ENOUGH = (8, 16, 32, 64), 0.99
 #: Nodes a walk starts from, nodes it opens at a time, and queries that tune a beam.
-ENTRIES, STEP, PROBES = 64, 4, 128
+ENTRIES, STEP, PROBES = 64, 4, 40
 
 
 class Graph:

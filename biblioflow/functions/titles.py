@@ -161,12 +161,22 @@ def title_changes(a: tuple[str, ...], b: tuple[str, ...], rare) -> tuple[int, in
     return slips, reworded, omitted, linking
 
 
+@lru_cache(maxsize=50_000)
+def _numbers(words: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(w for w in words if w.isdigit())
+
+
+@lru_cache(maxsize=50_000)
+def _rare_words(words: tuple[str, ...], rare) -> frozenset[str]:
+    return frozenset(w for w in words if rare(w))
+
+
 def _may_match(a: tuple[str, ...], b: tuple[str, ...], rare) -> bool:
     """False where the numbers, or all the rare words, of two titles are different ones."""
-    left, right = {w for w in a if w.isdigit()}, {w for w in b if w.isdigit()}
+    left, right = _numbers(a), _numbers(b)
     if left and right and not left <= right and not right <= left:
         return False
-    left, right = {w for w in a if rare(w)}, {w for w in b if rare(w)}
+    left, right = _rare_words(a, rare), _rare_words(b, rare)
     return not left or not right or not left.isdisjoint(right) or any(_near(x, y) for x in left for y in right)
 
 

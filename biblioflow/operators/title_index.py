@@ -69,7 +69,7 @@ def _centres(points: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return centres
 
 
-@dataclass
+@dataclass(eq=False)
 class TitleModel:
     """What all tasks share: trigram weights, cell centres and their zones, parts per cell, and the words too common to identify."""
 
