@@ -4,35 +4,65 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioflow.functions.text import export_keys, identity_keys
+from biblioflow.functions.text import export_keys, identity_keys, source_from_sender
 from biblioflow.operators import enrich, filters, keywords, library
 from biblioflow.operators.filters import Criteria
-from biblioflow.operators.greedy import deduplicate
+from biblioflow.operators.greedy import best_per_title, deduplicate
 from biblioflow.schema import PAPER_SCHEMA
 from biblioflow.session import cut_lineage
-from biblioflow.sources.feeds import entries_to_papers, feed_entries
-from biblioflow.sources.mail import allowed_senders, html_bodies, item_quality, mail_items
+from biblioflow.sources.feeds import PLACES, entries_to_papers, feed_entries, placed
+from biblioflow.sources.mail import allowed_senders, item_quality, message_items, parse_sender_map
 from biblioflow.sources.opml import read_opml
 from biblioflow.sources.papers_json import papers_from_text, write_papers
 
+def _schema(required: str, **properties: str) -> dict:
+    """A JSON schema; a property is described as ``type: text``."""
+    shown = {name: {"type": text.partition(": ")[0], "description": text.partition(": ")[2]} for name, text in properties.items()}
+    for entry in shown.values():
+        if entry["type"] == "array":
+            entry["items"] = {"type": "string"}
+    return {"type": "object", "properties": shown, "required": required.split()}
+
+
+_PAPERS = "string: papers as a JSON array"
 TOOLS = {
-    "fetch_rss": {"opml": "path of the feed list", "limit": "most papers", "since": "first day"},
-    "fetch_gmail": {"messages": "path of a table of messages", "limit": "most papers", "since": "first day", "senders": "allowed senders"},
-    "filter_keywords": {"papers_json": "papers", "keywords": "any of these", "exclude_keywords": "none of these", "authors": "any of these", "min_date": "first day", "has_pdf": "with PDF only"},
-    "filter_ai": {"papers_json": "papers"},
-    "enrich": {"papers_json": "papers", "provider": "crossref, openalex or all"},
-    "export_json": {"papers_json": "papers", "filepath": "target", "include_metadata": "keep the open bag"},
-    "generate_keywords": {"prompt": "interest"},
-    "search_crossref": {"query": "title", "rows": "most works"},
-    "search_openalex": {"query": "title", "rows": "most works"},
+    "fetch_rss": _schema("", opml="string: path of the feed list", limit="integer: most papers", since="string: first day"),
+    "fetch_gmail": _schema("messages", messages="string: path of a table of messages", limit="integer: most papers", since="string: first day", senders="string: allowed senders", sender_names="string: names of senders as a JSON object"),
+    "filter_keywords": _schema("papers_json", papers_json=_PAPERS, keywords="array: any of these", exclude_keywords="array: none of these", authors="array: any of these", min_date="string: first day", has_pdf="boolean: with PDF only"),
+    "filter_ai": _schema("papers_json", papers_json=_PAPERS),
+    "enrich": _schema("papers_json", papers_json=_PAPERS, provider="string: crossref, openalex or all"),
+    "export_json": _schema("papers_json filepath", papers_json=_PAPERS, filepath="string: target", include_metadata="boolean: keep the open bag"),
+    "generate_keywords": _schema("prompt", prompt="string: research interest"),
+    "search_crossref": _schema("query", query="string: title", rows="integer: most works"),
+    "search_openalex": _schema("query", query="string: title", rows="integer: most works"),
 }
-PROMPT = "List the papers of the last days about {topic}, most relevant first, with one sentence on each."
+PROMPTS = {"latest_papers": ("List the papers of the last days about {topic}, most relevant first, with one sentence on each.", ("topic",))}
+PROMPT = PROMPTS["latest_papers"][0]
+
+
+def list_tools() -> list[dict]:
+    return [{"name": name, "inputSchema": schema} for name, schema in TOOLS.items()]
+
+
+def list_prompts() -> list[dict]:
+    return [{"name": name, "arguments": [{"name": a, "required": True} for a in wanted]} for name, (_, wanted) in PROMPTS.items()]
+
+
+def render_prompt(name: str, arguments: dict) -> str:
+    """A prompt with its arguments filled in; unknown prompts and missing arguments raise."""
+    if name not in PROMPTS:
+        raise ValueError(f"unknown prompt {name}")
+    text, wanted = PROMPTS[name]
+    if missing := [a for a in wanted if not str(arguments.get(a) or "").strip()]:
+        raise ValueError(f"missing argument {missing[0]}")
+    return text.format(**{a: str(arguments[a]).strip() for a in wanted})
 
 
 def _positive(value, name: str = "limit") -> int | None:
@@ -58,20 +88,23 @@ class Engine:
         if feeds.isEmpty():
             raise ValueError("the feed list has no feeds")
         papers = entries_to_papers(feed_entries(feeds, self.fetch), since)
-        placed = papers.withColumn("_pos", F.col("feed_pos") * 1_000_000 + F.col("entry_pos")).drop("feed_pos", "entry_pos")
-        return self._unique(placed, "_pos", limit)
+        return self._unique(placed(papers).drop("feed_pos", "entry_pos"), "_pos", limit)
 
-    def fetch_mail(self, messages: DataFrame, limit: int | None = None, since: date | None = None, senders: str = "") -> DataFrame:
-        """Papers in ``messages(message_id, message_pos, sender, timestamp, payload_json)``, best of each title, deduplicated."""
+    def fetch_mail(self, messages: DataFrame, limit: int | None = None, since: date | None = None, senders: str = "", sender_names: dict[str, str] | None = None) -> DataFrame:
+        """Papers in ``messages(message_id, message_pos, sender, timestamp, payload_json)``, best of each title, deduplicated.
+
+        Messages without HTML give the DOIs of their plain text. A source is the sender's name in
+        ``sender_names``, else that of an allowed address, else the sender as it stands.
+        """
         limit = _positive(limit)
         read = allowed_senders(messages, senders)
         if since is not None:
             read = read.where(F.col("timestamp").isNull() | (F.to_date("timestamp") >= F.lit(since)))
-        bodies = read.select("message_id", "message_pos", "sender", "timestamp", html_bodies(F.col("payload_json")).alias("html"))
-        items = mail_items(bodies).join(bodies.drop("html"), "message_id")
-        papers = items.select((F.col("message_pos") * 1_000_000 + F.col("strategy") * 100_000 + F.col("item_pos")).alias("_pos"), "title", F.col("sender").alias("source"), F.lit("email").alias("source_type"), "authors", F.lit("").alias("abstract"), F.to_date("timestamp").alias("published_date"), "doi", "url", F.concat(F.lit("msg-"), "message_id").alias("source_id"))
-        from biblioflow.operators.greedy import best_per_title
-
+        allowed = [a.strip() for a in re.split(r"[;,]", senders) if a.strip()]
+        source = F.coalesce(source_from_sender(F.col("sender"), sender_names or {}, allowed), F.col("sender"))
+        items = message_items(read).join(read.select("message_id", "message_pos", "timestamp", source.alias("source")), "message_id")
+        inner = F.col("strategy").cast("long") * (PLACES >> 2) + F.col("item_pos")
+        papers = placed(items.withColumn("_inner", inner), "message_pos", "_inner").select("_pos", "title", "source", F.lit("email").alias("source_type"), "authors", F.lit("").alias("abstract"), F.to_date("timestamp").alias("published_date"), "doi", "url", F.concat(F.lit("msg-"), "message_id").alias("source_id"))
         best = best_per_title(papers, item_quality(F.col("doi"), F.col("url"), F.col("abstract"), F.col("authors")), pos="_pos")
         return self._unique(best.withColumn("_pos", F.col("place")).drop("place"), "_pos", limit)
 
@@ -114,12 +147,14 @@ class Engine:
     def _tool(self, name: str, a: dict):
         if name not in TOOLS:
             raise ValueError(f"unknown tool {name}")
+        if missing := [r for r in TOOLS[name]["required"] if r not in a]:
+            raise ValueError(f"missing argument {missing[0]}")
         if name == "fetch_rss":
             return _rows(self.fetch_rss(a.get("opml"), a.get("limit"), _day(a.get("since"))))
         if name == "fetch_gmail":
-            return _rows(self.fetch_mail(self.spark.read.parquet(a["messages"]), a.get("limit"), _day(a.get("since")), a.get("senders", "")))
+            return _rows(self.fetch_mail(self.spark.read.parquet(a["messages"]), a.get("limit"), _day(a.get("since")), a.get("senders", ""), parse_sender_map(a.get("sender_names"))))
         if name == "generate_keywords":
-            return keywords.generate_keywords(a["prompt"], self.generate)
+            return keywords.extract_keywords(a["prompt"], self.generate)
         if name.startswith("search_"):
             return _rows(self.search(name.removeprefix("search_"), a["query"], a.get("rows", 5)))
         papers = papers_from_text(self.spark, a["papers_json"])

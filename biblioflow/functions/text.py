@@ -65,20 +65,55 @@ def clean_html(c: Column) -> Column:
     return F.regexp_replace(c, r"<.*?>", "")
 
 
-#: Named entities with their closing semicolon, from the standard library's table.
-_ENTITIES = {f"&{name}": text for name, text in sorted(html5.items()) if name.endswith(";")}
+#: The standard library's table of named entities, with and without their closing semicolon, and the longest of the latter.
+_ENTITIES = dict(sorted(html5.items()))
+_LONGEST_OPEN = max(len(name) for name in html5 if not name.endswith(";"))
+
+
+def _numbered() -> dict[str, str]:
+    """What numbers of the C0 and C1 ranges stand for: the characters of cp1252 where it has one, else nothing."""
+    shown = {n: "" for n in (*range(1, 9), 0xB, *range(0xE, 0x20), *range(0x7F, 0xA0))} | {0: "\ufffd", 0xD: "\r"}
+    for n in range(0x80, 0xA0):
+        try:
+            shown[n] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            shown[n] = chr(n)
+    return {str(n): text for n, text in shown.items()}
+
+
+_NUMBERED = _numbered()
+
+
+def _literal_map(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # folded to one literal
+
+
+def _of_number(number: Column) -> Column:
+    """The character of a code point; the replacement character for what is none, nothing for noncharacters."""
+    character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    none = number.between(0xFDD0, 0xFDEF) | ((number.bitwiseAND(0xFFFE) == 0xFFFE) & (number <= 0x10FFFF))
+    wrong = number.isNull() | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    return F.coalesce(F.try_element_at(_literal_map(_NUMBERED), number.cast("string")), F.when(wrong, F.lit("\ufffd")).when(none, F.lit("")).otherwise(character))
+
+
+def _of_name(name: Column) -> Column:
+    """What a name stands for, else the longest of its beginnings that stands for something, and the rest; else as it is."""
+    table, old = _literal_map(_ENTITIES), _literal_map({n: t for n, t in _ENTITIES.items() if not n.endswith(";")})
+    begins = [F.try_element_at(old, F.substring(name, 1, k)) for k in range(_LONGEST_OPEN, 1, -1)]
+    shorter = [F.when(F.length(name) > k, F.concat(found, F.substr(name, F.lit(k + 1), F.length(name)))) for k, found in zip(range(_LONGEST_OPEN, 1, -1), begins)]
+    return F.coalesce(F.try_element_at(table, name), *shorter, F.concat(F.lit("&"), name))
 
 
 def _resolved(piece: Column) -> Column:
     """What an entity stands for; any other piece of text is itself."""
-    number = F.coalesce(F.regexp_extract(piece, r"^&#(\d{1,7});$", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1), F.lit("")), 16, 10).try_cast("int"))
-    table = F.from_json(F.lit(json.dumps(_ENTITIES)), "map<string,string>")  # folded to one literal
-    return F.when(~piece.startswith("&"), piece).when(number.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.coalesce(F.try_element_at(table, piece), piece))
+    decimal, hexadecimal = F.nullif(F.regexp_extract(piece, r"^&#([0-9]+);?$", 1), F.lit("")), F.nullif(F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]+);?$", 1), F.lit(""))
+    value = F.coalesce(decimal.try_cast("bigint"), F.when(F.length(F.ltrim(hexadecimal, F.lit("0"))) <= 12, F.conv(hexadecimal, 16, 10).try_cast("bigint")))
+    return F.when(~piece.startswith("&") | (F.length(piece) < 2), piece).when(decimal.isNotNull() | hexadecimal.isNotNull(), _of_number(value)).when(piece.startswith("&#"), piece).otherwise(_of_name(F.substr(piece, F.lit(2), F.length(piece))))
 
 
 def unescape(c: Column) -> Column:
-    """HTML entities (named or numbered, with their semicolon) resolved in one pass."""
-    pieces = F.regexp_extract_all(c, F.lit(r"(&#?[A-Za-z0-9]+;|[^&]+|&)"), F.lit(1))
+    """HTML entities, named or numbered, with or without their semicolon, resolved in one pass as browsers do."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&)"), F.lit(1))
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, _resolved), "")).otherwise(c)
 
 
@@ -156,6 +191,11 @@ def sender_email(c: Column) -> Column:
     return blank_to_null(F.lower(strip(F.when(inner != "", inner).otherwise(c))))
 
 
+def bag_value(extra: Column, path: str) -> Column:
+    """A value of the open bag as text; NULL where the bag is no JSON or has none."""
+    return F.try_variant_get(F.try_parse_json(extra), path, "string")
+
+
 #: Parts of host names and the source they belong to, in order of precedence (fixed values).
 KNOWN_HOSTS = (
     ("arxiv.org", "arXiv"), ("biorxiv.org", "bioRxiv"), ("medrxiv.org", "medRxiv"), ("nature.com", "Nature"), ("science.org", "Science"), ("pnas.org", "PNAS"), ("acs.org", "ACS"), ("rsc.org", "RSC"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
@@ -87,6 +86,16 @@ def filter_statistics(df: DataFrame, criteria: Criteria) -> DataFrame:
     return judged.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("reject_reason").isNull()).alias("passed"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"), *[F.count_if(F.col("reject_reason") == r).alias(f"rejected_{r}") for r in reasons])
 
 
+def pipeline_statistics(df: DataFrame, criteria: Criteria, judged: DataFrame | None = None, why_not_judged: str = "") -> DataFrame:
+    """One row per stage (``keyword``, ``judge``): input, passed, rejected, and why a stage was skipped, NULL where it ran."""
+    counted = lambda d: F.count(F.lit(1)).alias("n")
+    kept = keep_matching(df, criteria)
+    sizes = {name: d.agg(counted(d)) for name, d in (("all", df), ("kept", kept), ("judged", kept if judged is None else judged))}
+    row = lambda stage, before, after, skipped: before.withColumnRenamed("n", "input").join(after.withColumnRenamed("n", "passed")).select(F.lit(stage).alias("stage"), "input", "passed", (F.col("input") - F.col("passed")).alias("rejected"), F.lit(skipped).cast("string").alias("skipped"))
+    first = row("keyword", sizes["all"], sizes["kept"], None if criteria.applicable else "no criteria")
+    return first.unionByName(row("judge", sizes["kept"], sizes["judged"], (why_not_judged or "no judge") if judged is None else None))
+
+
 # ------------------------------------------------------------- judging in batches
 
 #: Records of one call, and characters of an abstract that a prompt shows.
@@ -99,40 +108,39 @@ def papers_prompt(titles: list[str], abstracts: list[str]) -> str:
     return "\n\n".join(f"### [{i}] {t}\n{a}" for i, (t, a) in enumerate(zip(titles, cut)))
 
 
-def parse_reply(reply: str, size: int) -> set[int]:
-    """The indices under ``relevant`` in a JSON reply, fenced, bare or inside prose; empty if none can be read."""
-    # fixed patterns of the accepted reply shapes
-    shapes = (r"\A(.*)\Z", r"```(?:json)?\s*(\{.*?\})\s*```", r'(\{[^{}]*"relevant"\s*:\s*\[.*?\][^{}]*\})')
-    for shape in shapes:
-        found = re.search(shape, reply.strip(), re.S)
+def json_objects(text: str) -> Iterator[dict]:
+    """The JSON objects in a text, whatever stands around them, outermost and first ones first."""
+    decoder, at = json.JSONDecoder(), text.find("{")
+    while at >= 0:
         try:
-            data = json.loads(found.group(1)) if found else None
+            value, _ = decoder.raw_decode(text, at)
+            yield value
         except json.JSONDecodeError:
-            continue
-        if isinstance(data, dict) and "relevant" in data:
-            return _valid_indices(data["relevant"], size)
-    return set()
+            pass
+        at = text.find("{", at + 1)
 
 
-def _valid_indices(values, size: int) -> set[int]:
-    valid = set()
-    for value in values if isinstance(values, list) else []:
-        try:
-            index = int(value)
-        except (TypeError, ValueError):
-            continue
-        if 0 <= index < size:
-            valid.add(index)
-    return valid
+def _index(value: object) -> int:
+    """A number in a reply as an index; -1 for what is none."""
+    try:
+        return int(value)
+    except (TypeError, ValueError, OverflowError):
+        return -1
+
+
+def parse_reply(reply: str, size: int) -> set[int]:
+    """The indices under ``relevant`` in the first JSON object of a reply that has it; empty if there is none."""
+    named = next((found["relevant"] for found in json_objects(reply) if "relevant" in found), None)
+    return {i for i in map(_index, named) if 0 <= i < size} if isinstance(named, list) else set()
 
 
 def judge_in_batches(df: DataFrame, judge: Callable[[str], str], key: str = "paper_id", batch: int = BATCH) -> DataFrame:
     """The records a judge finds relevant, ``batch`` at a time in key order.
 
     A failing call keeps its whole batch, an unreadable reply drops it, and if nothing at all is relevant
-    everything is kept. Ranks come from counts per range of keys, so no window spans all rows.
+    everything is kept. NULL keys come first.
     """
-    placed = _dense_position(df.select(key, "title", "abstract"), key).withColumn("_batch", F.floor(F.col("_pos") / batch))
+    placed = dense_position(df.select(key, "title", "abstract"), key).withColumn("_batch", F.floor(F.col("_pos") / batch))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
@@ -146,11 +154,14 @@ def judge_in_batches(df: DataFrame, judge: Callable[[str], str], key: str = "pap
     return df if relevant.isEmpty() else df.join(relevant, key, "left_semi")
 
 
-def _dense_position(df: DataFrame, key: str, ranges: int = 200) -> DataFrame:
-    """``_pos``: the rank of each row by ``key`` from 0, through counts of key ranges and ranks inside them."""
-    bounds = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.floor((F.col(key) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * ranges)).drop("_lo", "_hi")
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+def dense_position(df: DataFrame, key: str, name: str = "_pos") -> DataFrame:
+    """``name``: the rank of each row by ``key`` from 0: its place in its range of keys, and the rows in ranges before.
+
+    Ranges are cut by the distribution of the keys, so they hold like numbers of rows whatever the keys are,
+    and grow in number with the table; no window spans them.
+    """
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key)
+    placed = cut_lineage(ranged.withColumns({"_range": F.spark_partition_id(), "_inside": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("_pos", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")

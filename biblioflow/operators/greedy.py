@@ -9,16 +9,17 @@ from biblioflow.functions.text import normalize_title
 from biblioflow.session import cut_lineage
 
 
-def greedy_keep(keys: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_keep(keys: DataFrame) -> DataFrame:
     """``(pos, kept)`` for every row in ``keys(pos, value)``, decided as if rows came one by one in order of ``pos``.
 
     Each round keeps the rows that come first on all of their keys among the undecided, and drops those that
     share a key with a row just kept. Rows dropped register nothing, so this is neither a distinct nor a
-    connected component. Rounds are few in practice; each is written to the checkpoint folder.
+    connected component. Every round decides the earliest undecided row at least, so they end; they are few in
+    practice, about half the length of the longest chain of keys, and work on undecided rows only.
     """
     undecided = cut_lineage(keys.select("pos", "value").distinct())
     decided = None
-    for _ in range(max_rounds):
+    while True:
         first = undecided.groupBy("value").agg(F.min("pos").alias("first"))
         state = undecided.join(first, "value").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("kept"))
         kept = state.where("kept").select("pos")
@@ -29,7 +30,6 @@ def greedy_keep(keys: DataFrame, max_rounds: int = 1000) -> DataFrame:
         undecided = cut_lineage(undecided.join(settled.select("pos"), "pos", "left_anti"))
         if undecided.isEmpty():
             return decided
-    raise RuntimeError(f"greedy deduplication undecided after {max_rounds} rounds")
 
 
 def deduplicate(df: DataFrame, keys, pos: str = "paper_id") -> DataFrame:
@@ -70,7 +70,7 @@ def best_per_title(df: DataFrame, quality, title: str = "title", pos: str = "pap
     return best.unionByName(keyed.where(F.col("_title") == "").withColumn("place", F.col(pos))).drop("_title", "_quality")
 
 
-def export_in_batch(probe: DataFrame, register: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def export_in_batch(probe: DataFrame, register: DataFrame) -> DataFrame:
     """``(pos, kept)`` where rows look up ``probe`` keys but leave ``register`` keys behind when they are kept.
 
     A row is dropped if an earlier kept row registered one of its probe keys, and kept once all earlier rows
@@ -79,7 +79,7 @@ def export_in_batch(probe: DataFrame, register: DataFrame, max_rounds: int = 100
     probe, register = cut_lineage(probe.select("pos", "value").distinct()), cut_lineage(register.select("pos", "value").distinct())
     everyone = probe.select("pos").unionByName(register.select("pos")).distinct()
     open_, decided = cut_lineage(everyone), None
-    for _ in range(max_rounds):
+    while True:
         threats = register.join(open_, "pos", "left_semi").groupBy("value").agg(F.min("pos").alias("first"))
         blocked = probe.join(open_, "pos", "left_semi").join(threats, "value").where(F.col("first") < F.col("pos")).select("pos").distinct()
         kept = cut_lineage(open_.join(blocked, "pos", "left_anti"))
@@ -90,4 +90,3 @@ def export_in_batch(probe: DataFrame, register: DataFrame, max_rounds: int = 100
         open_ = cut_lineage(open_.join(settled.select("pos"), "pos", "left_anti"))
         if open_.isEmpty():
             return decided
-    raise RuntimeError(f"export undecided after {max_rounds} rounds")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,64 +28,86 @@ CORE_TERMS = ("operando", "in-situ", "insitu", "in situ", "synchrotron", "xas",
 MOST_KEYWORDS = 10
 
 
+#: Endings, tried in this order, the letters a word must have more than, the letters that go, and what takes their place (fixed values).
+ENDINGS = (("ies", 3, 3, "y"), ("es", 2, 2, ""), ("s", 2, 1, ""), ("ed", 2, 2, ""), ("ing", 3, 3, ""))
+
+
 def stem(w: Column) -> Column:
-    """A word without its first fitting ending of ies, es, s, ed, ing."""
-    n = F.length(w)
-    cut = lambda k: F.substring(w, F.lit(1), n - k)
-    return F.when(w.endswith("ies") & (n > 3), F.concat(cut(3), F.lit("y"))).when(w.endswith("es") & (n > 2), cut(2)).when(w.endswith("s") & (n > 2) & ~w.endswith("ss"), cut(1)).when(w.endswith("ed") & (n > 2), cut(2)).when(w.endswith("ing") & (n > 3), cut(3)).otherwise(w)
+    """A word without its first fitting ending; a double s is none."""
+    out = w
+    for ending, least, drop, instead in reversed(ENDINGS):
+        fits = w.endswith(ending) & (F.length(w) > least) & (~w.endswith("ss") if ending == "s" else F.lit(True))
+        out = F.when(fits, F.concat(F.substring(w, F.lit(1), F.length(w) - drop), F.lit(instead))).otherwise(out)
+    return out
+
+
+def stem_of(word: str) -> str:
+    """The same of a word on the driver."""
+    fitting = (word[:-drop] + instead for ending, least, drop, instead in ENDINGS if word.endswith(ending) and len(word) > least and not (ending == "s" and word.endswith("ss")))
+    return next(fitting, word)
 
 
 def stems(normal: Column) -> Column:
     return F.array_distinct(F.transform(words(normal), stem))
 
 
+def _wider(held: Column) -> Column:
+    table = F.from_json(F.lit(json.dumps(SYNONYMS)), "map<string,string>")  # folded to one literal
+    return F.array_union(held, F.array_compact(F.transform(held, lambda w: F.try_element_at(table, w))))
+
+
 def with_synonyms(normal: Column) -> Column:
     """The words of a normalized text and one step of synonyms."""
-    table = F.from_json(F.lit(json.dumps(SYNONYMS)), "map<string,string>")  # folded to one literal
-    return F.array_union(words(normal), F.array_compact(F.transform(words(normal), lambda w: F.try_element_at(table, w))))
+    return _wider(words(normal))
 
 
 def _keyword_forms(keyword: str) -> tuple[str, list[str], list[str], list[str]]:
     """The same forms of a keyword, on the driver: normalized text, words, stems, words with synonyms."""
     normal = " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"[-_]", " ", keyword.lower())).split())
     each = list(dict.fromkeys(normal.split()))
-    endings = (("ies", 3, 3, "y"), ("es", 2, 2, ""), ("s", 2, 1, ""), ("ed", 2, 2, ""), ("ing", 3, 3, ""))
-
-    def cut(w: str) -> str:
-        for ending, least, drop, add in endings:
-            if w.endswith(ending) and len(w) > least and not (ending == "s" and w.endswith("ss")):
-                return w[:-drop] + add
-        return w
-
-    return normal, each, sorted({cut(w) for w in each}), sorted({*each, *(SYNONYMS[w] for w in each if w in SYNONYMS)})
+    return normal, each, sorted({stem_of(w) for w in each}), sorted({*each, *(SYNONYMS[w] for w in each if w in SYNONYMS)})
 
 
 def _holds_all(wanted: list[str], held: Column) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), held)) == 0 if wanted else F.lit(False)
 
 
-def _forms(df: DataFrame, text: Column) -> DataFrame:
-    """The forms of a text that keywords are compared with, each computed once per row."""
-    return df.withColumn("_normal", norm_text(F.coalesce(text, F.lit("")))).withColumn("_words", words(F.col("_normal"))).withColumn("_stems", F.array_distinct(F.transform("_words", stem))).withColumn("_synonyms", with_synonyms(F.col("_normal")))
+def _words_match(normal: Column, forms: list[tuple[str, list[str], list[str], list[str]]]) -> Column:
+    """All words, all stems or all words with synonyms of some keyword, or a core term on both sides; each form of the text is made once."""
 
+    def tests(held: Column, stemmed: Column, wide: Column) -> Column:
+        out = []
+        for shown, each, stems_, synonyms in forms:
+            out += [_holds_all(each, held), _holds_all(stems_, stemmed), _holds_all(synonyms, wide)]
+            for term in sorted({t.replace("-", " ") for t in CORE_TERMS}):
+                if set(term.split()) <= set(each) or term in shown:
+                    out.append(_holds_all(term.split(), held))
+        return reduce(lambda a, b: a | b, out)
 
-def _matches(keyword: str) -> Column:
-    """Substring, all words, all stems, all words with synonyms, or a core term on both sides."""
-    normal, each, stemmed, wide = _keyword_forms(keyword)
-    tests = [F.col("_normal").contains(normal), _holds_all(each, F.col("_words")), _holds_all(stemmed, F.col("_stems")), _holds_all(wide, F.col("_synonyms"))]
-    for shown in sorted({term.replace("-", " ") for term in CORE_TERMS}):
-        if set(shown.split()) <= set(each) or shown in normal:
-            tests += [_holds_all(shown.split(), F.col("_words")), F.col("_normal").contains(shown)]
-    return reduce(lambda a, b: a | b, tests)
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    return once(words(normal), lambda held: tests(held, F.array_distinct(F.transform(held, stem)), _wider(held)))
 
 
 def with_relevance(df: DataFrame, keywords: list[str], text: Column | None = None) -> DataFrame:
-    """``df`` with ``relevant``: whether any keyword matches title and abstract."""
+    """``df`` with ``relevant``: whether any keyword matches title and abstract.
+
+    A keyword, or a core term it has, as a part of the text is looked for first; words, stems and synonyms are
+    derived only for texts without one.
+    """
     if not keywords:
         raise ValueError("keywords must not be empty")
     whole = F.concat_ws(" ", "title", "abstract") if text is None else text
-    judged = _forms(df, whole).withColumn("relevant", reduce(lambda a, b: a | b, [_matches(k) for k in keywords]))
-    return judged.drop("_normal", "_words", "_stems", "_synonyms")
+    forms = [_keyword_forms(k) for k in keywords]
+    parts = {shown for shown, *_ in forms} | {t for t in {c.replace("-", " ") for c in CORE_TERMS} for shown, each, *_ in forms if set(t.split()) <= set(each) or t in shown}
+    normal = df.withColumn("_normal", norm_text(F.coalesce(whole, F.lit(""))))
+    inside = reduce(lambda a, b: a | b, [F.col("_normal").contains(p) for p in sorted(parts)])
+    return normal.withColumn("relevant", F.when(inside, F.lit(True)).otherwise(_words_match(F.col("_normal"), forms))).drop("_normal")
+
+
+def filter_by_prompt(papers: DataFrame, prompt: str, generate: Callable[..., str], **options) -> DataFrame:
+    """``papers`` with ``relevant`` by the keywords of a research prompt; without any keyword nothing is relevant."""
+    found = extract_keywords(prompt, generate, **options)
+    return with_relevance(papers, found) if found else papers.withColumn("relevant", F.lit(False))
 
 
 def parse_keywords(reply: str) -> list[str]:
@@ -102,12 +127,58 @@ def parse_keywords(reply: str) -> list[str]:
     return [k.strip() for k in re.findall(r'"([^"]+)"', reply) if k.strip()]
 
 
-def generate_keywords(prompt: str, generate: Callable[[str], str], calls: int = 3) -> list[str]:
-    """The union of several replies, sorted, cut to ``MOST_KEYWORDS``; failing calls contribute nothing."""
-    found: set[str] = set()
-    for _ in range(max(calls, 1)):
+#: What a model is asked for, once for candidates and once for a choice among too many; replies are JSON.
+CANDIDATES_ASKED = 'Name search keywords for this research interest. Reply with JSON {"keywords": ["...", ...]} and nothing else.'
+CHOICE_ASKED = 'Choose the ten keywords of this list that are most specific and differ most from each other. Reply with JSON {"keywords": ["...", ...]} and nothing else.'
+
+
+def prompt_hash(prompt: Column) -> Column:
+    """The key under which the keywords of a prompt are kept."""
+    return F.sha2(prompt, 256)
+
+
+def choose_keywords(candidates: list[str], generate: Callable[..., str], **options) -> list[str]:
+    """At most ``MOST_KEYWORDS`` of the candidates: all if they are so few, else a model's choice, else the first ones."""
+    different = list(dict.fromkeys(candidates))
+    if len(different) <= MOST_KEYWORDS:
+        return different
+    try:
+        return parse_keywords(generate(f"{CHOICE_ASKED}\n\n{json.dumps(different)}", **options))[:MOST_KEYWORDS]
+    except Exception:
+        return different[:MOST_KEYWORDS]
+
+
+def extract_keywords(prompt: str, generate: Callable[..., str], calls: int = 3, cache: str | None = None, **options) -> list[str]:
+    """The keywords of a research prompt: several replies at a time, their union in order, a choice among too many.
+
+    ``options`` (temperature, most tokens) go to every call. Failing calls contribute nothing. ``cache`` names a
+    file that keeps the last prompt's keywords under its hash; one that cannot be read or written is passed over.
+    """
+    if not (prompt or "").strip():
+        raise ValueError("no research prompt")
+    digest = hashlib.sha256(prompt.encode("utf-8")).hexdigest()
+    try:
+        with open(cache or "", encoding="utf-8") as file:
+            kept = json.load(file)
+        if kept.get("hash") == digest and kept.get("keywords"):
+            return kept["keywords"]
+    except (OSError, ValueError, AttributeError):
+        pass
+
+    def ask(_: int) -> list[str]:
         try:
-            found.update(parse_keywords(generate(prompt)))
+            return parse_keywords(generate(f"{CANDIDATES_ASKED}\n\n{prompt}", **options))
         except Exception:
-            continue
-    return sorted(found)[:MOST_KEYWORDS]
+            return []
+
+    with ThreadPoolExecutor(max(calls, 1)) as pool:
+        candidates = sorted({k for reply in pool.map(ask, range(max(calls, 1))) for k in reply})
+    chosen = choose_keywords(candidates, generate, **options)
+    if cache and chosen:
+        try:
+            os.makedirs(os.path.dirname(os.path.abspath(cache)), exist_ok=True)
+            with open(cache, "w", encoding="utf-8") as file:
+                json.dump({"hash": digest, "keywords": chosen}, file)
+        except OSError:
+            pass
+    return chosen

@@ -13,9 +13,11 @@ from biblioflow.operators import enrich, filters, greedy, keywords, library
 from biblioflow.operators.filters import Criteria
 from biblioflow.plans import sqltext as Q
 from biblioflow.session import table
-from biblioflow.sources.feeds import entries_to_papers, feed_entries
+from biblioflow.sources.feeds import entries_to_papers, feed_entries, placed
+from biblioflow.sources.library import export_statistics, library_rows
 from biblioflow.sources.mail import html_bodies, item_quality, mail_items, plain_text_dois
 from biblioflow.sources.opml import feeds_of_outlines
+from biblioflow.sources.papers_json import with_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,7 +113,7 @@ def stems_and_synonyms(spark, sf):
 
 @query("SELECT paper_id, sha256(title) AS prompt_hash FROM papers")
 def prompt_hash(spark, sf):
-    return _papers(spark, sf).select("paper_id", F.sha2("title", 256).alias("prompt_hash"))
+    return _papers(spark, sf).select("paper_id", keywords.prompt_hash(F.col("title")).alias("prompt_hash"))
 
 
 _ID_KEYS = f"""ids AS (SELECT paper_id, {Q.normalize_doi('doi')} AS d, {Q.normalize_url('url')} AS u, nullif({Q.normalize_title('title')}, '') AS t, {Q.title_date('title', "strftime(published_date, '%Y-%m-%d')")} AS td FROM papers),
@@ -186,9 +188,17 @@ def filter_stats(spark, sf):
     return filters.filter_statistics(_papers(spark, sf), CRITERIA)
 
 
-@query("SELECT event_id FROM events WHERE ts IS NULL OR CAST(ts AS DATE) >= DATE '2024-01-15'")
+def _entries(papers):
+    """Papers as entries of a feed: what ``entries_to_papers`` reads."""
+    none = lambda kind="string": F.lit(None).cast(kind)
+    shown = {"title": F.col("title"), "link": F.col("url"), "id": none(), "summary": F.col("abstract"), "content": none(), "authors": F.col("authors"), "contributors": none("array<string>"), "published": F.col("published_date"), "updated": none("date"), "dc_identifier": none(), "prism_doi": F.col("doi"), "pdf_href": F.col("pdf_url"), "publisher": none(), "rights": none(), "feed_title": F.col("source"), "feed_language": none()}
+    return papers.select("feed_pos", "entry_pos", "source", *[c.alias(n) for n, c in shown.items()])
+
+
+@query("SELECT paper_id FROM papers WHERE title <> '' AND (published_date IS NULL OR published_date >= DATE '2021-06-15')")
 def since_filter(spark, sf):
-    return table(spark, sf, "events").where(F.col("ts").isNull() | (F.to_date("ts") >= F.lit("2024-01-15").cast("date"))).select("event_id")
+    entries = _entries(_papers(spark, sf).withColumns({"feed_pos": F.lit(0).cast("long"), "entry_pos": F.col("paper_id")}))
+    return entries_to_papers(entries, date(2021, 6, 15)).select(F.col("entry_pos").alias("paper_id"))
 
 
 def _matcher_sql() -> str:
@@ -432,10 +442,10 @@ def title_match_plain_authors(spark, sf):
 
 
 def _library(spark, sf):
-    return table(spark, sf, "incoming_papers").where(F.col("batch_no") <= 6).select("doi", "title", F.date_format("published_date", "yyyy-MM-dd").alias("date"), "url")
+    return table(spark, sf, "incoming_papers").select("doi", "title", F.date_format("published_date", "yyyy-MM-dd").alias("date"), "url")
 
 
-_LIB = f"""lib AS (SELECT {Q.normalize_doi('doi')} AS d, {Q.title_date('title', "strftime(published_date, '%Y-%m-%d')")} AS td, {Q.normalize_url('url')} AS u FROM incoming_papers WHERE batch_no <= 6),
+_LIB = f"""lib AS (SELECT {Q.normalize_doi('doi')} AS d, {Q.title_date('title', "strftime(published_date, '%Y-%m-%d')")} AS td, {Q.normalize_url('url')} AS u FROM incoming_papers),
     held AS (SELECT DISTINCT kind, value FROM (SELECT 'doi' AS kind, d AS value FROM lib UNION ALL SELECT 'title_date', td FROM lib UNION ALL SELECT 'url', u FROM lib) WHERE value IS NOT NULL),
     there AS (SELECT e.paper_id, arg_min(e.kind, e.place) AS skipped_by FROM exports e JOIN held h ON h.kind = e.kind AND h.value = e.value GROUP BY 1)"""
 
@@ -488,14 +498,30 @@ def library_item_projection(spark, sf):
 
 @query("SELECT paper_id, json_extract_string(extra, '$.publisher') AS publisher, json_extract_string(extra, '$.feed.title') AS feed_title FROM papers")
 def extra_fields(spark, sf):
-    bag = F.try_parse_json("extra")
-    return _papers(spark, sf).select("paper_id", F.try_variant_get(bag, "$.publisher", "string").alias("publisher"), F.try_variant_get(bag, "$.feed.title", "string").alias("feed_title"))
+    return _papers(spark, sf).select("paper_id", X.bag_value(F.col("extra"), "$.publisher").alias("publisher"), X.bag_value(F.col("extra"), "$.feed.title").alias("feed_title"))
 
 
-@query("SELECT paper_id, array_to_string(list_sort(list_filter(json_keys(extra), lambda k: k NOT IN ('publisher', 'feed'))), ',') AS carried FROM papers")
+@query(f"WITH {_CR}, {_P}, {_CR_FOUND} SELECT p.paper_id, c.publisher AS member, c.work_id::VARCHAR AS score {_JOIN('cr')} LEFT JOIN crossref_works c ON c.work_id = w.work_id")
 def extra_carry_over(spark, sf):
-    keys = F.filter(F.json_object_keys("extra"), lambda k: ~k.isin("publisher", "feed"))
-    return _papers(spark, sf).select("paper_id", F.array_join(F.array_sort(keys), ",").alias("carried"))
+    """Columns of a catalog that are not understood, in the papers' open bag."""
+    raw = table(spark, sf, "crossref_works").withColumns({"member": F.col("publisher"), "score": F.col("work_id")})
+    bag = F.col("extra")
+    merged = enrich.merge_overwrite(enrich.join_works(_papers(spark, sf), raw, enrich.CROSSREF))
+    return merged.select("paper_id", X.bag_value(bag, "$.crossref_extra.member").alias("member"), X.bag_value(bag, "$.crossref_extra.score").alias("score"))
+
+
+@query("SELECT incoming_id, nullif(doi, '') AS doi, nullif(title, '') AS title, strftime(published_date, '%Y-%m-%d') AS date, nullif(url, '') AS url FROM incoming_papers")
+def library_scan(spark, sf):
+    """Items as a library returns them, half of them nested, read back as the rows that are looked up."""
+    stored = library.library_items(table(spark, sf, "incoming_papers").withColumnRenamed("incoming_id", "paper_id"), "2026-01-01")
+    wrapped = stored.withColumn("item", F.when(F.col("paper_id") % 2 == 0, F.concat(F.lit('{"key": "K", "data": '), "item", F.lit("}"))).otherwise(F.col("item")))
+    read = library_rows(wrapped, keep=("paper_id",))
+    return read.withColumnRenamed("paper_id", "incoming_id")
+
+
+@query(f"WITH plan AS ({_export_sql()}) SELECT count(*) AS total, count(*) FILTER (outcome = 'create') AS success_count, count(*) FILTER (outcome <> 'create') AS skipped_count, {', '.join(f"count(*) FILTER (skipped_by = '{k}') AS skipped_{k}" for k in ('doi', 'title_date', 'url'))}, count(*) FILTER (outcome = 'in_batch') AS skipped_runtime_duplicate, 0 AS failed FROM plan")
+def export_stats(spark, sf):
+    return export_statistics(library.export_plan(_papers(spark, sf), _library(spark, sf)))
 
 
 # ---------------------------------------------------------------- sources
@@ -506,10 +532,13 @@ def opml_feeds(spark, sf):
     return feeds_of_outlines(table(spark, sf, "feeds"))
 
 
-@query("SELECT f.feed_id AS feed_pos, count(*) AS papers, count(p.published_date) AS dated FROM feeds f JOIN papers p ON p.source = f.title GROUP BY 1")
+@query("SELECT f.feed_id AS feed_pos, p.paper_id, row_number() OVER (ORDER BY f.feed_id, p.paper_id) AS place FROM feeds f JOIN papers p ON p.source = f.title WHERE p.title <> ''")
 def feed_union_order(spark, sf):
-    feeds, papers = table(spark, sf, "feeds"), _papers(spark, sf)
-    return papers.join(feeds.select(F.col("feed_id").alias("feed_pos"), F.col("title").alias("source")), "source").groupBy("feed_pos").agg(F.count(F.lit(1)).alias("papers"), F.count("published_date").alias("dated"))
+    """The entries of all feeds in one order, feed by feed."""
+    feeds = table(spark, sf, "feeds").select(F.col("feed_id").alias("feed_pos"), F.col("title").alias("source"))
+    entries = _entries(_papers(spark, sf).join(feeds, "source").withColumn("entry_pos", F.col("paper_id")))
+    union = placed(entries_to_papers(entries))
+    return filters.dense_position(union.select("_pos", "feed_pos", F.col("entry_pos").alias("paper_id")), "_pos", "_place").select("feed_pos", "paper_id", (F.col("_place") + 1).alias("place"))
 
 
 
@@ -549,6 +578,6 @@ def subset_and_jaccard(spark, sf):
     return _papers(spark, sf).select("paper_id", F.round(X.jaccard(a, b), 9).alias("jaccard"), (F.size(F.array_except(b, a)) == 0).alias("within"))
 
 
-@query("SELECT paper_id, title, source, coalesce(abstract, '') AS abstract, coalesce(nullif(item_type, ''), 'journalArticle') AS item_type FROM papers")
+@query("SELECT paper_id, title, source, coalesce(abstract, '') AS abstract, coalesce(item_type, 'journalArticle') AS item_type FROM papers")
 def papers_projection(spark, sf):
-    return _papers(spark, sf).select("paper_id", "title", "source", F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce(X.blank_to_null(F.col("item_type")), F.lit("journalArticle")).alias("item_type"))
+    return with_defaults(_papers(spark, sf)).select("paper_id", "title", "source", "abstract", "item_type")

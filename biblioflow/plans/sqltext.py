@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from biblioflow.functions.text import KNOWN_HOSTS, TITLE_NOISE, TRACKING
 from biblioflow.operators.keywords import SYNONYMS
@@ -42,12 +42,21 @@ def clean_title(x: str) -> str:
     return strip(rf"regexp_replace({x}, '^\[.*?\]\s*', '')")
 
 
+def _sql_map(table: dict, quote_keys: bool = True) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{quoted(k) if quote_keys else k}: {quoted(v)}" for k, v in table.items()) + "}"
+
+
 def unescape(x: str) -> str:
-    """Entities of HTML 4; the ampersand last, as one pass over the text would."""
-    for name, code in sorted(name2codepoint.items()):
-        if name != "amp":
-            x = f"replace({x}, '&{name};', chr({code}))"
-    return f"replace({x}, '&amp;', '&')"
+    """Entities as browsers resolve them, piece by piece: numbers, names with a semicolon, and old names without."""
+    c1 = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    number = f"coalesce(({_sql_map(c1, False)})[n], CASE WHEN n IS NULL OR n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN n BETWEEN 1 AND 8 OR n IN (11, 127) OR n BETWEEN 14 AND 31 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(n::INT) END)"
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    begins = " ".join(f"WHEN ({_sql_map({k: v for k, v in old.items() if len(k) == n})})[name[1:{n}]] IS NOT NULL THEN ({_sql_map({k: v for k, v in old.items() if len(k) == n})})[name[1:{n}]] || name[{n + 1}:]" for n in sorted({len(k) for k in old}, reverse=True))
+    named = f"CASE WHEN ({_sql_map(html5)})[name] IS NOT NULL THEN ({_sql_map(html5)})[name] {begins} ELSE '&' || name END"
+    value = "CASE WHEN regexp_matches(p, '^&#[0-9]') THEN try_cast(regexp_extract(p, '[0-9]+') AS BIGINT) ELSE try_cast('0x' || regexp_extract(p, '[xX]([0-9A-Fa-f]+)', 1) AS BIGINT) END"
+    piece = rf"CASE WHEN regexp_matches(p, '^&#([0-9]+|[xX][0-9A-Fa-f]+);?$') THEN list_transform([{value}], lambda n: {number})[1] WHEN regexp_matches(p, '^&[^#]') THEN list_transform([p[2:]], lambda name: {named})[1] ELSE p END"
+    return rf"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(regexp_extract_all({x}, '&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[^\t\n\f <&#;]{{1,32}};?|[^&]+|&'), lambda p: {piece}), '') ELSE {x} END"
 
 
 def clean_abstract(x: str) -> str:

@@ -98,6 +98,22 @@ def parse_feed(text: str) -> list[dict]:
     return entries
 
 
+def feed_errors(feeds: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
+    """``(feed_pos, url, error)`` of the feeds that cannot be fetched or read: what ``feed_entries`` passes over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for pos, url in batch[["feed_pos", "url"]].itertuples(index=False, name=None):
+                try:
+                    ET.fromstring(fetch(url))
+                except Exception as e:
+                    rows.append((pos, url, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["feed_pos", "url", "error"])
+
+    return feeds.select("feed_pos", "url").mapInPandas(run, "feed_pos long, url string, error string")
+
+
 def feed_entries(feeds: DataFrame, fetch: Callable[[str], str] | None = None) -> DataFrame:
     """Entries of ``feeds(feed_pos, title, url[, document])``: one task works on many feeds, a failing one has no entries.
 
@@ -128,6 +144,15 @@ def entry_doi(identifier: Column, prism: Column, link: Column, guid: Column) ->
     return F.coalesce(whole(identifier), whole(prism), extract_bounded_doi(link), extract_bounded_doi(guid), F.lit(""))
 
 
+#: Entries of one feed, and items of one message, that a place has room for.
+PLACES = 1 << 32
+
+
+def placed(papers: DataFrame, outer: str = "feed_pos", inner: str = "entry_pos", name: str = "_pos") -> DataFrame:
+    """``papers`` with one number for their place: feeds in order, entries in order within each."""
+    return papers.withColumn(name, F.col(outer).cast("long") * PLACES + F.col(inner).cast("long"))
+
+
 def entries_to_papers(entries: DataFrame, since=None) -> DataFrame:
     """Papers of the entries that have a title, with ``_pos`` in feed order; entries before ``since`` are left out, undated ones pass."""
     known = F.transform(F.coalesce("authors", F.array().cast("array<string>")), F.lower)

@@ -138,14 +138,18 @@ def _part_body(part: dict) -> str | None:
     return None
 
 
-def html_body(payload: str | dict | None) -> str | None:
-    """The first non-empty ``text/html`` part of a MIME tree, depth first; base64 padding and charsets are repaired."""
+def body_of(payload: str | dict | None, kind: str) -> str | None:
+    """The first non-empty part of a kind in a MIME tree, depth first; base64 padding and charsets are repaired."""
     tree = json.loads(payload) if isinstance(payload, str) else payload
     if not tree:
         return None
-    if tree.get("mimeType") == "text/html" and (body := _part_body(tree)):
+    if tree.get("mimeType") == kind and (body := _part_body(tree)):
         return body
-    return next((body for part in tree.get("parts") or [] if (body := html_body(part))), None)
+    return next((body for part in tree.get("parts") or [] if (body := body_of(part, kind))), None)
+
+
+def html_body(payload: str | dict | None) -> str | None:
+    return body_of(payload, "text/html")
 
 
 @F.pandas_udf(T.StringType())
@@ -153,6 +157,28 @@ def html_bodies(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda p: html_body(p) if p else None)
 
 
+@F.pandas_udf(T.StringType())
+def plain_bodies(payloads: pd.Series) -> pd.Series:
+    return payloads.map(lambda p: body_of(p, "text/plain") if p else None)
+
+
+def parse_sender_map(text: str | None) -> dict[str, str]:
+    """Names by address in lower case, from a JSON object; anything else, and values that are no text, name nobody."""
+    try:
+        data = json.loads(text or "")
+    except json.JSONDecodeError:
+        return {}
+    return {k.strip().lower(): v for k, v in data.items() if isinstance(v, str)} if isinstance(data, dict) else {}
+
+
+def message_items(messages: DataFrame) -> DataFrame:
+    """Items of ``messages(message_id, payload_json)``: those of the HTML part, else the DOIs of the plain text."""
+    read = messages.select("message_id", html_bodies(F.col("payload_json")).alias("html"), plain_bodies(F.col("payload_json")).alias("body"))
+    plain = plain_text_dois(read.where(F.coalesce("html", F.lit("")) == ""))
+    listed = plain.select("message_id", F.lit(3).alias("strategy"), F.col("doi_pos").alias("item_pos"), "title", "url", "doi", F.array().cast("array<string>").alias("authors"))
+    return mail_items(read.where(F.coalesce("html", F.lit("")) != "")).unionByName(listed)
+
+
 def plain_text_dois(messages: DataFrame, text: str = "body") -> DataFrame:
     """``(message_id, doi_pos, doi, title, url)``: each DOI of a plain text once, by lower case, in order."""
     found = messages.select("message_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(DOI), F.lit(0))).alias("doi_pos", "doi"))

@@ -28,14 +28,13 @@ def parse_opml(text: str) -> list[tuple[str, str, str, str | None]]:
     return [] if body is None else list(walk(body, None))
 
 
-def read_opml(spark: SparkSession, path: str | None = None, env: str = "BIBLIOFLOW_OPML") -> DataFrame:
-    """The feeds of an OPML file (argument, else environment variable), in document order."""
-    path = path or os.environ.get(env)
+def read_opml(spark: SparkSession, path: str | None = None, env: str = "BIBLIOFLOW_OPML", default: str | None = None) -> DataFrame:
+    """The feeds of an OPML file in document order: the argument's, else the environment's, else the default one."""
+    path = path or os.environ.get(env) or default
     if not path:
         raise ValueError(f"no feed list: give a path or set {env}")
-    with open(path, encoding="utf-8") as lines:
-        feeds = parse_opml(lines.read())
-    return spark.createDataFrame([(i, *feed) for i, feed in enumerate(feeds)], FEED_SCHEMA)
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file, wherever it lies
+    return spark.createDataFrame([(i, *feed) for i, feed in enumerate(parse_opml(text))], FEED_SCHEMA)
 
 
 def feeds_of_outlines(outlines: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ def deduplicate_stream(stream: DataFrame, keys: Column, key_table: str, sink: st
 
 
 def _earlier_keys(spark, key_table: str, number: int) -> DataFrame | None:
-    try:
-        table = spark.read.parquet(key_table)
-    except Exception:  # no batch has been written yet
+    """The keys of earlier batches; None before the first. Any failure to read them is an error, never an empty history."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(key_table)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return table.where(F.col("batch") < number).select("value")
+    return spark.read.schema("value string, batch long").parquet(key_table).where(F.col("batch") < number).select("value")

@@ -91,7 +91,7 @@ def test_keywords(spark):
     with pytest.raises(ValueError):
         keywords.with_relevance(df, [])
     assert keywords.parse_keywords('```json\n["a", " b "]\n```') == ["a", "b"]
-    assert keywords.generate_keywords("p", lambda p: '["b", "a"]') == ["a", "b"]
+    assert keywords.extract_keywords("p", lambda p: '["b", "a"]') == ["a", "b"]
 
 
 def test_library(spark):

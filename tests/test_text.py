@@ -44,3 +44,15 @@ def test_identity_keys(spark):
     df = spark.createDataFrame([("10.1234/A", "https://x.example/a/", "T"), (None, None, "T"), ("", "", "")], "doi string, url string, title string")
     rows = [[(k.kind, k.value) for k in r[0]] for r in df.select(X.identity_keys(F.col("doi"), F.col("url"), F.col("title"))).collect()]
     assert rows == [[("doi", "10.1234/a"), ("url", "https://x.example/a")], [("title", "t")], []]
+
+
+def test_entities_as_the_standard_library_resolves_them(spark):
+    import html
+    import random
+
+    rng = random.Random(11)
+    names = ["amp", "lt;", "copy", "copy;", "notit;", "notin;", "Eacute", "frac12", "hellip;", "nosuch;", "ampx", "#150;", "#82", "#xE9;", "#55296;", "#0;", "#1;", "#1114112;", "#x110000", "#99999999999999999999;", "#;", "#x;", "#128", "#65534;", "#13;", "CounterClockwiseContourIntegral;", ";", ""]
+    texts = [" ".join(rng.choice(["a", "&" + rng.choice(names), "&&", "x<y", "é&" + rng.choice(names) + "z"]) for _ in range(8)) for _ in range(300)] + ["&" + n for n in names] + [None, "", "plain"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.unescape(F.col("t")).alias("u")).collect()
+    wrong = [(r.t, r.u, html.unescape(r.t)) for r in rows if r.t is not None and r.u != html.unescape(r.t)]
+    assert not wrong, wrong[:3]
