@@ -7,6 +7,7 @@ fit models build on these signals.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,28 +54,41 @@ def _utf8_sequences(charset: str, two: range, three: range, four: range = range(
     return f"{pick(two)}{tail}|{pick(three)}{tail}{{2}}|{pick(four)}{tail}{{3}}"
 
 
-#: UTF-8 sequences of Latin, Greek and Cyrillic letters, of punctuation and CJK, as each charset shows
-#: them. The lead bytes are those that such text has; others would also match ordinary foreign words.
-_MISREAD = "|".join(
-    [
-        _utf8_sequences("cp1252", range(0xC2, 0xD4), range(0xE0, 0xF0)),
-        _utf8_sequences("cp1250", range(0xC2, 0xD4), range(0xE0, 0xF0)),
-        _utf8_sequences("cp1251", range(0xC2, 0xD4), range(0xE2, 0xEA)),
-        _utf8_sequences("mac_roman", range(0xC2, 0xD4), range(0xE2, 0xEA)),
-        _utf8_sequences("cp437", range(0xC2, 0xD4), range(0xE2, 0xEA)),
-    ]
-)
+#: Lead bytes of two and three byte sequences that text in Latin, Greek, Cyrillic and CJK letters has, by charset; under the others of
+#: these charsets more leads would match ordinary foreign words. ``wide`` takes every lead that UTF-8 has.
+_USUAL_LEADS = {"cp1252": (range(0xC2, 0xD4), range(0xE0, 0xF0)), "cp1250": (range(0xC2, 0xD4), range(0xE0, 0xF0))}
+_OTHER_LEADS, _ALL_LEADS = (range(0xC2, 0xD4), range(0xE2, 0xEA)), (range(0xC2, 0xE0), range(0xE0, 0xF0))
+
+
+def is_single_byte(charset: str) -> bool:
+    """Whether every byte of a charset is a character of its own."""
+    return all(len(bytes([b, b]).decode(charset, "replace")) == 2 for b in range(0x80, 0x100))
+
+
+def _misread_as(charset: str, wide: bool) -> str:
+    """UTF-8 sequences as a charset shows them; where characters have two bytes, any character beyond Latin, Greek and Cyrillic."""
+    if not is_single_byte(charset):
+        return r"[\x{3000}-\x{9fff}\x{ac00}-\x{d7a3}\x{ff61}-\x{ff9f}]"
+    return _utf8_sequences(charset, *(_ALL_LEADS if wide else _USUAL_LEADS.get(charset, _OTHER_LEADS)))
+
+
 #: What no charset gives for sound text: replacement and C1 control characters, a misread letter whose
 #: second byte was lost, and entities of such letters.
 _BROKEN = r"[\x{fffd}\x{80}-\x{9f}]|(?<=[a-z])[\x{c3}\x{c2}](?=[ ,.;:]|$)|\x{e2}[\x{20ac}\x{201a}\x{bb}]"
 _BROKEN_ENTITIES = r"&(?:ETH|Ntilde|Atilde|Acirc|acirc|Aring|aring|ccedil|euro|Icirc|eth|AElig|aelig|egrave|eacute|#(?:19[4-9]|2[0-4][0-9]|[38][0-9]{2,3}));(?:&#?[A-Za-z0-9]+;|[\x{80}-\x{bf}])"
-#: ASCII characters fail the first test, so the alternatives are tried at foreign characters only.
-_SUSPECT = rf"(?=[^\x{{0}}-\x{{7f}}])(?:{_BROKEN}|{_MISREAD})"
+@lru_cache(maxsize=8)
+def _suspects(charsets: tuple[str, ...], wide: bool) -> str:
+    """ASCII characters fail the first test, so the alternatives are tried at foreign characters only."""
+    return rf"(?=[^\x{{0}}-\x{{7f}}])(?:{_BROKEN}|{'|'.join(_misread_as(c, wide) for c in charsets)})"
 
 
-def charset_suspect(c: Column) -> Column:
-    """True where the text may hold characters of a wrong charset; a superset of what repair confirms. NULL gives false."""
-    return F.coalesce(c.rlike(_SUSPECT) | (c.contains(";") & c.rlike(_BROKEN_ENTITIES)), F.lit(False))
+def charset_suspect(c: Column, charsets: tuple[str, ...] = LEGACY_CHARSETS, wide: bool = False) -> Column:
+    """True where the text may hold characters of a wrong charset; NULL gives false.
+
+    With ``wide`` it is a superset of what repair confirms, and also meets ordinary words of some languages; without, it
+    is narrow enough to judge values by.
+    """
+    return F.coalesce(c.rlike(_suspects(tuple(charsets), wide)) | (c.contains(";") & c.rlike(_BROKEN_ENTITIES)), F.lit(False))
 
 
 # ---------------------------------------------------------------- endings
