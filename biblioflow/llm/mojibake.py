@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioflow.functions.damage import LEGACY_CHARSETS, byte_table, charset_suspect
+from biblioflow.functions.damage import LEGACY_CHARSETS, byte_table, charset_suspect, is_single_byte
 
 #: Most layers of wrong decoding that are undone.
 MAX_LAYERS = 4
@@ -19,16 +19,13 @@ MAX_LAYERS = 4
 _COMMON = set("°±²³¹µ·«»¿¡©®§–—‐‑“”‘’‚„…•™€£№ 　。，、：；（）！？《》「」″′×÷≈≤≥→∞−")
 
 
-@lru_cache(maxsize=1)
-def _machinery() -> dict[str, tuple[dict[str, int], re.Pattern[str]]]:
-    """For each charset, its byte table and the pattern of UTF-8 sequences misread under it."""
-    out = {}
-    for charset in LEGACY_CHARSETS:
-        table = byte_table(charset)
-        pick = lambda lo, hi, table=table: "[" + "".join(re.escape(c) for c, b in table.items() if lo <= b < hi) + "]"
-        tail = pick(0x80, 0xC0)
-        out[charset] = table, re.compile(f"(?:{pick(0xC2, 0xE0)}{tail}|{pick(0xE0, 0xF0)}{tail}{{2}}|{pick(0xF0, 0xF5)}{tail}{{3}})+")
-    return out
+@lru_cache(maxsize=32)
+def _machinery(charset: str) -> tuple[dict[str, int], re.Pattern[str]]:
+    """The byte table of a charset and the pattern of UTF-8 sequences misread under it."""
+    table = byte_table(charset)
+    pick = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in table.items() if lo <= b < hi) + "]"
+    tail = pick(0x80, 0xC0)
+    return table, re.compile(f"(?:{pick(0xC2, 0xE0)}{tail}|{pick(0xE0, 0xF0)}{tail}{{2}}|{pick(0xF0, 0xF5)}{tail}{{3}})+")
 
 
 def _weight(c: str) -> float:
@@ -58,9 +55,24 @@ def garbling_cost(text: str) -> float:
     return sum(map(_weight, text)) + 3.0 * len(_MIXED.findall(text))
 
 
+#: A stretch of foreign characters, and the character after it, whose byte a charset of two bytes may have taken in.
+_FOREIGN = re.compile(r"[^\x00-\x7f]+[\x40-\x7e]?")
+
+
 def _undo(text: str, charset: str) -> str:
     """``text`` with every stretch that is strict UTF-8 under ``charset`` decoded as such."""
-    table, pattern = _machinery()[charset]
+    if not is_single_byte(charset):
+
+        def encoded(match: re.Match[str]) -> str:
+            for stretch, rest in ((match.group(), ""), (match.group()[:-1], match.group()[-1:])):
+                try:
+                    return stretch.encode(charset).decode("utf-8") + rest
+                except UnicodeError:
+                    continue
+            return match.group()
+
+        return _FOREIGN.sub(encoded, text)
+    table, pattern = _machinery(charset)
 
     def decode(match: re.Match[str]) -> str:
         if "\xa0\xa0" in match.group():  # a foreign letter before non-breaking spaces
@@ -77,7 +89,7 @@ def _undo(text: str, charset: str) -> str:
 _LOST = re.compile(r"[�\x80-\x9f]|â[€‚»]|[a-zà-ÿ][ÃÂ](?=[ ,.;:]|$)")
 
 
-def repair(text: str | None) -> tuple[str | None, int, bool]:
+def repair(text: str | None, charsets: tuple[str, ...] = LEGACY_CHARSETS) -> tuple[str | None, int, bool]:
     """``(text, layers, damaged)``: the best reading, how many layers were undone, and whether bytes stay lost.
 
     Each round tries every charset and keeps the reading of least cost, if that is below the cost before.
@@ -89,7 +101,7 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
     current = html.unescape(text) if "&" in text else text
     start, layers, cost = current, 0, garbling_cost(current)
     while layers < MAX_LAYERS and not current.isascii():
-        options = [(garbling_cost(t), t) for t in (_undo(current, c) for c in LEGACY_CHARSETS) if t != current]
+        options = [(garbling_cost(t), t) for t in (_undo(current, c) for c in charsets) if t != current]
         if not options or (best := min(options))[0] >= cost:
             break
         (cost, current), layers = best, layers + 1
@@ -100,27 +112,31 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("layers", T.IntegerType()), T.StructField("damaged", T.BooleanType())])
 
 
-@F.pandas_udf(_RESULT)
-def _repair_batch(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([repair(v) for v in values], columns=["text", "layers", "damaged"])
+def _repairing(charsets: tuple[str, ...]):
+    @F.pandas_udf(_RESULT)
+    def repair_batch(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([repair(v, charsets) for v in values], columns=["text", "layers", "damaged"])
+
+    return repair_batch
 
 
-def garbled_values(df: DataFrame, key: str = "paper_id", fields: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
+def garbled_values(df: DataFrame, key: str = "paper_id", fields: tuple[str, ...] = ("title", "abstract"), charsets: tuple[str, ...] = LEGACY_CHARSETS, wide: bool = False) -> DataFrame:
     """``(key, field_name, original, repaired, layers, recovered)``: one row per garbled value.
 
-    Only values in which the JVM sees a misread sequence reach Python. ``recovered`` is false where
+    ``charsets`` are those that text may have been misread under, of one byte a character or more. Only values in
+    which the JVM sees a misread sequence of Latin, Greek, Cyrillic or CJK letters, or with ``wide`` of any, reach Python. ``recovered`` is false where
     bytes were lost, ``repaired`` then holds what could be restored. Absent and sound values give no row.
     """
-    values = df.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(charset_suspect(F.col(f)), F.col(f)).alias("original")) for f in fields])).alias("_v"))
+    values = df.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(charset_suspect(F.col(f), charsets, wide), F.col(f)).alias("original")) for f in fields])).alias("_v"))
     suspects = values.where(F.col("_v.original").isNotNull()).select("_key", "_v.field_name", "_v.original")
-    fixed = suspects.withColumn("_r", _repair_batch("original")).where((F.col("_r.layers") > 0) | F.col("_r.damaged"))
+    fixed = suspects.withColumn("_r", _repairing(charsets)("original")).where((F.col("_r.layers") > 0) | F.col("_r.damaged"))
     return fixed.select(F.col("_key").alias(key), "field_name", "original", F.col("_r.text").alias("repaired"), F.col("_r.layers").alias("layers"), (~F.col("_r.damaged")).alias("recovered"))
 
 
-def repair_columns(df: DataFrame, fields: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
+def repair_columns(df: DataFrame, fields: tuple[str, ...] = ("title", "abstract"), charsets: tuple[str, ...] = LEGACY_CHARSETS, wide: bool = False) -> DataFrame:
     """``df`` with garbled values of ``fields`` replaced by their best reading; every other value is kept as stored."""
     out = df
     for f in fields:
-        suspect = charset_suspect(F.col(f))
-        out = out.withColumn(f, F.when(suspect, _repair_batch(F.when(suspect, F.col(f)))["text"]).otherwise(F.col(f)))
+        suspect = charset_suspect(F.col(f), charsets, wide)
+        out = out.withColumn(f, F.when(suspect, _repairing(charsets)(F.when(suspect, F.col(f)))["text"]).otherwise(F.col(f)))
     return out

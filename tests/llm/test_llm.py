@@ -104,6 +104,14 @@ def test_charset_round_trip(charset, layers):
         assert mojibake.repair(broken)[0] == text
 
 
+@pytest.mark.parametrize("charset, text", [("koi8_r", "Привет, мир"), ("gbk", "结果表明显著提高"), ("shift_jis", "電導率を示した"), ("cp1254", "Étude à 40 °C")])
+def test_charsets_are_a_parameter(spark, charset, text):
+    broken, charsets = text.encode("utf-8").decode(charset), (*mojibake.LEGACY_CHARSETS, charset)
+    assert mojibake.repair(broken, charsets)[0] == text and mojibake.repair(text, charsets)[1] == 0
+    df = spark.createDataFrame([(1, broken, text), (2, None, "")], "paper_id long, title string, abstract string")
+    assert [(r.paper_id, r.field_name, r.repaired) for r in mojibake.garbled_values(df, charsets=charsets).collect()] == [(1, "title", text)]
+
+
 def test_sound_text_is_left_alone(spark):
     for text in ("ÉTUDE DE LA DENSITÉ «ÉTÉ»", "Øresund Ångström façade naïve", "«ГИДРИД» и оксид", "Ελλάδα αβγ", "p &lt; 0.05 &amp; more", "50 °C ± 3 µm", None, ""):
         assert mojibake.repair(text)[1:] == (0, False)
