@@ -97,6 +97,8 @@ class TitleModel:
             share = np.maximum(np.rint(np.bincount(at, minlength=n_zones) * k / max(len(points), 1)), 1).astype(int)
             each = [_centres(points[at == z], min(share[z], max(int((at == z).sum()), 1))) if (at == z).any() else top[z : z + 1] for z in range(n_zones)]
             centres, zones = np.concatenate(each), np.repeat(np.arange(n_zones), [len(e) for e in each])
+        order = np.argsort(zones, kind="stable")  # cells of a zone follow each other
+        centres, zones = centres[order], zones[order]
         held = np.zeros(len(centres))
         for some in np.array_split(np.arange(len(points)), max(len(points) * len(centres) // 20_000_000, 1)):
             held += np.bincount((points[some] @ centres.T).argmax(1), minlength=len(centres))
@@ -285,10 +287,18 @@ class TitleIndex:
         return shown.mapInPandas(_spread(self.model, probe), _ENTRY)
 
     def _write(self, entries: DataFrame, first: int, last: int) -> None:
-        sorted_ = entries.repartition("cell", "part").sortWithinPartitions("cell", "part")
-        shards = sorted_.mapInPandas(_build, _SHARD)
-        zones = self.spark.createDataFrame([(c, int(z)) for c, z in enumerate(self.model.value.zones)], "cell int, zone int")
-        laid_out = shards.join(F.broadcast(zones), "cell").repartitionByRange("zone", "cell").sortWithinPartitions("zone", "cell")
+        """One shuffle: neighbouring cells come to one task, which writes few files for the zones they belong to."""
+        model = self.model
+        cells = len(model.value.centres)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        neighbours = F.floor(F.col("cell") * F.lit(min(3 * tasks, cells)) / F.lit(cells))
+        gathered = entries.repartition(tasks, neighbours).sortWithinPartitions("cell", "part")
+
+        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for shards in _build(batches):
+                yield shards.assign(zone=model.value.zones[shards["cell"].to_numpy(dtype=int)])
+
+        laid_out = gathered.mapInPandas(build, T.StructType([*_SHARD.fields, T.StructField("zone", T.IntegerType())]))
         laid_out.write.mode("overwrite").option("parquet.block.size", 1 << 20).partitionBy("zone").parquet(f"{self.path}/shards/{first}-{last}")
 
     def runs(self) -> list[tuple[int, int]]:
