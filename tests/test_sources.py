@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from biblioflow.cli import Library, default_output, main
 from biblioflow.engine import Engine, list_prompts, list_tools, render_prompt
 from biblioflow.functions.text import identity_keys
 from biblioflow.operators import enrich
@@ -244,3 +245,24 @@ def test_title_and_authors_where_there_is_no_doi(spark):
     assert json.loads(done[3].extra)["crossref_unmatched"]["strategy"] == "title_author"
     assert enrich.enriched_count(papers, enrich.enrich_from(papers, raw, enrich.CROSSREF)).first().enriched == 1
     assert Engine(spark, {"crossref": raw}).enrich(papers, "crossref").count() == 4
+
+
+def test_command_line_exports_to_a_library(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("BIBLIOFLOW_RESEARCH_PROMPT", "zinc")
+    made = str(tmp_path / "made")
+    path = str(tmp_path / "in.json")
+    open(path, "w").write(json.dumps([{"title": f"{t} paper", "source": "s", "source_type": "rss", "doi": f"10.1234/{t}", "extra": "{}"} for t in ("Zinc", "Iron")]))
+
+    def create(item):
+        with open(made, "a") as out:
+            out.write(item["title"] + "|" + ",".join(item["collections"]))
+        return {"created": 1}
+
+    held = [{"data": {"itemType": "book", "title": "Iron paper", "DOI": "10.1234/Iron"}}]
+    there = Library(lambda start, limit: held[start : start + limit], create, lambda: [{"key": "AAAAAAA1", "name": "Reading"}])
+    assert main(["export", "--input", path, "--to", "library", "--collection", "reading"], spark, library=there) == 0
+    assert open(made).read() == "Zinc paper|AAAAAAA1" and "'skipped_doi': 1" in capsys.readouterr().out
+    kept = str(tmp_path / "kept.json")
+    assert main(["filter", "--input", path, "--output", kept], spark, generate=lambda p: '["zinc"]') == 0
+    assert [p["title"] for p in json.loads(open(kept).read())] == ["Zinc paper"]
+    assert main(["export", "--input", path, "--to", "library"], spark) == 1 and default_output("fetch", date(2026, 1, 2)) == "output/2026-01-02/fetch.json"
