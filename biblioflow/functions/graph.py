@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Nodes of a graph, links a node keeps, candidates they are chosen from, and the size under which a scan is the search.
-GRAPH_NODES, LINKS, CANDIDATES, SCAN_NODES = 3000, 10, 24, 192
+GRAPH_NODES, LINKS, CANDIDATES, SCAN_NODES = 4000, 10, 24, 192
 #: Beam widths tried in turn, and the share of exhaustively found neighbours that is enough.
 BEAMS, ENOUGH = (16, 32, 64), 0.99
 #: Nodes a walk starts from, nodes it opens at a time, and queries that tune a beam.

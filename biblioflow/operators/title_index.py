@@ -21,7 +21,7 @@ from biblioflow.session import cut_lineage
 #: Titles that weights and cell centres are fitted on: this share of all, but neither fewer nor more than these numbers. Every title is indexed.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 0.02, 20_000, 400_000
 #: Titles a cell should hold, and cells up to which centres are fitted at once; more are fitted zone by zone.
-CELL_TITLES, FLAT_CELLS = 1500, 256
+CELL_TITLES, FLAT_CELLS = 3000, 256
 #: Nearest cells that a query looks into at least, and the least similarity of a candidate.
 PROBE_CELLS, LEAST_SIMILARITY = 3, 0.55
 #: A query looks into every cell that is less similar than its nearest by this much at most, so their number grows with the cells.
