@@ -127,16 +127,20 @@ def one_per_doi(raw: DataFrame, catalog: Catalog) -> DataFrame:
     return raw.select(F.lower(_clean_doi(catalog.doi())).alias("_doi"), "work_id").where(F.col("_doi").isNotNull()).groupBy("_doi").agg(F.min("work_id").alias("work_id"))
 
 
+def works_by_doi(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id") -> DataFrame:
+    """``(key, work_id)``: the work of a paper's DOI."""
+    asked = papers.select(key, F.lower(doi_candidate(papers)).alias("_doi")).where(F.col("_doi").isNotNull())
+    return asked.join(one_per_doi(raw, catalog), "_doi").select(key, "work_id")
+
+
 def find_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id", least: float = LEAST_SCORE) -> DataFrame:
     """``(key, work_id)``: the work of a paper's DOI; for papers without one, the best match of title and authors.
 
     A DOI that the catalog does not know is no reason to look for the title.
     """
-    asked = papers.select(key, "title", "authors", F.lower(doi_candidate(papers)).alias("_doi"))
-    by_doi = asked.where(F.col("_doi").isNotNull()).join(one_per_doi(raw, catalog), "_doi").select(key, "work_id")
-    titled = asked.where(F.col("_doi").isNull() & (F.col("title") != ""))
+    titled = papers.where(doi_candidate(papers).isNull() & (F.col("title") != "")).select(key, "title", "authors")
     by_title = best_title_matches(titled, catalog.works(raw).select("work_id", "title", "authors"), catalog.sort_author_tokens, key, least)
-    return by_doi.unionByName(by_title.select(key, "work_id"))
+    return works_by_doi(papers, raw, catalog, key).unionByName(by_title.select(key, "work_id"))
 
 
 def join_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id") -> DataFrame:

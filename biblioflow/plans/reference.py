@@ -369,8 +369,7 @@ def enrich_left_join(spark, sf):
 
 @query(f"WITH {_CR}, {_P} SELECT p.paper_id, d.work_id FROM p JOIN (SELECT wd, min(work_id) AS work_id FROM cr WHERE wd IS NOT NULL GROUP BY 1) d ON d.wd = p.pd")
 def enrich_doi_left_join(spark, sf):
-    found = enrich.find_works(_papers(spark, sf).withColumn("title", F.lit("")), table(spark, sf, "crossref_works"), enrich.CROSSREF)
-    return found.select("paper_id", "work_id")
+    return enrich.works_by_doi(_papers(spark, sf), table(spark, sf, "crossref_works"), enrich.CROSSREF)
 
 
 @query(f"WITH {_CR}, {_P}, {_CR_FOUND} SELECT p.paper_id, coalesce(nullif(p.doi, ''), {Q.extract_doi('p.url')}) AS doi, title, p.url, CASE WHEN pd IS NOT NULL THEN 'doi_only' ELSE 'title_author' END AS strategy {_JOIN('cr')} WHERE w.work_id IS NULL")
