@@ -33,7 +33,7 @@ def collapse_space(c: Column) -> Column:
 
 def extract_doi(c: Column) -> Column:
     """The first DOI in a text as written; NULL without one."""
-    return F.nullif(F.regexp_extract(c, DOI, 0), F.lit(""))
+    return F.get(F.regexp_extract_all(c, F.lit(DOI), F.lit(0)), F.lit(0))  # names its argument once, so that nested calls do not multiply
 
 
 def extract_bounded_doi(c: Column) -> Column:
@@ -43,10 +43,8 @@ def extract_bounded_doi(c: Column) -> Column:
 
 def normalize_doi(c: Column) -> Column:
     """Lower-case bare DOI of a value with or without resolver or ``doi:``; NULL without one."""
-    raw = strip(c)
-    after = F.regexp_replace(raw, r"(?is)^.*doi\.org/", "")
-    bare = F.when(F.lower(raw).contains("doi.org/"), after).otherwise(F.regexp_replace(raw, r"(?i)^doi:", ""))
-    return blank_to_null(F.lower(F.regexp_replace(extract_doi(bare), r"[).,;]+$", "")))
+    bare = F.regexp_replace(strip(c), r"(?is)^(?:.*doi\.org/|doi:)", "")
+    return F.lower(F.regexp_replace(extract_doi(bare), r"[).,;]+$", ""))  # never blank: the prefix stays
 
 
 def normalize_title(c: Column) -> Column:

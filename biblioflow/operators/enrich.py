@@ -16,6 +16,8 @@ CROSSREF_TYPES = {"journal-article": "journalArticle", "proceedings-article": "c
 OPENALEX_TYPES = {"article": "journalArticle", "book": "book", "book-chapter": "bookSection", "dissertation": "thesis", "proceedings": "conferencePaper", "proceedings-article": "conferencePaper", "report": "report", "dataset": "dataset"}
 #: Candidates of a title search, weight of the title in a score, and the least score of a match.
 CANDIDATES, TITLE_WEIGHT, LEAST_SCORE = 5, 0.75, 0.8
+#: Words of titles that are looked up by two of their words; longer ones by one.
+PAIRED_WORDS = 24
 
 
 def _mapped(c: Column, names: dict[str, str]) -> Column:
@@ -166,35 +168,62 @@ def join_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "
 def best_title_matches(papers: DataFrame, works: DataFrame, sort_author_tokens: bool, key: str = "paper_id", least: float = LEAST_SCORE) -> DataFrame:
     """``(key, work_id, score)``: for each paper the work of highest score among its ``CANDIDATES`` nearest titles.
 
-    Candidates are ranked by shared words, then by id. Titles meet through their rarest words: two titles of
-    Jaccard ``j`` share one of the first ``floor((1 - j) * n) + 1`` words in order of frequency, with ``j`` the
-    least title similarity that a score of ``least`` allows. Distinct titles are matched, not rows, so
-    titles on many rows cost one comparison.
+    Candidates are ranked by shared words, then by id, so a title has the same ones on every row, and a title of
+    many works offers those of smallest id. Distinct titles are matched, by ``_similar_titles``, with the
+    least title similarity that a score of ``least`` allows; rows meet no more than ``CANDIDATES`` works.
     """
-    floor_j = (least - (1 - TITLE_WEIGHT)) / TITLE_WEIGHT
-    left = papers.select(F.col(key), match_title(F.col("title")).alias("_t"), F.coalesce(F.col("authors"), F.array().cast("array<string>")).alias("_a")).where(F.col("_t") != "")
-    right = works.select("work_id", match_title(F.col("title")).alias("_t"), F.coalesce(F.col("authors"), F.array().cast("array<string>")).alias("_wa")).where(F.col("_t") != "")
-    titles = left.select("_t").distinct().withColumn("_side", F.lit(0)).unionByName(right.select("_t").distinct().withColumn("_side", F.lit(1))).withColumn("_w", words(F.col("_t")))
-    frequency = titles.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ordered = titles.select("_t", "_side", F.size("_w").alias("_size"), F.explode("_w").alias("w")).join(frequency, "w").groupBy("_t", "_side", "_size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_o"))
-    rarest = F.transform(F.slice("_o", F.lit(1), (F.floor((1 - F.lit(floor_j)) * F.col("_size") + 1e-9) + 1).cast("int")), lambda x: x["w"])
-    # one other word among few is less than the least similarity: titles as short as that meet as sets, not by a word that many have
-    as_set = F.array(F.concat(F.lit("="), F.array_join(F.array_sort(F.transform("_o", lambda x: x["w"])), " ")))
-    alone = F.col("_size") / (F.col("_size") + 1) < floor_j - 1e-9
-    prefix = ordered.select("_t", "_side", "_size", F.explode(F.when(alone, as_set).otherwise(rarest)).alias("w"))
-    a = prefix.where("_side = 0").select(F.col("_t").alias("_ta"), F.col("_size").alias("_sa"), "w")
-    b = prefix.where("_side = 1").select(F.col("_t").alias("_tb"), F.col("_size").alias("_sb"), "w")
-    met = a.join(b, "w").where((F.col("_sa") >= floor_j * F.col("_sb") - 1e-9) & (F.col("_sb") >= floor_j * F.col("_sa") - 1e-9)).select("_ta", "_tb").distinct()
-    split = met.withColumn("_x", words(F.col("_ta"))).withColumn("_y", words(F.col("_tb"))).withColumn("_shared", F.size(F.array_intersect("_x", "_y")))
-    similar = split.withColumn("_j", F.col("_shared") / (F.size("_x") + F.size("_y") - F.col("_shared"))).where(F.col("_j") >= floor_j - 1e-9).drop("_x", "_y")
-    pairs = left.join(similar, left["_t"] == similar["_ta"]).drop("_t").join(right, F.col("_tb") == right["_t"]).select(key, "work_id", "_j", "_shared", "_a", "_wa")
-    near = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_shared"), F.asc("work_id")))).where(F.col("_rank") <= CANDIDATES)
+    floor_j = max((least - (1 - TITLE_WEIGHT)) / TITLE_WEIGHT, 1e-6)
+    # narrow, and used several times
+    left = cut_lineage(papers.select(F.col(key), match_title(F.col("title")).alias("_t"), F.coalesce(F.col("authors"), F.array().cast("array<string>")).alias("_a"))).where(F.col("_t") != "")
+    right = cut_lineage(works.select("work_id", match_title(F.col("title")).alias("_t"), F.coalesce(F.col("authors"), F.array().cast("array<string>")).alias("_wa"))).where(F.col("_t") != "")
+    similar = _similar_titles(left.select("_t").distinct(), right.select("_t").distinct(), floor_j)
+    first = right.withColumn("_place", F.row_number().over(Window.partitionBy("_t").orderBy("work_id"))).where(F.col("_place") <= CANDIDATES)
+    offered = similar.join(first, F.col("_tb") == first["_t"]).select("_ta", "work_id", "_j", "_shared", "_wa")
+    near = offered.withColumn("_rank", F.row_number().over(Window.partitionBy("_ta").orderBy(F.desc("_shared"), F.asc("work_id")))).where(F.col("_rank") <= CANDIDATES)
     normal = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: author_key(x, sort_author_tokens)), lambda x: x != ""))
-    score = F.when(F.size("_a") > 0, TITLE_WEIGHT * F.col("_j") + (1 - TITLE_WEIGHT) * jaccard(normal(F.col("_a")), normal(F.col("_wa")))).otherwise(F.col("_j"))
-    best = near.withColumn("score", F.round(score, 9)).withColumn("_best", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.asc("_rank")))).where(F.col("_best") == 1)
+    pairs = left.join(near, left["_t"] == near["_ta"]).select(key, "work_id", "_rank", "_j", F.size("_a").alias("_n"), normal(F.col("_a")).alias("_a"), normal(F.col("_wa")).alias("_wa"))
+    score = F.when(F.col("_n") > 0, TITLE_WEIGHT * F.col("_j") + (1 - TITLE_WEIGHT) * jaccard(F.col("_a"), F.col("_wa"))).otherwise(F.col("_j"))
+    best = pairs.withColumn("score", F.round(score, 9)).withColumn("_best", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.asc("_rank")))).where(F.col("_best") == 1)
     return best.where(F.col("score") >= least).select(key, "work_id", "score")
 
 
+def _similar_titles(left: DataFrame, right: DataFrame, floor_j: float) -> DataFrame:
+    """``(_ta, _tb, _shared, _j)``: distinct titles ``_t`` of two sides whose words have a Jaccard of ``floor_j`` at least.
+
+    Sizes ``a`` and ``b`` ask for ``o`` shared words, so with words in order of frequency the ``k`` rarest shared ones
+    stand among the first ``a - o + k`` and ``b - o + k``. Titles up to ``PAIRED_WORDS`` meet by two of them, written once
+    for each size that the other title may have; longer ones by one. Each word sets one of 64 bits: titles
+    whose bits differ in more places than their words may are told apart before their words are read.
+    """
+    named = lambda df, side: df.select("_t", F.xxhash64("_t").alias("_id"), F.lit(side).alias("_side"), words(F.col("_t")).alias("_w"))
+    titles = named(left, 0).unionByName(named(right, 1))
+    single = titles.select("_id", "_side", F.size("_w").alias("_size"), F.explode("_w").alias("w"))
+    frequency = single.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("w"), F.lit(64)).cast("int"))
+    ordered = single.join(frequency, "w").groupBy("_id", "_side", "_size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_o"), F.bit_or(bit).alias("_bits"))
+    about = ordered.select("_id", "_side", "_size", "_bits", F.transform("_o", lambda x: F.xxhash64(x["w"])).alias("_o"))
+
+    size, other = F.col("_size"), F.col("_other")
+    least, most = F.greatest(F.ceil(floor_j * size - 1e-6), F.lit(1)).cast("int"), F.least(F.floor(size / floor_j + 1e-6), F.lit(PAIRED_WORDS)).cast("int")
+    sized = about.where(size <= PAIRED_WORDS).select("*", F.explode(F.sequence(least, most)).alias("_other"))
+    sized = sized.withColumn("_o_least", F.greatest(F.ceil(floor_j / (1 + floor_j) * (size + other) - 1e-6), F.lit(1)).cast("int")).withColumn("_k", F.least(F.col("_o_least"), F.lit(2))).withColumn("_p", size - F.col("_o_least") + F.col("_k"))
+    firsts = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("_p") - F.col("_k"))).alias("_i"))
+    both = firsts.select("*", F.explode(F.sequence(F.col("_i") + F.col("_k") - 1, F.when(F.col("_k") == 2, F.col("_p") - 1).otherwise(F.col("_i")))).alias("_n"))
+    sides = F.when(F.col("_side") == 0, size * 1000 + other).otherwise(other * 1000 + size)
+    by_two = both.select("_id", "_side", "_size", "_bits", F.xxhash64(sides, F.get("_o", F.col("_i")), F.get("_o", F.col("_n"))).alias("_key"))
+    rarest = F.slice("_o", F.lit(1), (F.floor((1 - floor_j) * size + 1e-6) + 1).cast("int"))
+    by_one = about.where(size > floor_j * PAIRED_WORDS - 1e-6).select("_id", "_side", "_size", "_bits", F.explode(rarest).alias("_key"))
+    keys = by_two.unionByName(by_one)
+
+    a, b = (keys.where(F.col("_side") == s).select("_key", *[F.col(c).alias(c + n) for c in ("_id", "_size", "_bits")]) for s, n in ((0, "a"), (1, "b")))
+    sizes = (F.col("_sizea") >= floor_j * F.col("_sizeb") - 1e-9) & (F.col("_sizeb") >= floor_j * F.col("_sizea") - 1e-9)
+    bits = F.bit_count(F.col("_bitsa").bitwiseXOR(F.col("_bitsb"))) <= (F.col("_sizea") + F.col("_sizeb")) * ((1 - floor_j) / (1 + floor_j)) + 1e-6
+    met = a.join(b, "_key").where(sizes & bits).select("_ida", "_idb").distinct()
+    text = lambda df, n: df.select(F.xxhash64("_t").alias("_id" + n), F.col("_t").alias("_t" + n))
+    split = met.join(text(left, "a"), "_ida").join(text(right, "b"), "_idb").withColumn("_x", words(F.col("_ta"))).withColumn("_y", words(F.col("_tb"))).withColumn("_shared", F.size(F.array_intersect("_x", "_y")))
+    return split.withColumn("_j", F.col("_shared") / (F.size("_x") + F.size("_y") - F.col("_shared"))).where(F.col("_j") >= floor_j - 1e-9).select("_ta", "_tb", "_shared", "_j").distinct()
+
+
 def _truthy(c: Column) -> Column:
     return blank_to_null(c)
 
