@@ -10,6 +10,11 @@ _ASIDE = r"[\p{P}\p{Z}\p{C}`^~|<>]+"
 _MARKUP = r"</?[A-Za-z][A-Za-z0-9:]{0,15}( [^<>]*)?/?>"
 
 
+def not_blank(c: Column) -> Column:
+    """The text, or NULL for ''; names its argument once, so that it is computed once."""
+    return F.get(F.regexp_extract_all(c, F.lit(r"(?s).+"), F.lit(0)), F.lit(0))
+
+
 def fold_case(c: Column) -> Column:
     """Case folding that also unites what differs only after upper-casing (micro sign and mu, final sigma, sharp s)."""
     return F.translate(F.lower(F.upper(c)), "ς", "σ")
@@ -24,8 +29,7 @@ def doi_canonical(c: Column) -> Column:
     squeezed = F.regexp_replace(F.lower(c), r"[\p{Z}\p{C}]+", "")
     bare = F.regexp_replace(squeezed, r"^.*doi\.org/+", "")
     bare = F.regexp_replace(bare, r"^[\p{P}<>]*(doi[:=]?)?", "")
-    kept = F.regexp_replace(bare, r"[\p{P}`^~|<>]+", "")
-    return F.when(kept != "", kept)
+    return not_blank(F.regexp_replace(bare, r"[\p{P}`^~|<>]+", ""))
 
 
 def title_canonical(c: Column) -> Column:

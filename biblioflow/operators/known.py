@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioflow.functions.canonical import doi_canonical
+from biblioflow.functions.canonical import doi_canonical, not_blank
 from biblioflow.functions.titles import match_form
 from biblioflow.operators.title_index import DATE_SLACK, TitleIndex
 from biblioflow.session import cut_lineage, shared_folder
@@ -34,12 +34,12 @@ def url_identity(c: Column) -> Column:
     before = F.substring_index(shown, "?", 1)
     query = F.substr(shown, F.length(before) + 2, F.length(shown))
     path = F.regexp_replace(before, r"^(?i:https?)://(?:www\.)?", "")
-    host = F.substring_index(path, "/", 1)
-    rest = F.rtrim(F.substr(path, F.length(host) + 1, F.length(path)), F.lit("/"))
+    host = lambda p: F.substring_index(p, "/", 1)
+    place = F.get(F.transform(F.array(path), lambda p: F.concat(F.lower(host(p)), F.rtrim(F.substr(p, F.length(host(p)) + 1, F.length(p)), F.lit("/")))), F.lit(0))
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(*TRACKING_KEYS) & ~name(p).startswith("utm_"))), "&")
-    asked = F.when(query == "", F.lit("")).otherwise(F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)))
-    return F.nullif(F.concat(F.lower(host), rest, asked), F.lit(""))
+    asked = F.when(query == "", F.lit("")).otherwise(F.regexp_replace(kept, r"(?s)^(.+)$", "?$1"))
+    return not_blank(F.concat(place, asked))
 
 
 @F.pandas_udf(T.StringType())

@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from biblioflow.functions.canonical import doi_canonical
 from biblioflow.functions.text import normalize_doi
 from biblioflow.operators import enrich
+from biblioflow.operators.known import url_identity
 
 
 def _jaccard(a: str, b: str) -> float:
@@ -57,3 +59,14 @@ def test_doi_forms_name_each_pattern_once(spark):
     asked = spark.createDataFrame([("a", "b")], "doi string, url string")
     plan = asked.select(enrich.doi_candidate(asked))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") <= 10
+
+
+def test_identities_name_each_pattern_once(spark):
+    """A DOI and a URL are computed once for a row, not once for each place that asks whether they are blank."""
+    urls = ["HTTPS://www.Host.example/A//?b=2&utm_x=1&a=1#f", "host.example/", " http://h.example?ref=1 ", "https://", "", None, "h.example/p?&", "h.example/a\nb?q=1\n2"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(url_identity(F.col("u")).alias("u"))
+    assert [r.u for r in df.collect()] == ["host.example/A?a=1&b=2", "host.example", "h.example", None, None, None, "h.example/p", "h.example/a\nb?q=1\n2"]
+    dois = spark.createDataFrame([("https://doi.org/10.1234/AB-c",), (" . ",), (None,)], "d string").select(doi_canonical(F.col("d")).alias("d"))
+    assert [r.d for r in dois.collect()] == ["101234abc", None, None]
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (df, dois)]
+    assert plans[0].count("regexp_replace") <= 2 and plans[1].count("regexp_replace") <= 4
