@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A DOI as it stands in text (fixed pattern).
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
+#: The first DOI after the last resolver or ``doi:``, without closing marks, in one pass.
+BARE_DOI = r"(?is)^(?:.*doi\.org/|\s*doi:)?+.*?(10\.\d{4,9}(?=/[-._;()/:A-Z0-9])[-._;()/:A-Z0-9]*[-_(/:A-Z0-9])"
 #: Words that announce a provisional publication (fixed values).
 TITLE_NOISE = ("asap", "just accepted", "early access", "ahead of print", "in press")
 #: Query keys that only track a click (fixed values; ``utm_*`` besides).
@@ -28,7 +30,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))  # only blanks are left to strip
 
 
 def extract_doi(c: Column) -> Column:
@@ -43,8 +45,7 @@ def extract_bounded_doi(c: Column) -> Column:
 
 def normalize_doi(c: Column) -> Column:
     """Lower-case bare DOI of a value with or without resolver or ``doi:``; NULL without one."""
-    bare = F.regexp_replace(strip(c), r"(?is)^(?:.*doi\.org/|doi:)", "")
-    return F.lower(F.regexp_replace(extract_doi(bare), r"[).,;]+$", ""))  # never blank: the prefix stays
+    return F.lower(F.get(F.regexp_extract_all(c, F.lit(BARE_DOI), F.lit(1)), F.lit(0)))
 
 
 def normalize_title(c: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblioflow.functions.text import author_key, blank_to_null, clean_abstract, extract_doi, jaccard, match_title, normalize_doi, strip, words
+from biblioflow.functions.text import DOI, author_key, blank_to_null, clean_abstract, extract_doi, jaccard, match_title, normalize_doi, strip, words
 from biblioflow.session import cut_lineage
 
 #: Item types of the two catalogs (fixed values); anything else is a journal article.
@@ -18,6 +19,8 @@ OPENALEX_TYPES = {"article": "journalArticle", "book": "book", "book-chapter": "
 CANDIDATES, TITLE_WEIGHT, LEAST_SCORE = 5, 0.75, 0.8
 #: Words of titles that are looked up by two of their words; longer ones by one.
 PAIRED_WORDS = 24
+#: Buckets of words whose occurrences are counted to put words in order.
+WORD_BUCKETS = 1 << 15
 
 
 def _mapped(c: Column, names: dict[str, str]) -> Column:
@@ -103,6 +106,11 @@ def doi_candidate(df: DataFrame) -> Column:
     return _clean_doi(F.coalesce(blank_to_null(df["doi"]), extract_doi(df["url"])))
 
 
+def has_doi(df: DataFrame) -> Column:
+    """Whether ``doi_candidate`` finds anything, without normalizing it."""
+    return F.coalesce(F.when(df["doi"] != "", df["doi"].rlike(r"\S")).otherwise(df["url"].rlike(DOI)), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Catalog:
     """A table of raw works: how it is projected, where its DOI stands, and which of its columns are understood."""
@@ -140,7 +148,7 @@ def find_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "
 
     A DOI that the catalog does not know is no reason to look for the title.
     """
-    titled = papers.where(doi_candidate(papers).isNull() & (F.col("title") != "")).select(key, "title", "authors")
+    titled = papers.where(~has_doi(papers) & (F.col("title") != "")).select(key, "title", "authors")
     by_title = best_title_matches(titled, catalog.works(raw).select("work_id", "title", "authors"), catalog.sort_author_tokens, key, least)
     return works_by_doi(papers, raw, catalog, key).unionByName(by_title.select(key, "work_id"))
 
@@ -160,8 +168,7 @@ def join_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "
         works = works.join(needed.select(F.col("work_id").alias("_work_id"), F.to_json(F.struct(*other)).alias("work_other")), "_work_id")
     else:
         works = works.withColumn("work_other", F.lit(None).cast("string"))
-    doi = doi_candidate(papers)
-    asked = papers.withColumn("lookup", F.when(doi.isNotNull(), F.lit("doi_only")).when(F.col("title") != "", F.lit("title_author")).otherwise(F.lit("none")))
+    asked = papers.withColumn("lookup", F.when(has_doi(papers), F.lit("doi_only")).when(F.col("title") != "", F.lit("title_author")).otherwise(F.lit("none")))
     return asked.join(found.withColumnRenamed("work_id", "_work_id"), key, "left").join(works, "_work_id", "left").drop("_work_id")
 
 
@@ -190,40 +197,62 @@ def best_title_matches(papers: DataFrame, works: DataFrame, sort_author_tokens:
 def _similar_titles(left: DataFrame, right: DataFrame, floor_j: float) -> DataFrame:
     """``(_ta, _tb, _shared, _j)``: distinct titles ``_t`` of two sides whose words have a Jaccard of ``floor_j`` at least.
 
-    Sizes ``a`` and ``b`` ask for ``o`` shared words, so with words in order of frequency the ``k`` rarest shared ones
-    stand among the first ``a - o + k`` and ``b - o + k``. Titles up to ``PAIRED_WORDS`` meet by two of them, written once
-    for each size that the other title may have; longer ones by one. Each word sets one of 64 bits: titles
-    whose bits differ in more places than their words may are told apart before their words are read.
+    Sizes ``a`` and ``b`` ask for ``o`` shared words, so with words in one order the ``k`` first shared ones stand
+    among the first ``a - o + k`` and ``b - o + k``. The order is by how often a word's bucket occurs, so rare words come
+    first. Titles up to ``PAIRED_WORDS`` meet by two of them, or by one where one shared word is enough; longer ones
+    by one. Each word sets one of 64 bits, twice: titles whose bits differ in more places than their words may are
+    told apart before their words are read.
     """
-    named = lambda df, side: df.select("_t", F.xxhash64("_t").alias("_id"), F.lit(side).alias("_side"), words(F.col("_t")).alias("_w"))
-    titles = named(left, 0).unionByName(named(right, 1))
-    single = titles.select("_id", "_side", F.size("_w").alias("_size"), F.explode("_w").alias("w"))
-    frequency = single.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("w"), F.lit(64)).cast("int"))
-    ordered = single.join(frequency, "w").groupBy("_id", "_side", "_size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_o"), F.bit_or(bit).alias("_bits"))
-    about = ordered.select("_id", "_side", "_size", "_bits", F.transform("_o", lambda x: F.xxhash64(x["w"])).alias("_o"))
-
-    size, other = F.col("_size"), F.col("_other")
-    least, most = F.greatest(F.ceil(floor_j * size - 1e-6), F.lit(1)).cast("int"), F.least(F.floor(size / floor_j + 1e-6), F.lit(PAIRED_WORDS)).cast("int")
-    sized = about.where(size <= PAIRED_WORDS).select("*", F.explode(F.sequence(least, most)).alias("_other"))
-    sized = sized.withColumn("_o_least", F.greatest(F.ceil(floor_j / (1 + floor_j) * (size + other) - 1e-6), F.lit(1)).cast("int")).withColumn("_k", F.least(F.col("_o_least"), F.lit(2))).withColumn("_p", size - F.col("_o_least") + F.col("_k"))
-    firsts = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("_p") - F.col("_k"))).alias("_i"))
-    both = firsts.select("*", F.explode(F.sequence(F.col("_i") + F.col("_k") - 1, F.when(F.col("_k") == 2, F.col("_p") - 1).otherwise(F.col("_i")))).alias("_n"))
-    sides = F.when(F.col("_side") == 0, size * 1000 + other).otherwise(other * 1000 + size)
-    by_two = both.select("_id", "_side", "_size", "_bits", F.xxhash64(sides, F.get("_o", F.col("_i")), F.get("_o", F.col("_n"))).alias("_key"))
-    rarest = F.slice("_o", F.lit(1), (F.floor((1 - floor_j) * size + 1e-6) + 1).cast("int"))
-    by_one = about.where(size > floor_j * PAIRED_WORDS - 1e-6).select("_id", "_side", "_size", "_bits", F.explode(rarest).alias("_key"))
-    keys = by_two.unionByName(by_one)
-
-    a, b = (keys.where(F.col("_side") == s).select("_key", *[F.col(c).alias(c + n) for c in ("_id", "_size", "_bits")]) for s, n in ((0, "a"), (1, "b")))
+    titles = _hashed_titles(left, right)
+    keys = _title_keys(titles, floor_j)
+    a, b = (keys.where(F.col("_side") == s).select("_key", *[F.col(c).alias(c + n) for c in ("_id", "_size", "_bits", "_more")]) for s, n in ((0, "a"), (1, "b")))
     sizes = (F.col("_sizea") >= floor_j * F.col("_sizeb") - 1e-9) & (F.col("_sizeb") >= floor_j * F.col("_sizea") - 1e-9)
-    bits = F.bit_count(F.col("_bitsa").bitwiseXOR(F.col("_bitsb"))) <= (F.col("_sizea") + F.col("_sizeb")) * ((1 - floor_j) / (1 + floor_j)) + 1e-6
-    met = a.join(b, "_key").where(sizes & bits).select("_ida", "_idb").distinct()
-    text = lambda df, n: df.select(F.xxhash64("_t").alias("_id" + n), F.col("_t").alias("_t" + n))
-    split = met.join(text(left, "a"), "_ida").join(text(right, "b"), "_idb").withColumn("_x", words(F.col("_ta"))).withColumn("_y", words(F.col("_tb"))).withColumn("_shared", F.size(F.array_intersect("_x", "_y")))
+    apart = (F.col("_sizea") + F.col("_sizeb")) * ((1 - floor_j) / (1 + floor_j)) + 1e-6
+    near = [F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) <= apart for c in ("_bits", "_more")]
+    met = a.hint("merge").join(b, "_key").where(sizes & near[0] & near[1]).select("_ida", "_idb").distinct()  # keys are too many to broadcast, however well they are packed
+    text = lambda side, n: titles.where(F.col("_side") == side).select(F.col("_id").alias("_id" + n), F.col("_t").alias("_t" + n))
+    split = met.join(text(0, "a"), "_ida").join(text(1, "b"), "_idb").withColumn("_x", words(F.col("_ta"))).withColumn("_y", words(F.col("_tb"))).withColumn("_shared", F.size(F.array_intersect("_x", "_y")))
     return split.withColumn("_j", F.col("_shared") / (F.size("_x") + F.size("_y") - F.col("_shared"))).where(F.col("_j") >= floor_j - 1e-9).select("_ta", "_tb", "_shared", "_j").distinct()
 
 
+def _hashed_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(_t, _id, _side, _h)``: the titles of both sides with the hashes of their words; read several times."""
+    named = lambda df, side: df.select("_t", F.xxhash64("_t").alias("_id"), F.lit(side).alias("_side"), F.transform(words(F.col("_t")), lambda w: F.xxhash64(w)).alias("_h"))
+    return cut_lineage(named(left, 0).unionByName(named(right, 1)))
+
+
+def _title_keys(titles: DataFrame, floor_j: float) -> DataFrame:
+    """``(_id, _side, _size, _bits, _more, _key)``: what titles meet by, a row for each key."""
+    ranks = F.lit(_bucket_ranks(titles))
+    rank = lambda h: F.substring(ranks, F.pmod(h, F.lit(WORD_BUCKETS)).cast("int") + 1, F.lit(1))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    bits = lambda of: F.aggregate("_h", F.lit(0).cast("long"), lambda seen, h: seen.bitwiseOR(one(of(h))))
+    ordered = F.transform(F.array_sort(F.transform("_h", lambda h: F.struct(rank(h).alias("n"), h.alias("h")))), lambda x: x["h"])
+    about = titles.select("_id", "_side", F.size("_h").alias("_size"), bits(lambda h: h).alias("_bits"), bits(lambda h: F.shiftright(h, 6)).alias("_more"), ordered.alias("_o"))
+
+    size, none = F.col("_size"), F.array().cast("array<bigint>")
+    smallest = F.greatest(F.ceil(floor_j * size - 1e-6), F.lit(1))
+    shared = F.greatest(F.ceil(floor_j / (1 + floor_j) * (size + smallest) - 1e-6), F.lit(1)).cast("int")  # by the smallest other title: larger ones ask for more
+    last = F.col("_size") - F.greatest("_least", F.lit(2)) + 1
+    by_two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda n: F.xxhash64(F.get("_o", i), F.get("_o", n)))))
+    rarest = F.transform(F.slice("_o", F.lit(1), (F.floor((1 - floor_j) * size + 1e-6) + 1).cast("int")), lambda h: F.xxhash64(h))
+    kinds = (
+        F.when((size >= 2) & (size <= PAIRED_WORDS), by_two).otherwise(none),
+        F.when((F.col("_least") == 1) & (size <= PAIRED_WORDS), F.transform("_o", lambda h: F.xxhash64(h))).otherwise(none),
+        F.when(size > floor_j * PAIRED_WORDS - 1e-6, rarest).otherwise(none),
+    )
+    return about.withColumn("_least", shared).select("_id", "_side", "_size", "_bits", "_more", F.explode(F.concat(*kinds)).alias("_key"))
+
+
+def _bucket_ranks(titles: DataFrame) -> bytearray:
+    """For each of ``WORD_BUCKETS`` buckets of word hashes ``_h`` a byte that grows with the occurrences of its words."""
+    bucket = titles.select(F.explode("_h").alias("h")).select(F.pmod("h", F.lit(WORD_BUCKETS)).cast("int").alias("b"))
+    ranks = bytearray(WORD_BUCKETS)
+    for b, n in bucket.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
+        ranks[b] = min(255, int(6 * math.log2(n)))
+    return ranks
+
+
 def _truthy(c: Column) -> Column:
     return blank_to_null(c)
 

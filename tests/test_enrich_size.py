@@ -70,3 +70,37 @@ def test_identities_name_each_pattern_once(spark):
     assert [r.d for r in dois.collect()] == ["101234abc", None, None]
     plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (df, dois)]
     assert plans[0].count("regexp_replace") <= 2 and plans[1].count("regexp_replace") <= 4
+
+
+def _joined(spark):
+    papers = spark.createDataFrame(
+        [(1, "One long title of a paper", ["Doe, Ann"], None, None), (2, "Other", [], "10.1234/AB", None), (3, "Third", [], None, "see 10.1234/nowhere"), (4, None, [], " \t", "10.x"), (5, "", [], "", None)],
+        "paper_id long, title string, authors array<string>, doi string, url string",
+    )
+    raw = spark.createDataFrame(
+        [(7, "10.1234/ab", ["Else"], "old &amp; new"), (8, None, ["One long title: of a paper"], "text")], "work_id long, doi string, title array<string>, abstract string"
+    )
+    works = lambda df: df.select("work_id", "doi", F.get("title", F.lit(0)).alias("title"), F.array(F.lit("Ann Doe")).alias("authors"), enrich.clean_abstract(F.col("abstract")).alias("abstract"))
+    catalog = enrich.Catalog("small", works, lambda: F.col("doi"), True, frozenset(raw.columns))
+    return papers, enrich.join_works(papers, raw, catalog)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_lookup_is_named_without_normalizing_a_doi(spark):
+    papers, joined = _joined(spark)
+    shown = joined.select("paper_id", "lookup", F.col("work.work_id").alias("w"))
+    assert [tuple(r) for r in shown.orderBy("paper_id").collect()] == [(1, "title_author", 8), (2, "doi_only", 7), (3, "doi_only", None), (4, "none", None), (5, "none", None)]
+    assert "doi\\.org" not in _plan(shown)
+    asked = papers.select(enrich.has_doi(papers).alias("h"), enrich.doi_candidate(papers).isNotNull().alias("c")).collect()
+    assert all(r.h == r.c for r in asked)
+
+
+def test_similar_titles_keys_do_not_multiply_by_sizes(spark):
+    """A title of eleven words is written for the pairs of its first four, not once more for every size."""
+    ours = [" ".join(f"v{i}x{k}" for k in range(11)) for i in range(20)]
+    frame = spark.createDataFrame([(t,) for t in ours], "_t string")
+    rows = enrich._title_keys(enrich._hashed_titles(frame, frame), 11 / 15)
+    assert rows.count() == 2 * 20 * 6
