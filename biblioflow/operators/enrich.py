@@ -154,22 +154,24 @@ def find_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "
 
 
 def join_works(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id") -> DataFrame:
-    """``papers`` with the ``work`` found for them, NULL where there is none, and ``lookup``: how it was asked for.
+    """``papers`` with the ``work`` found for them, its fields NULL where there is none, and ``lookup``: how it was asked for.
 
-    Ids are found first, over narrow columns; only works that a paper has are projected. ``work_other`` holds
+    Ids are found first, over narrow columns; only works that a paper has are projected, and ``work`` is put together
+    after the join, so that fields which nobody reads are neither computed nor moved. ``work_other`` holds
     the columns of the catalog that are not understood, as JSON.
     """
     found = cut_lineage(find_works(papers, raw, catalog, key))  # narrow, and used twice
     needed = raw.join(found.select("work_id").distinct(), "work_id", "left_semi").dropDuplicates(["work_id"])
     projected = catalog.works(needed)
-    works = projected.select(F.col("work_id").alias("_work_id"), F.struct(*projected.columns).alias("work"))
+    works = projected.select(*[F.col(c).alias(f"_work_{c}") for c in projected.columns])
     other = [c for c in raw.columns if c not in catalog.mapped]
     if other:
-        works = works.join(needed.select(F.col("work_id").alias("_work_id"), F.to_json(F.struct(*other)).alias("work_other")), "_work_id")
+        works = works.join(needed.select(F.col("work_id").alias("_work_work_id"), F.to_json(F.struct(*other)).alias("work_other")), "_work_work_id")
     else:
         works = works.withColumn("work_other", F.lit(None).cast("string"))
     asked = papers.withColumn("lookup", F.when(has_doi(papers), F.lit("doi_only")).when(F.col("title") != "", F.lit("title_author")).otherwise(F.lit("none")))
-    return asked.join(found.withColumnRenamed("work_id", "_work_id"), key, "left").join(works, "_work_id", "left").drop("_work_id")
+    joined = asked.join(found.withColumnRenamed("work_id", "_work_work_id"), key, "left").join(works, "_work_work_id", "left")
+    return joined.select(*papers.columns, "lookup", "work_other", F.struct(*[F.col(f"_work_{c}").alias(c) for c in projected.columns]).alias("work"))
 
 
 def best_title_matches(papers: DataFrame, works: DataFrame, sort_author_tokens: bool, key: str = "paper_id", least: float = LEAST_SCORE) -> DataFrame:
@@ -271,9 +273,9 @@ def with_bags(extra: Column, bags: dict[str, Column]) -> Column:
 
 def _bags(joined: DataFrame, name: str, kept: tuple[str, ...]) -> Column:
     """``extra`` with what a catalog says beyond a paper's fields, or with what was asked in vain."""
-    says = F.when(F.col("work").isNotNull(), F.to_json(F.struct(*[F.col(f"work.{f}").alias(f) for f in kept])))
+    says = F.when(F.col("work.work_id").isNotNull(), F.to_json(F.struct(*[F.col(f"work.{f}").alias(f) for f in kept])))
     asked = F.struct(_asked_doi().alias("doi"), F.col("title").alias("title"), F.col("authors").alias("authors"), F.col("url").alias("url"), _strategy().alias("strategy"))
-    in_vain = F.when(F.col("work").isNull(), F.to_json(asked))
+    in_vain = F.when(F.col("work.work_id").isNull(), F.to_json(asked))
     return with_bags(F.col("extra"), {name: says, f"{name}_extra": F.nullif(F.col("work_other"), F.lit("{}")), f"{name}_unmatched": in_vain})
 
 
@@ -313,7 +315,7 @@ def merge_fill(joined: DataFrame) -> DataFrame:
 
 def unmatched(joined: DataFrame, key: str = "paper_id") -> DataFrame:
     """``(key, doi, title, url, strategy)`` of the papers without a work."""
-    return joined.where(F.col("work").isNull()).select(key, _asked_doi().alias("doi"), "title", "url", _strategy().alias("strategy"))
+    return joined.where(F.col("work.work_id").isNull()).select(key, _asked_doi().alias("doi"), "title", "url", _strategy().alias("strategy"))
 
 
 def enrich_from(papers: DataFrame, raw: DataFrame, catalog: Catalog, key: str = "paper_id") -> DataFrame:

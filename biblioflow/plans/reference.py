@@ -413,7 +413,7 @@ def enrich_bags(spark, sf):
 @query(f"""WITH {_CR}, {_P}, {_CR_FOUND}, n AS ({_OVER} {_JOIN('cr')}) SELECT (SELECT count(*) FROM p) AS papers, count(*) AS matched FROM cr_found""")
 def enriched_papers(spark, sf):
     """Papers, and those that a catalog has a work for."""
-    return _crossref(spark, sf).agg(F.count(F.lit(1)).alias("papers"), F.count("work").alias("matched"))
+    return _crossref(spark, sf).agg(F.count(F.lit(1)).alias("papers"), F.count("work.work_id").alias("matched"))
 
 
 def _match_sql(sort_tokens: bool) -> str:

@@ -98,6 +98,17 @@ def test_a_lookup_is_named_without_normalizing_a_doi(spark):
     assert all(r.h == r.c for r in asked)
 
 
+def test_who_lacks_a_work_is_known_without_its_fields(spark):
+    lacking = enrich.unmatched(_joined(spark)[1])
+    assert sorted(r.paper_id for r in lacking.collect()) == [3, 4, 5] and "&#" not in _plan(lacking)
+
+
+def test_fields_of_works_that_nobody_reads_are_not_moved(spark):
+    shown = _joined(spark)[1].select("paper_id", "work.doi", "work.title")
+    assert [tuple(r) for r in shown.orderBy("paper_id").collect()][:2] == [(1, None, "One long title: of a paper"), (2, "10.1234/ab", "Else")]
+    assert "&#" not in _plan(shown)
+
+
 def test_similar_titles_keys_do_not_multiply_by_sizes(spark):
     """A title of eleven words is written for the pairs of its first four, not once more for every size."""
     ours = [" ".join(f"v{i}x{k}" for k in range(11)) for i in range(20)]
