@@ -83,21 +83,25 @@ class Graph:
         Every step opens the ``STEP`` best unopened nodes of each beam at once and measures only nodes not seen before.
         """
         b, n = len(queries), len(self.vectors)
-        seen = np.zeros((b, n), bool)
+        links = np.full((n + 1, self.links.shape[1]), n, np.int64)  # node n stands for no link and counts as seen
+        np.copyto(links[:n], self.links, where=self.links >= 0)
+        seen, mark = np.zeros(b * (n + 1), bool), np.empty(b * (n + 1), np.int32)
         near = queries @ self.vectors[self.entries].T
         ids = np.broadcast_to(self.entries, near.shape).copy()
-        seen[:, self.entries] = True
+        seen.reshape(b, n + 1)[:, self.entries] = True
+        seen[n :: n + 1] = True
         done = np.zeros(near.shape, bool)
         active = np.arange(b)
         out_ids, out_near = np.full((b, beam), -1, np.int64), np.full((b, beam), -2, np.float32)
+        along = lambda a, places: a.take(places + (np.arange(len(a)) * a.shape[1])[:, None])
         while len(active):
             if near.shape[1] > beam:
                 best = np.argpartition(-near, beam - 1, axis=1)[:, :beam]
-                ids, near, done = (np.take_along_axis(a, best, 1) for a in (ids, near, done))
+                ids, near, done = (along(a, best) for a in (ids, near, done))
             open_ = np.where(done, np.float32(-3), near)
             width = min(STEP, open_.shape[1])
             pick = np.argpartition(-open_, width - 1, axis=1)[:, :width]
-            value = np.take_along_axis(open_, pick, 1)
+            value = along(open_, pick)
             going = (value > -2).any(1)
             if not going.all():
                 stop = active[~going]
@@ -106,16 +110,21 @@ class Graph:
                 if not len(active):
                     break
             np.put_along_axis(done, pick, True, 1)
-            opened = np.where(value > -2, np.take_along_axis(ids, pick, 1), -1)
-            step = np.where((opened >= 0)[:, :, None], self.links[opened], -1).reshape(len(active), -1).astype(np.int64)
-            row, place = np.nonzero((step >= 0) & ~seen[active[:, None], step])
-            node = step[row, place]
-            seen[active[row], node] = True
-            keys, first = np.unique(row * n + node, return_index=True)
-            row, place, node = row[first], place[first], node[first]
-            more_near = np.full(step.shape, -2, np.float32)
-            more_near[row, place] = np.einsum("kd,kd->k", self.vectors[node], queries[active[row]])
-            ids, near, done = np.concatenate([ids, step], 1), np.concatenate([near, more_near], 1), np.concatenate([done, more_near <= -2], 1)
+            opened = np.where(value > -2, along(ids, pick), n)
+            spots = (links.take(opened, 0).reshape(len(active), -1) + (active * (n + 1))[:, None]).ravel()
+            fresh = np.flatnonzero(~seen.take(spots))
+            spot, order = spots[fresh], np.arange(len(fresh), dtype=np.int32)
+            mark[spot[::-1]] = order[::-1]  # of a node that is linked twice the first stays
+            first = mark[spot] == order
+            spot, row = spot[first], fresh[first] // (len(spots) // len(active))
+            seen[spot] = True
+            node = spot - active[row] * (n + 1)
+            count = np.bincount(row, minlength=len(active))
+            place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            more, more_near = np.zeros((len(active), count.max()), np.int64), np.full((len(active), count.max()), -2, np.float32)
+            more[row, place] = node
+            more_near[row, place] = np.einsum("kd,kd->k", self.vectors.take(node, 0), queries.take(active[row], 0))
+            ids, near, done = np.concatenate([ids, more], 1), np.concatenate([near, more_near], 1), np.concatenate([done, more_near <= -2], 1)
         return out_ids, out_near
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

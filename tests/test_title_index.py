@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from biblioflow.functions import graph
 from biblioflow.functions.titles import match_form, same_title, vectors
 from biblioflow.operators.title_index import TitleIndex, TitleModel, packed, unpacked
 
@@ -94,3 +95,17 @@ def test_cells_are_fitted_in_two_levels_when_they_are_many():
 def test_vectors_as_bytes():
     points = vectors([match_form(t) for t in _titles(300)], np.ones(1 << 16, np.float32))
     assert np.abs((points * unpacked(packed(points).tobytes())).sum(1) - 1).max() < 1e-3
+
+
+def test_a_walk_carries_new_nodes_only(monkeypatch):
+    """What a step adds to a beam is as wide as the nodes it meets anew, each once, and not as all links of the nodes it opens."""
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(400, 24)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    shard = graph.Graph(points, 0.5)
+    widths, split = [], np.argpartition
+    monkeypatch.setattr(graph.np, "argpartition", lambda a, k, axis: widths.append(a.shape[1]) or split(a, k, axis=axis))
+    ids, near = shard._walk(points[:50], 32)
+    assert min(w for w in widths[2:] if w > 32) < 32 + graph.STEP * 2 * graph.LINKS / 2
+    assert all(len(set(row)) == 32 for row in ids.tolist()) and (ids[np.arange(50), near.argmax(1)] == np.arange(50)).mean() > 0.9
+    assert np.allclose(near, np.take_along_axis(points[:50] @ points.T, ids, 1), atol=1e-5)
